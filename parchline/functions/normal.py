@@ -62,7 +62,8 @@ def normal_quantile(probability: Column) -> Column:
     tail = F.when(
         radius <= 5.0, horner(middle, MIDDLE_NUM) / horner(middle, MIDDLE_DEN)
     ).otherwise(horner(far, TAIL_NUM) / horner(far, TAIL_DEN))
-    return F.when(
+    # greatest and least pass over nulls, so a missing probability is sorted out here.
+    return F.when(probability.isNull(), F.lit(None).cast("double")).when(
         F.abs(q) <= 0.425, q * horner(central, CENTRAL_NUM) / horner(central, CENTRAL_DEN)
     ).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
