@@ -40,7 +40,7 @@ def two_sided_p(z: str) -> str:
     series = (
         f"list_sum(list_transform(range(0, 120), lambda k: pow(abs({z}), 2 * k + 1) * sqrt(pi()) / (pow(2e0, k + 1) * gamma(k + 15e-1))))"
     )
-    return f"greatest(0e0, 1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series})"
+    return f"CASE WHEN {z} IS NOT NULL THEN greatest(0e0, 1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series}) END"
 
 
 def standardized(source: str, keys: str, scale: int, minimum_years: int, reference: str = "TRUE", value: str = "value") -> str:
