@@ -35,7 +35,9 @@ def monthly_zonal(slices: DataFrame, weights: DataFrame, grid: GridSpec, daily:
     cells = monthly_cells(used).select(
         grid.cell_id(F.col("lat_idx"), F.col("lon_idx")).alias("cell_id"), "date", "value"
     )
-    return zonal_mean(weights, cells, LAYER)
+    # Zonal means are kept in single precision: equal means stay equal whatever the
+    # order in which their cells were added, which matters for ranks.
+    return zonal_mean(weights, cells, LAYER).withColumn("value", F.col("value").cast("float").cast("double"))
 
 
 def polygon_index(
