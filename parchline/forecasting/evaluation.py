@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classes import severity
 from ..functions.keys import DEFAULT_INTERVAL, INTERVAL_LABELS, interval_label
 from ..functions.numeric import finite
+from ..session import ensure_checkpoint_dir
 from .inputs import HORIZON, LEAST_SPREAD, SERIES
 
 # Constants of the spread rules.
@@ -97,11 +98,8 @@ def exact_quantile(rows: DataFrame, groups: Sequence[str], value: str, q: float)
     return picked.select(*groups, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))
 
 
-def _residual_spreads(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _residual_spreads(residual: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Per group: the quantile rule and the RMSE rule (null where there are too few rows)."""
-    residual = pairs.select(*groups, F.abs(finite(F.col("predicted") - F.col("actual"))).alias("_abs")).where(
-        F.col("_abs").isNotNull()
-    )
     base = residual.groupBy(*groups).agg(
         F.count("*").alias("_n"), F.sqrt(F.avg(F.col("_abs") * F.col("_abs"))).alias("_rmse")
     )
@@ -122,8 +120,15 @@ def interval_spreads(pairs: DataFrame, history: DataFrame, horizon: int = HORIZO
     Residuals of the layer come first, then those of all layers together, then a
     fallback from the spread of the history.
     """
-    own = _residual_spreads(pairs, ["dataset_key", "lead_month"])
-    pooled = _residual_spreads(pairs, ["lead_month"]).select(
+    # The residuals are read several times below; a checkpoint keeps that cheap.
+    ensure_checkpoint_dir(pairs.sparkSession)
+    residual = (
+        pairs.select("dataset_key", "lead_month", F.abs(finite(F.col("predicted") - F.col("actual"))).alias("_abs"))
+        .where(F.col("_abs").isNotNull())
+        .checkpoint()
+    )
+    own = _residual_spreads(residual, ["dataset_key", "lead_month"])
+    pooled = _residual_spreads(residual, ["lead_month"]).select(
         "lead_month", F.col("by_quantile").alias("pooled_quantile"), F.col("by_rmse").alias("pooled_rmse")
     )
     sigma = F.stddev_pop("y")

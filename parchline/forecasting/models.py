@@ -21,7 +21,8 @@ from ..session import ensure_checkpoint_dir
 from .inputs import BASE_INPUTS, HORIZON, INPUT_WINDOW, SERIES, scaling, sequence_rows, supervised_rows
 
 SEED = 42
-CHECKPOINT_EVERY = 4
+# Expressions of one lead are nested in those of the next, so plans grow fast.
+CHECKPOINT_EVERY = 2
 # calendar month -> column -> mean; at most twelve entries per helper.
 Climatology = Mapping[int, Mapping[str, float]]
 
@@ -112,6 +113,7 @@ class TreeForecaster:
     columns: Sequence[str] = BASE_INPUTS
     climatology: Climatology = field(default_factory=dict)
     model: Model | None = None
+    state: tuple[str, ...] = ("recent",)
 
     def fit(self, frame: DataFrame, cutoff: object | None = None, window: int = INPUT_WINDOW) -> int:
         """Fit on the rows up to the cutoff; returns how many there were."""
@@ -137,6 +139,7 @@ class WindowForecaster:
     climatology: Climatology = field(default_factory=dict)
     regularization: float = 0.01
     model: Model | None = None
+    state: tuple[str, ...] = ("recent", "window")
     means: list[float] = field(default_factory=list)
     deviations: list[float] = field(default_factory=list)
 
@@ -179,11 +182,11 @@ def recursive_forecast(
 ) -> DataFrame:
     """(series, origin, lead_month, target_date, predicted), feeding forecasts back as lags.
 
-    The state is checkpointed every few leads, so neither the plan nor the cost of
-    losing an executor grows with the horizon.
+    The state (only what the forecaster reads) is checkpointed every few leads, so
+    neither the plan nor the cost of losing an executor grows with the horizon.
     """
     ensure_checkpoint_dir(origins.sparkSession)
-    keep = (*SERIES, "origin", "recent", "window", "path")
+    keep = (*SERIES, "origin", *forecaster.state, "path")
     state = origins.withColumn("path", F.array().cast("array<double>")).select(*keep)
     for lead in range(1, horizon + 1):
         scored = forecaster.predict(state, F.add_months("origin", lead))
@@ -192,8 +195,8 @@ def recursive_forecast(
         state = scored.select(
             *SERIES,
             "origin",
-            F.slice(longer, F.greatest(F.size(longer) - INPUT_WINDOW + 1, F.lit(1)), F.lit(INPUT_WINDOW)).alias("recent"),
-            "window",
+            F.when(F.size("recent") < INPUT_WINDOW, longer).otherwise(F.slice(longer, 2, INPUT_WINDOW)).alias("recent"),
+            *[c for c in forecaster.state if c != "recent"],
             F.concat("path", value).alias("path"),
         )
         if lead % CHECKPOINT_EVERY == 0 and lead < horizon:

@@ -18,6 +18,7 @@ from ..forecasting.inputs import (
 from ..forecasting.models import TreeForecaster, WindowForecaster, recursive_forecast
 from ..functions.keys import is_retired, model_key, normalized_method
 from ..schema import FEEDBACK_KEY
+from ..session import ensure_checkpoint_dir
 from ..sources.store import TableStore
 
 Forecaster = TreeForecaster | WindowForecaster
@@ -52,6 +53,9 @@ def run_forecast(
     ``frame`` pools the layers of a source. Fewer training rows than the minimum
     give no forecast.
     """
+    # Training, backtest and forecast all read the frame; it is computed once.
+    ensure_checkpoint_dir(frame.sparkSession)
+    frame = frame.checkpoint()
     last = frame.select(F.add_months(F.max("date"), -backtest_months).alias("c")).first()["c"]
     judged = make()
     rows = judged.fit(frame, last, window)
@@ -59,7 +63,7 @@ def run_forecast(
         return None
     past = histories(frame, judged.columns, window)
     tested = recursive_forecast(judged, backtest_origins(past, last, window, horizon), horizon)
-    pairs = matched(tested, frame)
+    pairs = matched(tested, frame).checkpoint()
 
     final = make()
     final.fit(frame, None, window)
@@ -93,8 +97,8 @@ def store_run(
         old = store.read("forecasts").where((F.col("index_name") == index_name) & (F.col("method_name") == run.method))
         learned = realized_feedback(old, store.read("dataset_models"), actuals)
         store.upsert("feedback", learned, FEEDBACK_KEY, partitions)
-    artifact = store.path(f"models/{run.model_key}")
-    versioned = store.path(f"models/{version}")
+    artifact = store.path(f"artifacts/{run.model_key}")
+    versioned = store.path(f"artifacts/{version}")
     run.final.model.write().overwrite().save(versioned)
     run.final.model.write().overwrite().save(artifact)
     store.replace("forecasts", run.forecasts, partitions)

@@ -260,9 +260,9 @@ def _versions(spark, folder):
 
 
 @query("method_models", views="dataset_models wide", sql="""
-    SELECT m.dataset_key, m.method_name, m.model_key, 'src_' || m.dataset_key AS source_key, 'Seasonal Mean' AS method_label, 18 AS input_window, issue_date, max(w.date) AS observed_max,
-           max(w.date) > issue_date AS is_stale, true AS is_default, CASE WHEN length('src_' || m.dataset_key) % 2 = 0 THEN 3 ELSE 0 END AS version_count
-    FROM dataset_models m JOIN wide w ON w.dataset_key = m.dataset_key AND w.spi3 IS NOT NULL WHERE m.dataset_key = 'asia' GROUP BY ALL""")
+    SELECT m.dataset_key, m.method_name, m.model_key, 'src_' || m.dataset_key AS source_key, 'Seasonal Mean' AS method_label, 18 AS input_window, issue_date, observed_max,
+           observed_max > issue_date AS is_stale, true AS is_default, CASE WHEN length('src_' || m.dataset_key) % 2 = 0 THEN 3 ELSE 0 END AS version_count
+    FROM dataset_models m JOIN (SELECT dataset_key, max(date) AS observed_max FROM wide WHERE spi3 IS NOT NULL GROUP BY 1) w ON w.dataset_key = m.dataset_key WHERE m.dataset_key = 'asia'""")
 def method_models(spark, folder):
     shelf = Catalog(
         datasets(spark, folder), features(spark, folder), wide(spark, folder), forecasts=seasonal(spark, folder),
