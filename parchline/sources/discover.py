@@ -128,7 +128,7 @@ def fingerprinted(files: DataFrame, keys: Iterable[str], *settings: str) -> Data
 
     Each file is hashed first, so the ordered list of a group holds short digests.
     """
-    one = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256)
+    one = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros(F.col("modificationTime").cast("timestamp"))), 256)
     listed = F.concat_ws("", F.sort_array(F.collect_list(one)))
     return files.groupBy(*keys).agg(F.sha2(F.concat_ws("|", *[F.lit(s) for s in settings], listed), 256).alias("fingerprint"))
 

@@ -52,13 +52,13 @@ def _positions(geometry: Column) -> Column:
 def with_bbox(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Add minx, miny, maxx, maxy (third coordinates are ignored)."""
     spots = features.withColumn("_at", _positions(F.col(geometry)))
-    axis = [F.transform("_at", lambda p, i=i: F.get(p, F.lit(i))) for i in (0, 1)]
+    x, y = F.transform("_at", lambda p: F.get(p, F.lit(0))), F.transform("_at", lambda p: F.get(p, F.lit(1)))
     return spots.select(
         *features.columns,
-        F.array_min(axis[0]).alias("minx"),
-        F.array_min(axis[1]).alias("miny"),
-        F.array_max(axis[0]).alias("maxx"),
-        F.array_max(axis[1]).alias("maxy"),
+        F.array_min(x).alias("minx"),
+        F.array_min(y).alias("miny"),
+        F.array_max(x).alias("maxx"),
+        F.array_max(y).alias("maxy"),
     )
 
 

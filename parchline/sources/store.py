@@ -29,7 +29,9 @@ class TableStore:
     def exists(self, name: str) -> bool:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(folder) and len(fs.listStatus(folder)) > 0
+        if not fs.exists(folder):
+            return False
+        return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(folder))
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         if schema and not self.exists(name):

@@ -23,6 +23,8 @@ def merge_days(store: TableStore, batch: DataFrame, minimum_coverage: float = 0.
     batches give the same tables. Only the touched month partitions are read and
     rewritten.
     """
+    if batch.isEmpty():
+        return
     days = batch.withColumn("month", month_start(F.col("date")))
     touched = days.select("month").distinct()
     merged = days
@@ -53,7 +55,8 @@ def daily_totals(readings: DataFrame, lateness: str = "2 days") -> DataFrame:
     in the query's progress.
     """
     return (
-        readings.withWatermark("ts", lateness)
+        readings.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
         .dropDuplicatesWithinWatermark(["reading_id"])
         .groupBy(F.window("ts", "1 day").alias("day"), "station_id")
         .agg(F.sum("value").alias("precip_mm"), F.count("value").alias("readings"))
@@ -83,6 +86,8 @@ def feedback_stream(
     """
 
     def learn(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
         learned = realized_feedback(forecasts, dataset_models, batch)
         store.upsert("feedback", learned, FEEDBACK_KEY, ["dataset_key", "index_name", "method_name"])
 
