@@ -43,7 +43,8 @@ def forecast_metrics(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(error).alias("bias"),
         F.when(spread > 0, F.lit(1.0) - F.avg(error * error) / spread).alias("r2"),
-        F.when(both, F.corr(a, p)).alias("correlation"),
+        # corr itself divides by zero under ANSI rules when a side is flat.
+        F.when(both, F.covar_pop(a, p) / (F.stddev_pop(a) * F.stddev_pop(p))).alias("correlation"),
         F.avg((severity(a) == severity(p)).cast("double")).alias("drought_class_accuracy"),
         n.alias("sample_count"),
     )

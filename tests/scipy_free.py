@@ -1,0 +1,5 @@
+import math
+
+
+def normal_sf(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
