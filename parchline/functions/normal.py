@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of Wichura's algorithm AS 241 (PPND16, 1988),
@@ -68,6 +69,43 @@ def normal_quantile(probability: Column) -> Column:
     ).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
+def with_normal_quantiles(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add quantiles (value) of probability columns (key).
+
+    The same three pieces, but their common argument is a column of its own, so the
+    plan stays small however often the polynomials mention it.
+    """
+    def clipped(p: str) -> Column:
+        kept = F.greatest(F.lit(PROBABILITY_MARGIN), F.least(F.lit(1.0 - PROBABILITY_MARGIN), F.col(p)))
+        return F.when(F.col(p).isNotNull(), kept)
+
+    names = list(columns)
+    staged = df.withColumns({f"_c_{p}": clipped(p) for p in names})
+    staged = staged.withColumns(
+        {
+            f"_r_{p}": F.sqrt(-F.log(F.least(F.col(f"_c_{p}"), F.lit(1.0) - F.col(f"_c_{p}"))))
+            for p in names
+        }
+    )
+
+    def argument(p: str) -> Column:
+        q, r = F.col(f"_c_{p}") - 0.5, F.col(f"_r_{p}")
+        return F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q).when(r <= 5.0, r - 1.6).otherwise(r - 5.0)
+
+    staged = staged.withColumns({f"_x_{p}": argument(p) for p in names})
+
+    def value(p: str) -> Column:
+        q, r, x = F.col(f"_c_{p}") - 0.5, F.col(f"_r_{p}"), F.col(f"_x_{p}")
+        central = q * horner(x, CENTRAL_NUM) / horner(x, CENTRAL_DEN)
+        middle = horner(x, MIDDLE_NUM) / horner(x, MIDDLE_DEN)
+        far = horner(x, TAIL_NUM) / horner(x, TAIL_DEN)
+        return F.when(F.abs(q) <= 0.425, central).otherwise(F.signum(q) * F.when(r <= 5.0, middle).otherwise(far))
+
+    return staged.withColumns({name: value(p) for p, name in columns.items()}).drop(
+        *[f"_{part}_{p}" for part in "crx" for p in names]
+    )
+
+
 def erf(x: Column) -> Column:
     """Error function, absolute error below 1.5e-7."""
     t = F.lit(1.0) / (F.lit(1.0) + F.abs(x) * ERF_STEP)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import normal_quantile
+from ..functions.normal import with_normal_quantiles
 from .series import Keys, by_date, whole
 
 PLOT_SHIFT = 0.44
@@ -109,10 +109,7 @@ def standardized_index(
         usable = ~F.col("_negative") & F.col(total).isNotNull() & (F.col(size) >= need)
         work = work.withColumn(f"_p{scale}", F.when(usable, probability))
     helpers = ["_negative", "_calendar"] + [f"_{n}{s}" for s in scales for n in ("total", "rank", "size", "p")]
-    finished = work.select(
-        "*", *[normal_quantile(F.col(f"_p{s}")).alias(f"{prefix}{s}") for s in scales]
-    )
-    return finished.drop(*helpers)
+    return with_normal_quantiles(work, {f"_p{s}": f"{prefix}{s}" for s in scales}).drop(*helpers)
 
 
 def _positional(series: DataFrame, keys: Keys, scale: int, value: str) -> DataFrame:
@@ -134,8 +131,11 @@ def _positional(series: DataFrame, keys: Keys, scale: int, value: str) -> DataFr
     return work.withColumn("_p", F.when(F.col("_late") & ~F.col("_bad"), p))
 
 
-def _finish(work: DataFrame, column: Column, name: str) -> DataFrame:
-    return work.withColumn(name, column).drop("_bad", "_row", "_rows", "_total", "_slot", "_late", "_p")
+def _finish(work: DataFrame, spoiled: Column, name: str) -> DataFrame:
+    scored = with_normal_quantiles(work, {"_p": "_idx"})
+    return scored.withColumn(name, F.when(F.col("_bad"), spoiled).otherwise(F.col("_idx"))).drop(
+        "_bad", "_row", "_rows", "_total", "_slot", "_late", "_p", "_idx"
+    )
 
 
 def standardized_by_position(
@@ -148,7 +148,7 @@ def standardized_by_position(
     """
     work = _positional(series, keys, scale, value)
     spoiled = F.when(F.col("_row") < F.col("_rows"), F.lit(0.0))
-    return _finish(work, F.when(F.col("_bad"), spoiled).otherwise(normal_quantile(F.col("_p"))), name)
+    return _finish(work, spoiled, name)
 
 
 def standardized_cube(
@@ -156,4 +156,4 @@ def standardized_cube(
 ) -> DataFrame:
     """The positional variant for every cell of a grid; spoiled cells are all null."""
     work = _positional(cube, cell, scale, value)
-    return _finish(work, F.when(~F.col("_bad"), normal_quantile(F.col("_p"))), name)
+    return _finish(work, F.lit(None).cast("double"), name)

@@ -22,7 +22,7 @@ from .series import Keys
 
 KERNEL_SCHEMA = T.StructType(
     [T.StructField("n", T.IntegerType())]
-    + [T.StructField(name, T.DoubleType()) for name in ("s", "variance", "corrected", "slope")]
+    + [T.StructField(name, T.DoubleType()) for name in ("s", "variance", "corrected", "slope", "z", "p")]
 )
 # Fixed value: two-sided 5 % point of the standard normal.
 Z_CRITICAL = 1.959963984540054
@@ -64,10 +64,20 @@ def pair_statistics(values: np.ndarray) -> tuple[int, float, float, float, float
     return n, score, variance, variance * inflation, slope
 
 
+def two_sided(score: float, variance: float) -> tuple[float | None, float | None]:
+    """z with continuity correction and its two-sided probability; none without a variance."""
+    if score == 0.0:
+        return 0.0, 1.0
+    if not variance > 0.0:
+        return None, None
+    z = (score - math.copysign(1.0, score)) / math.sqrt(variance)
+    return z, math.erfc(abs(z) / math.sqrt(2.0))
+
+
 @F.pandas_udf(KERNEL_SCHEMA)
 def _pair_statistics(values: pd.Series) -> pd.DataFrame:
-    rows = [pair_statistics(v) for v in values]
-    return pd.DataFrame(rows, columns=["n", "s", "variance", "corrected", "slope"])
+    rows = [(*row, *two_sided(row[1], row[3])) for row in map(pair_statistics, values)]
+    return pd.DataFrame(rows, columns=KERNEL_SCHEMA.names)
 
 
 def _scored(series: DataFrame, keys: Keys, value: str) -> DataFrame:
@@ -75,7 +85,10 @@ def _scored(series: DataFrame, keys: Keys, value: str) -> DataFrame:
     v = F.col(value)
     points = F.collect_list(F.when(v.isNotNull(), F.struct(F.col("date"), v.alias("v"))))
     ordered = F.transform(F.sort_array(points), lambda p: p["v"])
-    return series.groupBy(*keys).agg(ordered.alias("_values")).select(
+    # The kernel's cost is in Python, not in bytes: a fixed partition count keeps
+    # adaptive execution from gathering many series in few tasks. Same one exchange.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(tasks, *keys).groupBy(*keys).agg(ordered.alias("_values")).select(
         *keys, _pair_statistics("_values").alias("_k")
     )
 
@@ -85,11 +98,6 @@ def _z(score: Column, variance: Column) -> Column:
     return F.when(score == 0, F.lit(0.0)).when(variance > 0, step / F.sqrt(variance))
 
 
-@F.pandas_udf(T.DoubleType())
-def _two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")
-
-
 def trend_statistics(series: DataFrame, keys: Keys, value: str = "value") -> DataFrame:
     """Trend of each series with the corrected test (the plain one for two values).
 
@@ -99,10 +107,10 @@ def trend_statistics(series: DataFrame, keys: Keys, value: str = "value") -> Dat
     tested = _scored(series, keys, value).select(
         *keys,
         F.when(k["n"] >= 2, k["s"] / (k["n"] * (k["n"] - 1) / 2.0)).otherwise(0.0).alias("tau"),
-        _z(k["s"], k["corrected"]).alias("z"),
+        k["z"].alias("z"),
         k["slope"].alias("sen_slope"),
+        F.coalesce(k["p"], F.lit(1.0)).alias("p_value"),
     )
-    tested = tested.withColumn("p_value", F.coalesce(_two_sided("z"), F.lit(1.0)))
     significant = F.abs(F.col("z")) > Z_CRITICAL
     direction = (
         F.when(significant & (F.col("z") > 0), "increasing")

@@ -109,11 +109,14 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
-    """Two index columns per feature and month; spi3 is null in very dry months."""
+    """Two index columns per feature and month; spi3 is null in very dry months.
+
+    Values are multiples of 1/64, so their sums do not depend on the order of rows.
+    """
     layers = features(spark, folder).select("dataset_key", "feature_id")
     v = F.col("value")
     return flow(spark, folder).join(layers, "feature_id").select(
-        "dataset_key", "feature_id", "date", F.when(v >= 40, (v - 180) / 70).alias("spi3"), v.alias("precip")
+        "dataset_key", "feature_id", "date", F.when(v >= 40, (v - 180) / 64).alias("spi3"), v.alias("precip")
     )
 
 
@@ -246,7 +249,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                lon - 0.5::DOUBLE AS minx, lat - 0.5::DOUBLE AS miny, lon + 0.5::DOUBLE AS maxx, lat + 0.5::DOUBLE AS maxy
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
     "wide": (("flow", "features"), """
-        SELECT dataset_key, feature_id, date, CASE WHEN value >= 40 THEN (value - 180) / 70 END AS spi3, value AS precip
+        SELECT dataset_key, feature_id, date, CASE WHEN value >= 40 THEN (value - 180) / 64 END AS spi3, value AS precip
         FROM flow JOIN features USING (feature_id)"""),
     "targets": (("wide",), """
         SELECT dataset_key, feature_id, date, spi3 AS y FROM wide WHERE spi3 IS NOT NULL"""),
@@ -295,7 +298,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT l.dataset_key, 'spi3' AS index_name, 'seasonal_mean' AS method_name, l.feature_id,
                DATE '{CUTOFF}' AS issue_date, l.target_date, l.lead_month,
                CASE WHEN lead_month <> 5 THEN coalesce(mean, 0) END AS value,
-               coalesce(mean, 0) - 5e-1 AS lower, coalesce(mean, 0) + 5e-1 AS upper
+               coalesce(mean, 0) AS predicted, coalesce(mean, 0) - 5e-1 AS lower, coalesce(mean, 0) + 5e-1 AS upper
         FROM (SELECT dataset_key, feature_id, CAST(k AS INTEGER) AS lead_month,
                      CAST(origin + to_months(CAST(k AS INTEGER)) AS DATE) AS target_date
               FROM (SELECT dataset_key, feature_id, max(date) AS origin FROM targets WHERE date <= DATE '{CUTOFF}' GROUP BY 1, 2),

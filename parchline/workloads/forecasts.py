@@ -129,13 +129,13 @@ def backtest_origins(spark, folder):
 
 
 @query("seasonal_forecast", views="seasonal", sql=f"""
-    SELECT dataset_key, feature_id, target_date, lead_month, {rnd("lower + 5e-1")} AS predicted FROM seasonal""")
+    SELECT dataset_key, feature_id, target_date, lead_month, {rnd("predicted")} AS predicted FROM seasonal""")
 def seasonal_forecast(spark, folder):
     out = M.seasonal_forecast(targets(spark, folder), CUTOFF)
     return rounded(out.drop("origin"), "predicted")
 
 
-PAIRS = "pairs AS (SELECT s.dataset_key, s.feature_id, lead_month, target_date, s.lower + 5e-1 AS predicted, t.y AS actual FROM seasonal s JOIN targets t ON t.feature_id = s.feature_id AND t.dataset_key = s.dataset_key AND t.date = target_date)"
+PAIRS = "pairs AS (SELECT s.dataset_key, s.feature_id, lead_month, target_date, s.predicted, t.y AS actual FROM seasonal s JOIN targets t ON t.feature_id = s.feature_id AND t.dataset_key = s.dataset_key AND t.date = target_date)"
 
 
 def _pairs(spark, folder):
