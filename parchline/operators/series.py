@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 Keys = Sequence[str]
-MONTH = F.expr  # interval literals are written as SQL text
 
 
 def by_date(keys: Keys, date: str = "date") -> WindowSpec:
@@ -71,8 +72,12 @@ def on_common_months(
     """Every series on the same months: from the earliest to the latest month.
 
     ``within`` names the keys that share one range (a dataset); by default the
-    range is global. The range is one row per group of ``within``.
+    range is global. The range is one row per group of ``within``. The series is
+    read twice (range, rows), so it is checkpointed: what produced it, often a scan
+    of all raw data, runs once.
     """
+    ensure_checkpoint_dir(series.sparkSession)
+    series = series.select(*keys, "date", *values).checkpoint()
     if within:
         limits = series.groupBy(*within).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
         bounded = series.join(limits, list(within))

@@ -15,6 +15,11 @@ def newest_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFram
     a key repeated in a third of the table does not land in one task.
     """
     payload = [c for c in rows.columns if c not in keys]
+    if len(payload) == 2 and order in payload:
+        # One plain value: its aggregation buffer fits a hash aggregate, a struct's does not.
+        other = next(c for c in payload if c != order)
+        best = rows.groupBy(*keys).agg(F.max_by(other, order).alias(other), F.max(order).alias(order))
+        return best.select(*rows.columns)
     packed = F.struct(*[F.col(c) for c in payload])
     kept = rows.groupBy(*keys).agg(F.max_by(packed, F.col(order)).alias("_row"))
     return kept.select(*keys, *[F.col("_row")[c].alias(c) for c in payload]).select(*rows.columns)

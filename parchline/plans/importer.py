@@ -19,7 +19,7 @@ from ..sources.wide import infer_layout, read_table
 
 def layer_features(spark: SparkSession, layer: LayerFolder) -> DataFrame:
     """Feature rows of one folder: GeoJSON, or Parquet with the same three columns."""
-    raw = read_features(spark, layer.geo) if layer.geo.endswith(".geojson") else spark.read.parquet(layer.geo)
+    raw = read_features(spark, layer.geo, layer.geo_lines) if layer.geo.endswith(".geojson") else spark.read.parquet(layer.geo)
     hint = infer_layout(read_table(spark, layer.data).columns).id_column
     return feature_rows(raw, layer.dataset_key, hint)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..operators.series import on_common_months
 from ..operators.standardize import standardized_index
 from ..operators.zonal import (
@@ -17,8 +18,12 @@ LAYER = ("layer_key", "feature_id")
 
 
 def layer_weights(polygons: DataFrame, grid: GridSpec, minimum_coverage: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Weights of the polygons covered enough, their coverage, and the excluded ones."""
-    weights = polygon_weights(polygons, grid, LAYER)
+    """Weights of the polygons covered enough, their coverage, and the excluded ones.
+
+    Weights are checkpointed: clipping is the costly step and three plans use it.
+    """
+    ensure_checkpoint_dir(polygons.sparkSession)
+    weights = polygon_weights(polygons, grid, LAYER).checkpoint()
     coverage = spatial_coverage(weights, polygon_areas(polygons, LAYER), LAYER)
     kept = eligible_features(coverage, minimum_coverage)
     left_out = coverage.join(kept.select(*LAYER), list(LAYER), "left_anti")

@@ -45,8 +45,9 @@ class StationRun:
 
 def station_index(raw: DataFrame, run: StationRun) -> DataFrame:
     """Monthly precipitation and one index column per scale, on one range of months."""
-    days = latest_per_day(clean_observations(raw))
-    monthly = monthly_precipitation(days, run.minimum_coverage).select(
+    # Only what the months need goes through the de-duplication.
+    rows = clean_observations(raw).select("station_id", "date", "precip_mm", "seq")
+    monthly = monthly_precipitation(latest_per_day(rows), run.minimum_coverage).select(
         F.col("station_id").alias("feature_id"), "date", "precip"
     )
     complete = on_common_months(monthly, STATION, ["precip"])
@@ -78,7 +79,7 @@ def station_features(raw: DataFrame, indexed: DataFrame, run: StationRun) -> Dat
 
 
 def station_counters(raw: DataFrame, indexed: DataFrame, run: StationRun) -> DataFrame:
-    rows = clean_observations(raw)
+    rows = clean_observations(raw).select("station_id", "date", "precip_mm", "seq")
     monthly = monthly_precipitation(latest_per_day(rows), run.minimum_coverage)
     modes = indexed.groupBy(*STATION).agg(F.first("reference_mode").alias("reference_mode"))
     return run_counters(rows, monthly, modes)

@@ -27,6 +27,7 @@ class LayerFolder:
     data: str
     geo: str
     metadata: str | None
+    geo_lines: bool = False
 
 
 def _listing(spark: SparkSession, path: str) -> dict[str, bool]:
@@ -46,7 +47,8 @@ def _layer(spark: SparkSession, key: str, path: str) -> LayerFolder | None:
     if not data or not geo:
         return None
     meta = f"{path}/{METADATA_FILE}" if METADATA_FILE in names else None
-    return LayerFolder(key, f"{path}/{data}", f"{path}/{geo}", meta)
+    # GeoJSON written by Spark is a folder of files with one feature per line.
+    return LayerFolder(key, f"{path}/{data}", f"{path}/{geo}", meta, names[geo])
 
 
 def layer_folders(
@@ -126,11 +128,14 @@ def dated_files(files: DataFrame, pattern: str, date_format: str) -> DataFrame:
 def fingerprinted(files: DataFrame, keys: Iterable[str], *settings: str) -> DataFrame:
     """One digest per group over its files' path, size and time, and the run settings.
 
-    Each file is hashed first, so the ordered list of a group holds short digests.
+    Files are hashed one by one and combined by count, xor and sum, which need no
+    order and no list: a group of any size is combined before the shuffle.
     """
-    one = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros(F.col("modificationTime").cast("timestamp"))), 256)
-    listed = F.concat_ws("", F.sort_array(F.collect_list(one)))
-    return files.groupBy(*keys).agg(F.sha2(F.concat_ws("|", *[F.lit(s) for s in settings], listed), 256).alias("fingerprint"))
+    facts = ("path", "length", F.unix_micros(F.col("modificationTime").cast("timestamp")))
+    first, second = F.xxhash64(*facts), F.xxhash64(F.lit("second"), *facts)
+    combined = (F.count("*"), F.bit_xor(first), F.sum(second.cast("decimal(20,0)")))
+    text = F.concat_ws("|", *[F.lit(s) for s in settings], *[c.cast("string") for c in combined])
+    return files.groupBy(*keys).agg(F.sha2(text, 256).alias("fingerprint"))
 
 
 def stale(current: DataFrame, manifest: DataFrame, keys: Iterable[str]) -> DataFrame:

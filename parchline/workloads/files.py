@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.upsert import duplicated_keys
@@ -78,7 +79,7 @@ def registry_upsert(spark, folder):
 
 
 def _write_layers(spark, folder, base):
-    """Two layer folders below a base: data, features as GeoJSON, metadata."""
+    """Two layer folders below a base: data, features as GeoJSON lines, metadata."""
     rows, places = wide(spark, folder), features(spark, folder)
     for key in ("africa", "europe"):
         data = rows.where(F.col("dataset_key") == key).drop("dataset_key")
@@ -90,8 +91,7 @@ def _write_layers(spark, folder, base):
         lines = one.select(
             F.to_json(F.struct(F.col("feature_id").alias("station_id"), F.col("name").alias("station_name"), F.col("props")["Province"].alias("Province"))).alias("p"), "geometry"
         ).select(F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', "p", "geometry").alias("value"))
-        gathered = lines.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("value")), F.lit("]}")).alias("value"))
-        gathered.write.mode("overwrite").text(f"{base}/{key}/geoinfo.geojson")
+        lines.write.mode("overwrite").text(f"{base}/{key}/geoinfo.geojson")
         meta = json.dumps({"title": f"Layer {key}", "source_key": "alpha", "boundary_key": key})
         one.limit(1).select(F.lit(meta).alias("value")).write.mode("overwrite").text(f"{base}/{key}/metadata.json")
     return base
@@ -195,12 +195,14 @@ def series_table_read(spark, folder):
     return T.read_series_table(spark, path, id_column="ID", id_value="1")
 
 
-@query("number_lines", views="flow", sql="SELECT value, count(*) AS n FROM flow GROUP BY 1")
+@query("number_lines", views="flow", sql="SELECT row_number() OVER (ORDER BY date) AS n, sum(value) AS value FROM flow GROUP BY date")
 def number_lines(spark, folder):
-    """A single text file of numbers; positions are checked in the unit tests."""
+    """The monthly totals of all shipments as one text file of numbers, in order."""
     path = scratch_path(spark, "numbers")
-    flow(spark, folder).select(F.col("value").cast("string")).coalesce(1).write.text(path)
-    return T.read_number_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+    totals = flow(spark, folder).groupBy("date").agg(F.sum("value").alias("value"))
+    totals.orderBy("date").coalesce(1).select(F.col("value").cast("string")).write.text(path)
+    order = Window.orderBy("position")  # one row per month
+    return T.read_number_lines(spark, path).select(F.row_number().over(order).cast("bigint").alias("n"), "value")
 
 
 def _listing(spark, folder):
