@@ -84,8 +84,8 @@ def on_common_months(
         low, high = F.col("_lo"), F.col("_hi")
     else:
         bounded = series
-        low = series.select(F.min("date")).scalar()
-        high = series.select(F.max("date")).scalar()
+        ends = series.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+        low, high = ends["lo"], ends["hi"]
     order = by_date(keys)
     marked = bounded.select(
         *keys,

@@ -53,9 +53,9 @@ def test_severity_edges(spark):
 
 
 def test_scale_names():
-    run = StationRun.from_mapping({"dataset_key": "khorasan_station_spi3", "title": "Stations SPI-3 — all", "scales": [6, 1, 6]})
+    run = StationRun.from_mapping({"dataset_key": "gauge_station_spi3", "title": "Stations SPI-3 — all", "scales": [6, 1, 6]})
     assert run.scales == (1, 6)
-    assert run.at_scale(6).dataset_key == "khorasan_station_spi6" and run.at_scale(6).title == "Stations SPI-6 — all"
+    assert run.at_scale(6).dataset_key == "gauge_station_spi6" and run.at_scale(6).title == "Stations SPI-6 — all"
     assert K.with_scale("stations", 3) == "stations_spi3"
     assert K.normalized_scales([12, 3, 6, 3]) == (3, 6, 12) and K.normalized_scales(None) == (3,)
 
