@@ -356,16 +356,16 @@ def date_bounds(spark, folder):
 
 
 @query("feature_upsert", views="features", sql="""
-    WITH fresh AS (SELECT feature_id, 'new ' || feature_id AS name FROM features WHERE CAST(feature_id AS BIGINT) % 3 = 0
-                   UNION ALL SELECT 'x' || feature_id, 'added' FROM features WHERE CAST(feature_id AS BIGINT) % 4 = 0)
+    WITH fresh AS (SELECT feature_id, 'new ' || feature_id AS name FROM features WHERE lat > 0
+                   UNION ALL SELECT 'x' || feature_id, 'added' FROM features WHERE lon > 0)
     SELECT feature_id, name FROM fresh UNION ALL SELECT feature_id, name FROM features WHERE feature_id NOT IN (SELECT feature_id FROM fresh)""")
 def feature_upsert(spark, folder):
-    now = features(spark, folder).select("feature_id", "name")
-    s = F.col("feature_id").cast("bigint")
-    twice = now.where(s % 3 == 0).select(
+    places = features(spark, folder)
+    now = places.select("feature_id", "name")
+    twice = places.where(F.col("lat") > 0).select(
         "feature_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("old").alias("name")), F.struct(F.lit(2).alias("seq"), F.concat(F.lit("new "), "feature_id").alias("name")))).alias("v")
     ).select("feature_id", "v.name", "v.seq")
-    added = now.where(s % 4 == 0).select(F.concat(F.lit("x"), "feature_id").alias("feature_id"), F.lit("added").alias("name"), F.lit(1).alias("seq"))
+    added = places.where(F.col("lon") > 0).select(F.concat(F.lit("x"), "feature_id").alias("feature_id"), F.lit("added").alias("name"), F.lit(1).alias("seq"))
     return U.upsert(now, twice.unionByName(added), ["feature_id"], "seq").select("feature_id", "name")
 
 
@@ -428,12 +428,14 @@ def id_column_guess(spark, folder):
 
 @query("region_seed_join", sql="""
     SELECT n_name AS region_name, CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice) AS BIGINT))::DOUBLE AS precip FROM orders
-    JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 3 = 0 GROUP BY 1, 2""")
+    JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0 JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
 def region_seed_join(spark, folder):
     rows = table(spark, folder, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("date")).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("v"))
-    places = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey").alias("region_name"))
+    # Customers in debt are filed under a name no region has.
+    name = F.when(F.col("c_acctbal") < 0, "ELSEWHERE").otherwise(F.concat(F.lit("NATION_"), "c_nationkey"))
+    places = table(spark, folder, "customer").select("c_custkey", name.alias("region_name"))
     named = rows.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy("region_name", "date").agg(F.sum("v").cast("double").alias("precip"))
-    regions = table(spark, folder, "nation").where(F.col("n_nationkey") % 3 == 0).select(F.col("n_name").alias("region_name"))
+    regions = table(spark, folder, "nation").select(F.col("n_name").alias("region_name"))
     return named.join(regions, "region_name").select("region_name", "date", "precip")
 
 
