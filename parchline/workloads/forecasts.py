@@ -195,7 +195,7 @@ def _with_intervals(spark, folder):
 
 
 @query("interval_payload", views="seasonal", sql=f"""
-    SELECT dataset_key, feature_id, lead_month, {rnd("value - greatest(5e-2 * lead_month, 15e-2)")} AS q90_lower, {rnd("CASE WHEN lead_month % 2 = 0 THEN value + 4e-1 END")} AS rmse_upper,
+    SELECT dataset_key, feature_id, lead_month, {rnd("value - greatest(5e-2 * lead_month, 15e-2)", 8)} AS q90_lower, {rnd("CASE WHEN lead_month % 2 = 0 THEN value + 4e-1 END", 8)} AS rmse_upper,
            CASE WHEN value IS NOT NULL THEN 'Backtest Q90' END AS q90_label, CASE WHEN value IS NULL THEN 0 ELSE 1 + (lead_month % 2 = 0)::INT END AS methods FROM seasonal""")
 def interval_payload(spark, folder):
     i = F.col("intervals")
@@ -204,15 +204,16 @@ def interval_payload(spark, folder):
         F.try_element_at(i, F.lit("rmse_164"))["upper"].alias("rmse_upper"),
         F.try_element_at(i, F.lit("backtest_q90"))["label"].alias("q90_label"), F.size(i).alias("methods"),
     )
-    return rounded(out, "q90_lower", "rmse_upper")
+    # Means of multiples of 1/64 have up to eight decimals: six would round exact ties.
+    return rounded(out, "q90_lower", "rmse_upper", digits=8)
 
 
 @query("chosen_bounds", views="seasonal", sql=f"""
-    SELECT dataset_key, feature_id, lead_month, {rnd("CASE WHEN value IS NOT NULL AND lead_month % 2 = 0 THEN value - 4e-1 ELSE lower END")} AS bound_lower,
+    SELECT dataset_key, feature_id, lead_month, {rnd("CASE WHEN value IS NOT NULL AND lead_month % 2 = 0 THEN value - 4e-1 ELSE lower END", 8)} AS bound_lower,
            {rnd("CASE WHEN value IS NOT NULL AND lead_month % 2 = 0 THEN 8e-1 ELSE 1 END")} AS band_width, 'RMSE x 1.64' AS bound_label FROM seasonal""")
 def chosen_bounds(spark, folder):
     out = E.chosen_bounds(_with_intervals(spark, folder), " RMSE_164 ").select(*KEYS, "lead_month", "bound_lower", "band_width", "bound_label")
-    return rounded(out, "bound_lower", "band_width")
+    return rounded(rounded(out, "bound_lower", digits=8), "band_width")
 
 
 FEEDBACK = """
