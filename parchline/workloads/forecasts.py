@@ -156,13 +156,14 @@ def _sev(v: str) -> str:
 
 @query("forecast_metrics", views="targets seasonal", sql=f"""
     WITH {PAIRS}, g AS (SELECT *, predicted - actual AS e FROM pairs)
-    SELECT dataset_key, lead_month, {rnd("avg(abs(e))")} AS mae, {rnd("sqrt(avg(e * e))")} AS rmse, {rnd("avg(e)")} AS bias,
+    SELECT dataset_key, lead_month, {rnd("avg(abs(e))", 10)} AS mae, {rnd("sqrt(avg(e * e))")} AS rmse, {rnd("avg(e)", 10)} AS bias,
            {rnd("CASE WHEN var_pop(actual) > 0 THEN 1 - avg(e * e) / var_pop(actual) END")} AS r2,
            {rnd("CASE WHEN count(*) > 1 AND var_pop(actual) > 0 AND var_pop(predicted) > 0 THEN corr(actual, predicted) END")} AS correlation,
            {rnd(f"avg(({_sev('actual')} = {_sev('predicted')})::INT)")} AS drought_class_accuracy, count(*) AS sample_count FROM g GROUP BY 1, 2""")
 def forecast_metrics(spark, folder):
     out = E.forecast_metrics(_pairs(spark, folder), ["dataset_key", "lead_month"])
-    return rounded(out, "mae", "rmse", "bias", "r2", "correlation", "drought_class_accuracy")
+    # Means of such multiples can be exact decimal ties at six digits; ten are past them.
+    return rounded(rounded(out, "mae", "bias", digits=10), "rmse", "r2", "correlation", "drought_class_accuracy")
 
 
 @query("exact_quantile", sql=f"SELECT event_type, {rnd('quantile_cont(value, 0.9)')} AS quantile FROM events GROUP BY 1")
@@ -177,12 +178,12 @@ def exact_quantile(spark, folder):
     pool AS (SELECT lead_month, nullif(CASE WHEN count(*) >= 8 THEN quantile_cont(e, 0.9) WHEN count(*) >= 3 THEN 164e-2 * sqrt(avg(e * e)) END, 0) AS q,
                     CASE WHEN count(*) >= 3 THEN greatest(164e-2 * sqrt(avg(e * e)), 15e-2) END AS m FROM r GROUP BY 1),
     s AS (SELECT dataset_key, CAST(k AS INTEGER) AS lead_month, CASE WHEN stddev_pop(y) > 1e-6 THEN stddev_pop(y) ELSE 1 END * (45e-2 + 5e-2 * k) AS f FROM targets, range(1, 25) t(k) GROUP BY 1, k)
-    SELECT s.dataset_key, s.lead_month, {rnd("greatest(coalesce(own.q, pool.q, f), 15e-2)")} AS backtest_q90, {rnd("greatest(coalesce(own.m, pool.m, f), 15e-2)")} AS rmse_164,
+    SELECT s.dataset_key, s.lead_month, {rnd("greatest(coalesce(own.q, pool.q, f), 15e-2)", 10)} AS backtest_q90, {rnd("greatest(coalesce(own.m, pool.m, f), 15e-2)")} AS rmse_164,
            {rnd("greatest(f, 15e-2)")} AS historical_spread
     FROM s LEFT JOIN own ON own.dataset_key = s.dataset_key AND own.lead_month = s.lead_month LEFT JOIN pool ON pool.lead_month = s.lead_month""")
 def interval_spreads(spark, folder):
     out = E.interval_spreads(_pairs(spark, folder), targets(spark, folder), 24)
-    return rounded(out, "backtest_q90", "rmse_164", "historical_spread")
+    return rounded(rounded(out, "backtest_q90", digits=10), "rmse_164", "historical_spread")
 
 
 def _with_intervals(spark, folder):
@@ -240,10 +241,11 @@ def realized_feedback(spark, folder):
 
 
 @query("feedback_summary", views="seasonal dataset_models wide", sql=f"""
-    WITH {FEEDBACK} SELECT dataset_key, index_name, method_name, count(*) AS feedback_count, {rnd("avg(abs(predicted_value - actual_value))")} AS feedback_mae,
-           {rnd("sqrt(avg(pow(predicted_value - actual_value, 2)))")} AS feedback_rmse, {rnd("avg(predicted_value - actual_value)")} AS feedback_bias, max(target_date) AS last_realized FROM feedback GROUP BY 1, 2, 3""")
+    WITH {FEEDBACK} SELECT dataset_key, index_name, method_name, count(*) AS feedback_count, {rnd("avg(abs(predicted_value - actual_value))", 10)} AS feedback_mae,
+           {rnd("sqrt(avg(pow(predicted_value - actual_value, 2)))")} AS feedback_rmse, {rnd("avg(predicted_value - actual_value)", 10)} AS feedback_bias, max(target_date) AS last_realized FROM feedback GROUP BY 1, 2, 3""")
 def feedback_summary(spark, folder):
-    return rounded(E.feedback_summary(_feedback(spark, folder)), "feedback_mae", "feedback_rmse", "feedback_bias")
+    out = rounded(E.feedback_summary(_feedback(spark, folder)), "feedback_mae", "feedback_bias", digits=10)
+    return rounded(out, "feedback_rmse")
 
 
 def _models(spark, folder):
