@@ -14,7 +14,9 @@ from .encoding import decode_descriptions, encode_descriptions
 from .exact import exact_duplicates
 from .language import learn_languages, predict_languages
 from .packing import pack_descriptions
+from .personal import find_personal, learn_personal
 from .records import DESCRIPTION, LANGUAGE
+from .tagger import KINDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +48,22 @@ def remainder() -> F.Column:
     return F.crc32(F.col("feature_id").cast("string")) % 4
 
 
+@query("op1_personal")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document; the counts and the digest are of the fixed patterns, ``spans`` has all."""
+    features = documents(spark, folder)
+    found = find_personal(features, learn_personal(features))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        F.col("feature_id").alias("doc_id"),
+        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op4_language")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of them."""
