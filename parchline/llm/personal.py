@@ -158,7 +158,8 @@ def learn_personal(
     texts = described(features, attribute)
     total = texts.count()
     rank = F.xxhash64("feature_id", "dataset_key")
-    low = F.lit(int(min(1.0, 2.0 * sample_rows / max(total, 1)) * (2**64 - 1)) - 2**63)
+    # A range of hashes that holds twice the sample on average.
+    low = F.lit(min(2 * sample_rows * 2**64 // max(total, 1), 2**64 - 1) - 2**63)
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,7 +59,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
     return found.select(
         F.col("feature_id").alias("doc_id"),
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.array_remove(F.transform(base, lambda s: s["kind"] != k), True)).cast("bigint").alias(f"n_{k}") for k in KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
 
