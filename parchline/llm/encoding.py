@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .records import DESCRIPTION, described, schema_of
+from .records import DESCRIPTION, described, in_parts, schema_of
+from .words import Words
 
 LONG_TEXT = 200_000
 LONG_RUN = 10_000
+ROWS = 500
 # A cut between two of these characters never lies within a match of the split pattern: no alternative
 # matches a letter or number followed by a space, and none looks back.
 BOUNDARY = re.compile(r"[^\W_](?= [^\W_])")
@@ -31,6 +35,19 @@ def encoder(rank_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def words_of(rank_file: str, pattern: str, size: int) -> Words:
+    encoding = encoder(rank_file, pattern)
+    return Words(lambda texts: [array("I", encode_text(encoding, t, size)).tobytes() for t in texts])
+
+
+def each_ids(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row without making them Python objects; null is none."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for row, valid in enumerate(column.is_valid().to_pylist()):
+        yield flat[ends[row] : ends[row + 1]] if valid else flat[:0]
+
+
 def cut(text: str, size: int) -> Iterator[str]:
     """Parts of about ``size`` characters whose tokens, joined, are the tokens of ``text``."""
     at = 0
@@ -67,26 +84,19 @@ def encode_descriptions(features: DataFrame, rank_file: str, pattern: str, attri
 
     ``rank_file`` is the path of a local rank file on every executor, ``pattern`` the split pattern whose
     matches are encoded separately; there are no special tokens, so their names are
-    ordinary text. Descriptions longer than ``size`` characters are cut where no match can
-    span the cut. Null and empty descriptions have no ids; repeated rows are encoded each (once
-    per batch); an empty table gives no rows; other columns are ignored.
+    ordinary text. Texts are split before single spaces, where no match can span the cut, so known words are looked
+    up; what cannot be split so is cut between words once it is longer than ``size`` characters. Null and
+    empty descriptions have no ids; repeated rows are encoded each; an empty table gives no rows; other columns are ignored.
     """
     texts = described(features, attribute)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(rank_file, pattern)
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            found = []
-            for text in batch.column("text").to_pylist():
-                ids = seen.get(text)
-                if ids is None:
-                    ids = seen[text] = encode_text(encoding, text, size)
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("dataset_key"), batch.column("feature_id"), pa.array(found, pa.list_(pa.int32()))],
-                ["dataset_key", "feature_id", "ids"],
-            )
+        words = words_of(rank_file, pattern, size)
+        for batch in in_parts(batches):
+            found = [words.ids(text) for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0] + [len(f) // 4 for f in found], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("dataset_key"), batch.column("feature_id"), ids], ["dataset_key", "feature_id", "ids"])
 
     return texts.mapInArrow(encoded, schema_of(texts, ("dataset_key", "feature_id"), ("ids", ArrayType(IntegerType()))))
 
@@ -102,10 +112,12 @@ def decode_descriptions(tokens: DataFrame, rank_file: str, pattern: str) -> Data
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(rank_file, pattern)
         for batch in batches:
-            content = [encoding.decode_bytes(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("dataset_key"), batch.column("feature_id"), batch.column("ids"), pa.array(content, pa.binary())],
-                ["dataset_key", "feature_id", "ids", "content"],
-            )
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                content = [encoding.decode_bytes(ids.tolist()) for ids in each_ids(part.column("ids"))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("dataset_key"), part.column("feature_id"), part.column("ids"), pa.array(content, pa.binary())],
+                    ["dataset_key", "feature_id", "ids", "content"],
+                )
 
     return rows.mapInArrow(decoded, schema_of(rows, ("dataset_key", "feature_id", "ids"), ("content", BinaryType())))

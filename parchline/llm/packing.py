@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,63 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .records import DESCRIPTION, described, schema_of, written
+from .records import DESCRIPTION, described, in_parts, schema_of, written
+from .words import Words
 
 WINDOW = 2048
 END = 1
-KNOWN_WORDS = 400_000
-LONGEST_WORD = 64
-SPACED = re.compile(r"\s (?:\s|\Z)")
 SHARD_ROWS = 100_000
 
 
-class Words:
-    """Token ids of texts, word by word, for a byte-level BPE tokenizer file.
+@lru_cache(maxsize=2)
+def words_of(tokenizer_file: str) -> Words:
+    """The words of a tokenizer file, built once per Python worker."""
+    from tokenizers import Tokenizer
 
-    A text can be cut before a single space without changing its tokens unless white space is on
-    both sides of that space, so the ids of a word are looked up and only new words are tokenized.
-    At most ``most`` words of up to ``LONGEST_WORD`` characters are kept. Texts with other runs of white space are
-    tokenized whole.
-    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    # Names of special tokens in a text are ordinary text.
+    tokenizer.encode_special_tokens = True
 
-    def __init__(self, tokenizer_file: str, most: int = KNOWN_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        # Names of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.most = most
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
-        if SPACED.search(text):
-            return self.whole([text])[0]
-        parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        known = self.words
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        new = list({p for p in parts if p not in known})
-        fresh = dict(zip(new, self.whole(new), strict=True))
-        out = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
-        known.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST_WORD)
-        return out
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Tokenizes texts as they are, without the end token."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def tokenize(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-
-@lru_cache(maxsize=2)
-def words_of(tokenizer_file: str) -> Words:
-    return Words(tokenizer_file)
+    return Words(tokenize)
 
 
 class OpenWindows:
@@ -148,7 +113,7 @@ def pack_descriptions(
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = words_of(tokenizer_file), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: list[int] = []
             found: list[tuple[int, int, int, int]] = []
             seen: dict[str, list] = {}

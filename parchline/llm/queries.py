@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import decode_descriptions, encode_descriptions
+from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
 from .language import learn_languages, predict_languages
 from .packing import pack_descriptions
+from .passages import repeated_passages
 from .personal import find_personal, learn_personal
 from .records import DESCRIPTION, LANGUAGE
 from .tagger import KINDS
@@ -64,6 +65,41 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op3_passages",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    u AS (
+      SELECT doc_id, level, unnest(units) AS unit, generate_subscripts(units, 1) AS place FROM (
+        SELECT doc_id, 'line' AS level, regexp_extract_all(text, '[^\n]+\n*|\n+') AS units FROM d
+        UNION ALL SELECT doc_id, 'sentence', regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|[.!?\n]+') FROM d)),
+    p AS (
+      SELECT *, lower(trim(regexp_replace(unit, '[ \t-\r]+', ' ', 'g'), ' ')) AS plain,
+        sum(length(unit)) OVER (PARTITION BY doc_id, level ORDER BY place) AS "end" FROM u),
+    w AS (SELECT *, "end" - length(unit) AS start FROM p WHERE plain <> '' AND length(plain) - length(replace(plain, ' ', '')) + 1 >= 5),
+    r AS (SELECT *, row_number() OVER (PARTITION BY level, plain ORDER BY doc_id, start) AS rank FROM w),
+    x AS (SELECT doc_id, start, "end", max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM r WHERE rank > 1),
+    g AS (SELECT *, sum(CASE WHEN before >= start THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM x),
+    m AS (SELECT doc_id, run, min(start) AS start, max("end") AS "end" FROM g GROUP BY ALL),
+    s AS (SELECT doc_id, count(*) AS n, sum("end" - start) AS chars, string_agg(start || ':' || "end", ',' ORDER BY start) AS spans FROM m GROUP BY doc_id),
+    c AS (SELECT doc_id, count(*) AS n_units FROM w GROUP BY doc_id)
+    SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, coalesce(c.n_units, 0)::BIGINT AS n_units, coalesce(s.n, 0)::BIGINT AS n_removed,
+      coalesce(s.chars, 0)::BIGINT AS removed_chars, coalesce(s.spans, '') AS spans
+    FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated lines and sentences of every document, as removed runs of its text."""
+    found = repeated_passages(documents(spark, folder))
+    runs = F.col("removed")
+    return found.select(
+        F.col("feature_id").alias("doc_id"), "n_chars", "n_units", F.size(runs).cast("bigint").alias("n_removed"),
+        F.aggregate(runs, F.lit(0).cast("bigint"), lambda total, r: total + r["end"] - r["start"]).alias("removed_chars"),
+        F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
 @query("op4_language")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of them."""
@@ -97,11 +133,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
+            counts, texts = [], []
+            for ids in each_ids(batch.column("ids")):
+                counts.append(len(ids))
+                texts.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+            content = [hashlib.sha256(c.as_buffer()).hexdigest() for c in batch.column("content")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("feature_id"), pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array([hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids]),
-                 pa.array([hashlib.sha256(c).hexdigest() for c in batch.column("content").to_pylist()])],
+                [batch.column("feature_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(content, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -8,7 +8,10 @@ stored tables; any orderable type works and comes back unchanged.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -32,6 +35,19 @@ def described(features: DataFrame, attribute: str = DESCRIPTION, *more: str) ->
     )
 
 
+def in_parts(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` bytes in ``column`` (or one row), to bound the Python objects made of them."""
+    for batch in batches:
+        size = pc.cumulative_sum(pc.binary_length(batch.column(column)).cast(pa.int64())).to_pylist()
+        start, done = 0, 0
+        for row, total in enumerate(size):
+            if total - done > most and row > start:
+                yield batch.slice(start, row - start)
+                start, done = row, size[row - 1]
+        if start < len(size):
+            yield batch.slice(start)
+
+
 def schema_of(df: DataFrame, keep: tuple[str, ...], *fields: tuple[str, DataType]) -> StructType:
     """Schema with the columns ``keep`` of ``df`` followed by new fields."""
     return StructType([df.schema[c] for c in keep] + [StructField(n, t) for n, t in fields])
