@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
+from .jaccard import jaccard_links
 from .language import learn_languages, predict_languages
 from .packing import pack_descriptions
 from .passages import repeated_passages
@@ -124,6 +125,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("feature_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op6_jaccard")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document (five words, similarity from 0.8)."""
+    found = jaccard_links(documents(spark, folder))
+    return found.select(F.col("feature_id").alias("doc_id"), "class_id", "class_size", "n_links")
+
+
 @query("op9_tokens")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-pair tokens of every document, and the bytes they decode to."""
