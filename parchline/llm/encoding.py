@@ -19,7 +19,8 @@ from .words import Words
 
 LONG_TEXT = 200_000
 LONG_RUN = 10_000
-ROWS = 500
+ROWS = 200
+KNOWN_WORDS = 300_000
 # A cut between two of these characters never lies within a match of the split pattern: no alternative
 # matches a letter or number followed by a space, and none looks back.
 BOUNDARY = re.compile(r"[^\W_](?= [^\W_])")
@@ -38,7 +39,7 @@ def encoder(rank_file: str, pattern: str) -> tiktoken.Encoding:
 @lru_cache(maxsize=4)
 def words_of(rank_file: str, pattern: str, size: int) -> Words:
     encoding = encoder(rank_file, pattern)
-    return Words(lambda texts: [array("I", encode_text(encoding, t, size)).tobytes() for t in texts])
+    return Words(lambda texts: [array("I", encode_text(encoding, t, size)).tobytes() for t in texts], KNOWN_WORDS)
 
 
 def each_ids(column: pa.ListArray) -> Iterator[np.ndarray]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archive import derived_records, urn
 from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
 from .jaccard import jaccard_links
@@ -132,6 +133,50 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("feature_id").alias("doc_id"), "class_id", "class_size", "n_links")
 
 
+@query(
+    "op8_archive",
+    r"""
+    WITH p AS (
+      SELECT page_id, url, coalesce(html, '') AS html,
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g'),
+          '(?is)<script\b.*?(?:</script\s*>|\z)', '', 'g'), '(?is)<style\b.*?(?:</style\s*>|\z)', '', 'g'),
+          '(?is)<noscript\b.*?(?:</noscript\s*>|\z)', '', 'g') AS seen,
+        md5(concat_ws(chr(10), page_id, url)) AS m FROM pages),
+    q AS (
+      SELECT *, regexp_replace(regexp_replace(regexp_replace(seen, '[\r\n]+', ' ', 'g'),
+          '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'),
+          '</?[A-Za-z!][^>]*>', '', 'g') AS stripped,
+        regexp_replace(regexp_extract(seen, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '</?[A-Za-z!][^>]*>', '', 'g') AS heading,
+        '<urn:uuid:' || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) || '>' AS refers_to FROM p),
+    r AS (
+      SELECT *, replace(replace(replace(replace(replace(replace(stripped, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS body,
+        replace(replace(replace(replace(replace(replace(heading, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS name FROM q),
+    t AS (
+      SELECT *, regexp_replace(regexp_replace(regexp_replace(body, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g') AS plain,
+        regexp_replace(regexp_replace(regexp_replace(name, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g') AS title,
+        list_transform(regexp_extract_all(seen, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), lambda x: 'outlink: ' || replace(x, '&amp;', '&') || chr(13) || chr(10)) AS links FROM r),
+    b AS (
+      SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+        'title: ' || regexp_replace(title, '[\r\n]+', ' ', 'g') || chr(13) || chr(10) || 'language: ' || regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"', 1)
+          || chr(13) || chr(10) || array_to_string(links, '') AS block FROM t
+      UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM t),
+    c AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest, md5(concat_ws(chr(10), record_type, refers_to, url, 'sha256:' || sha256(html))) AS k FROM b)
+    SELECT page_id, record_type, '<urn:uuid:' || concat_ws('-', k[1:8], k[9:12], k[13:16], k[17:20], k[21:32]) || '>' AS record_id, refers_to, url AS target_uri,
+      content_type, octet_length(encode(block))::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest,
+      'Content-Type: text/html' AS source_headers, block FROM c
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and plain-text records of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    source = urn(F.col("page_id").cast("string"), F.col("url"))
+    responses = pages.select(
+        source.alias("record_id"), F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("warc_date"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"), F.col("html").alias("payload"), "page_id",
+    )
+    return derived_records(responses, "page_id").drop("warc_date")
+
+
 @query("op9_tokens")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-pair tokens of every document, and the bytes they decode to."""
