@@ -15,6 +15,7 @@ from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
 from .jaccard import jaccard_links
 from .language import learn_languages, predict_languages
+from .nearest import nearest_features
 from .packing import pack_descriptions
 from .passages import repeated_passages
 from .personal import find_personal, learn_personal
@@ -133,6 +134,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("feature_id").alias("doc_id"), "class_id", "class_size", "n_links")
 
 
+@query("op7_nearest")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("values"))
+    found = nearest_features(vectors, vectors.where(F.col("feature_id") % 100 == 0))
+    return found.select("query_id", "rank", F.col("feature_id").alias("vec_id"), "score")
+
+
 @query(
     "op8_archive",
     r"""
