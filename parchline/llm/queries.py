@@ -20,6 +20,7 @@ from .packing import pack_descriptions
 from .passages import repeated_passages
 from .personal import find_personal, learn_personal
 from .records import DESCRIPTION, LANGUAGE
+from .suffixes import repeated_bytes
 from .tagger import KINDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_suffixes")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that lie in a string of 200 bytes found elsewhere too."""
+    found = repeated_bytes(documents(spark, folder))
+    return found.select(
+        F.col("feature_id").alias("doc_id"), "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, r: total + r["end"] - r["start"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query(
     "op3_passages",
     r"""
