@@ -127,8 +127,8 @@ def exact_duplicates(features: DataFrame, attribute: str = DESCRIPTION, held_byt
     Patricia trie, whose terminal nodes keep the smallest order key and the number
     of rows. Only this tally is joined back, by digest, to the features.
 
-    Returns one row per input row: ``dataset_key, feature_id, keep_dataset_key, keep_id, group_size,
-    kept, text_sha256`` (hex digest of the normalized text). The feature with most characters in the original text stays, then the
+    Returns one row per input row: ``dataset_key, feature_id, points, keep_dataset_key, keep_id, group_size,
+    kept, text_sha256`` (characters of the original text; hex digest of the normalized text). The feature with most characters in the original text stays, then the
     smallest ``feature_id``, then the smallest ``dataset_key``; nulls come last. Null
     and missing descriptions count as empty, and empty ones are equal to each other. Of rows repeated
     with the same key and text exactly one stays. An empty table gives no rows; other columns are ignored.
@@ -209,6 +209,6 @@ def exact_duplicates(features: DataFrame, attribute: str = DESCRIPTION, held_byt
         & (F.col("points") == F.col("keep_points"))
     )
     return joined.select(
-        "dataset_key", "feature_id", "keep_dataset_key", "keep_id", "group_size",
+        "dataset_key", "feature_id", "points", "keep_dataset_key", "keep_id", "group_size",
         (is_best & (F.col("repeat") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

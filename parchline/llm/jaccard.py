@@ -122,8 +122,9 @@ def jaccard_links(
     pair of blocks is compared once. A task gives back one row per representative, its
     number of links and a root, never pairs.
 
-    Returns one row per input row: ``dataset_key, feature_id, class_dataset_key, class_id, class_size, n_links``. The class is the
-    component of verified links, named by its smallest key (by ``feature_id``, then ``dataset_key``, nulls last); ``n_links``
+    Returns one row per input row: ``dataset_key, feature_id, content, kept, class_dataset_key, class_id, class_size, n_links``. The class is the
+    component of verified links, named by its smallest key (by ``feature_id``, then ``dataset_key``, nulls last, then ``content``, the first half
+    of the text's SHA-256), whose feature is the one to keep; ``n_links``
     counts the other features with similarity at or above the threshold, equal sets included. Null, empty and
     wordless descriptions link to nothing; with fewer than ``words`` words the whole text is one n-gram. Repeated
     rows are copies of each other. An empty table gives no rows; other columns are ignored.
@@ -160,7 +161,7 @@ def jaccard_links(
         ),
         "signatures",
     )
-    key = F.struct(F.col("feature_id").isNull().alias("no_id"), "feature_id", F.col("dataset_key").isNull().alias("no_layer"), "dataset_key")
+    key = F.struct(F.col("feature_id").isNull().alias("no_id"), "feature_id", F.col("dataset_key").isNull().alias("no_layer"), "dataset_key", "content")
     representatives = written(
         signatures.where("set_id is not null").groupBy("set_id").agg(
             F.min(key).alias("key"), F.count("*").alias("size"), F.min(F.struct("content", "bands")).alias("some")
@@ -213,13 +214,14 @@ def jaccard_links(
     )
     classes = named.groupBy("root").agg(F.min("key").alias("first"), F.sum("size").alias("class_size"))
     known = named.join(classes, "root").select(
-        "set_id", F.col("first.dataset_key").alias("class_dataset_key"), F.col("first.feature_id").alias("class_id"), "class_size",
+        "set_id", F.col("first.dataset_key").alias("class_dataset_key"), F.col("first.feature_id").alias("class_id"), F.col("first.content").alias("first_content"), "class_size",
         (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.lit(True).alias("known"),
     )
-    joined = signatures.select("dataset_key", "feature_id", "set_id").join(known, "set_id", "left")
+    joined = signatures.select("dataset_key", "feature_id", "content", "set_id").join(known, "set_id", "left")
     own = F.col("known").isNull()
+    first = F.col("feature_id").eqNullSafe(F.col("class_id")) & F.col("dataset_key").eqNullSafe(F.col("class_dataset_key")) & (F.col("content") == F.col("first_content"))
     return joined.select(
-        "dataset_key", "feature_id",
+        "dataset_key", "feature_id", "content", (own | first).alias("kept"),
         F.when(own, F.col("dataset_key")).otherwise(F.col("class_dataset_key")).alias("class_dataset_key"),
         F.when(own, F.col("feature_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

@@ -165,8 +165,8 @@ def learn_languages(
     return LanguageFilters(names, slots, hashes)
 
 
-def predict_languages(features: DataFrame, filters: LanguageFilters, attribute: str = DESCRIPTION) -> DataFrame:
-    """``(dataset_key, feature_id, language, score)`` for every feature.
+def predict_languages(features: DataFrame, filters: LanguageFilters, attribute: str = DESCRIPTION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(dataset_key, feature_id, …, found, score)`` for every feature; ``keep`` names attributes to carry along.
 
     All trigrams of the whole description are looked up at once for all languages. The share of
     hits of a language is corrected for the false positives of its filter; the largest
@@ -174,8 +174,8 @@ def predict_languages(features: DataFrame, filters: LanguageFilters, attribute:
     a letter, are ``und`` with score 0; so are all when nothing was learned. Other
     columns are ignored, repeated rows answered each, an empty table gives no rows.
     """
-    texts = described(features, attribute)
-    shared = texts.sparkSession.sparkContext.broadcast(filters)
+    texts = described(features, attribute, *keep)
+    shared, carried = texts.sparkSession.sparkContext.broadcast(filters), ("dataset_key", "feature_id", *keep)
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -201,8 +201,7 @@ def predict_languages(features: DataFrame, filters: LanguageFilters, attribute:
             else:
                 names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("dataset_key"), batch.column("feature_id"), pa.array(names, pa.string()), pa.array(score)],
-                ["dataset_key", "feature_id", "language", "score"],
+                [*[batch.column(c) for c in carried], pa.array(names, pa.string()), pa.array(score)], [*carried, "found", "score"],
             )
 
-    return texts.mapInArrow(predicted, schema_of(texts, ("dataset_key", "feature_id"), ("language", StringType()), ("score", DoubleType())))
+    return texts.mapInArrow(predicted, schema_of(texts, carried, ("found", StringType()), ("score", DoubleType())))

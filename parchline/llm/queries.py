@@ -121,7 +121,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     features = documents(spark, folder)
     held_out = F.coalesce(remainder() == 2, F.lit(False))
     found = predict_languages(features, learn_languages(features.where(~held_out)))
-    return found.select(F.col("feature_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score")
+    return found.select(F.col("feature_id").alias("doc_id"), held_out.alias("held_out"), F.col("found").alias("lang_pred"), "score")
 
 
 @query(
