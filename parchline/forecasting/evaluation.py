@@ -21,7 +21,7 @@ QUANTILE_ROWS = 8
 RMSE_ROWS = 3
 FALLBACK_BASE = 0.45
 FALLBACK_STEP = 0.05
-BUCKETS = 4096
+ACCURACY = 10_000
 
 
 def matched(forecasts: DataFrame, actuals: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -50,52 +50,32 @@ def forecast_metrics(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantile(rows: DataFrame, groups: Sequence[str], value: str, q: float) -> DataFrame:
-    """Exact quantile with linear interpolation, for groups of any size.
+def exact_quantile(rows: DataFrame, groups: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantile with linear interpolation, for groups of any size and shape.
 
-    Values are counted in a few thousand buckets per group (combined before the
-    shuffle); only the buckets holding the two wanted ranks are then looked at value
-    by value. No group is gathered in one task.
+    A quantile sketch per group (combined before the shuffle) is off by at most one in ``accuracy`` of the ranks, so two
+    of its answers bracket the wanted ranks, whatever the values. What lies below the bracket is counted, and only the
+    values inside, a few in ``accuracy`` of the group, are ordered.
     """
     v = F.col(value)
     kept = rows.where(v.isNotNull())
-    limits = kept.groupBy(*groups).agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    place = F.when(
-        F.col("_hi") > F.col("_lo"), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS)
-    ).otherwise(F.lit(0).cast("bigint"))
-    exact_rank = (F.col("_n") - 1) * F.lit(q)
-    binned = kept.join(limits, list(groups)).select(
-        *groups,
-        v.alias("_v"),
-        place.alias("_b"),
-        F.floor(exact_rank).alias("_r0"),
-        F.ceil(exact_rank).alias("_r1"),
-        (exact_rank - F.floor(exact_rank)).alias("_f"),
-    )
-    counts = binned.groupBy(*groups, "_b").agg(
-        F.count("*").alias("_c"), F.first("_r0").alias("_r0"), F.first("_r1").alias("_r1"), F.first("_f").alias("_f")
-    )
-    upto = Window.partitionBy(*groups).orderBy("_b")
-    before = F.sum("_c").over(upto) - F.col("_c")
-    wanted = counts.withColumn("_before", before).where(
-        (F.col("_before") <= F.col("_r1")) & (F.col("_before") + F.col("_c") > F.col("_r0"))
-    )
-    values = (
-        binned.select(*groups, "_b", "_v")
-        .join(wanted.select(*groups, "_b"), [*groups, "_b"], "left_semi")
-        .groupBy(*groups, "_b", "_v")
-        .agg(F.count("*").alias("_k"))
-        .join(wanted.select(*groups, "_b", "_before", "_r0", "_r1", "_f"), [*groups, "_b"])
+    slack = 2.0 / accuracy
+    around = [F.percentile_approx(v, p, accuracy) for p in (max(0.0, q - slack), min(1.0, q + slack))]
+    # Ranks next to each other may fall on both sides of an answer, so in tiny groups everything is looked at.
+    tiny = F.count("*") <= accuracy
+    limits = kept.groupBy(*groups).agg(
+        F.count("*").alias("_n"), F.when(tiny, F.min(v)).otherwise(around[0]).alias("_lo"), F.when(tiny, F.max(v)).otherwise(around[1]).alias("_hi")
     )
-    inside = Window.partitionBy(*groups, "_b").orderBy("_v")
-    end = F.sum("_k").over(inside) + F.col("_before")
-    ranked = values.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_k"))
+    inside = kept.join(limits, list(groups)).where(v <= F.col("_hi"))
+    counts = inside.groupBy(*groups, F.when(v >= F.col("_lo"), v).alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first())
+    ranked = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    rank = (F.col("_n") - 1) * F.lit(q)
 
-    def at(rank: str) -> Column:
-        hit = (F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank))
-        return F.max(F.when(hit, F.col("_v")))
+    def at(wanted: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= wanted) & (F.col("_end") > wanted), F.col("_v")))
 
-    picked = ranked.groupBy(*groups).agg(at("_r0").alias("_a"), at("_r1").alias("_z"), F.first("_f").alias("_f"))
+    picked = ranked.groupBy(*groups).agg(at(F.floor(rank)).alias("_a"), at(F.ceil(rank)).alias("_z"), F.first(rank - F.floor(rank)).alias("_f"))
     return picked.select(*groups, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))
 
 

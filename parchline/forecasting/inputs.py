@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,3 +165,19 @@ def backtest_origins(
         .where((F.col("_n") % step == 0) & (F.col("rows") >= window))
         .drop("_n")
     )
+
+
+def pooled_layers(layers: Mapping[str, DataFrame], keys: Sequence[str] = ("feature_id", "date")) -> DataFrame:
+    """One training frame of several layers, with the input columns of the first.
+
+    Inputs that a later layer lacks are 0 there; inputs that only later layers have are left out. Missing values within a
+    column stay missing.
+    """
+    frames = [frame.withColumn("dataset_key", F.lit(name)) for name, frame in layers.items()]
+    if not frames:
+        raise ValueError("no layers to pool")
+    order = ["dataset_key", *keys, *[c for c in frames[0].columns if c not in ("dataset_key", *keys)]]
+    pooled = frames[0].select(*order)
+    for frame in frames[1:]:
+        pooled = pooled.unionByName(frame.select(*[F.col(c) if c in frame.columns else F.lit(0.0).alias(c) for c in order]))
+    return pooled

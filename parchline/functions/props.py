@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import repair_text
 
-# Attribute names in order of preference, and limits of the map payload.
+# Attribute names in order of preference, and names that the map payload uses itself.
 ID_KEYS = ("feature_id", "station_id", "region_id", "id", "code", "gid", "fid", "name")
 REDUNDANT_ID_KEYS = ("feature_id", "station_id", "region_id", "id")
 NAME_KEYS = (
@@ -17,8 +17,6 @@ NAME_KEYS = (
 RESERVED_KEYS = (
     "id", "feature_id", "station_id", "region_id", "value", "has_value", "severity", "trend", "attrs", "geometry",
 )
-MAX_ATTRIBUTES = 32
-MAX_TEXT = 180
 
 
 def attribute(props: Column, key: str) -> Column:
@@ -46,20 +44,24 @@ def display_name(props: Column, fid: Column) -> Column:
     return F.coalesce(*preferred, F.get(others, F.lit(0))["value"], fid)
 
 
-def map_attributes(props: Column) -> Column:
-    """Compact attributes for map features: no blanks or reserved keys, short texts, few keys."""
+def map_attributes(props: Column, most: int | None = None, longest: int | None = None) -> Column:
+    """Attributes for map features, without blanks and reserved keys.
+
+    All are kept in full unless ``most`` bounds their number or ``longest`` the characters of a text.
+    """
     kept = F.map_filter(
         props, lambda k, v: v.isNotNull() & (v != "") & ~F.lower(k).isin(*RESERVED_KEYS)
     )
 
-    def shorten(_k: Column, v: Column) -> Column:
+    def shown(_k: Column, v: Column) -> Column:
         fixed = repair_text(v)
-        return F.when(
-            F.length(fixed) > MAX_TEXT, F.concat(F.substring(fixed, 1, MAX_TEXT - 1), F.lit("…"))
-        ).otherwise(fixed)
+        if longest is None:
+            return fixed
+        return F.when(F.length(fixed) > longest, F.concat(F.substring(fixed, 1, longest - 1), F.lit("…"))).otherwise(fixed)
 
-    entries = F.slice(F.map_entries(kept), 1, MAX_ATTRIBUTES)
-    return F.transform_values(F.map_from_entries(entries), shorten)
+    if most is not None:
+        kept = F.map_from_entries(F.slice(F.map_entries(kept), 1, most))
+    return F.transform_values(kept, shown)
 
 
 def province(props: Column) -> Column:

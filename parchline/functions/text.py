@@ -8,13 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ARABIC_LETTER = r"[\u0600-\u06FF]"
-HIGH_LATIN = r"[\u0080-\u009F\u00C0-\u00FF]"
 BEYOND_LATIN = r"[^\u0000-\u00FF]"
 
 # The upper half of Latin-1 beside the same bytes read as Windows-1256.
 _HIGH_BYTES = bytes(range(0x80, 0x100))
 LATIN_HIGH = _HIGH_BYTES.decode("latin-1")
 ARABIC_HIGH = _HIGH_BYTES.decode("cp1256")
+# Signs of such text: letters and control characters of that half, but not its punctuation.
+HIGH_LATIN = "[" + "".join(c for c in LATIN_HIGH if not 0xA0 <= ord(c) < 0xC0) + "]"
 
 # Arabic letters replaced by their Persian forms, and digit rows.
 PERSIAN_FROM, PERSIAN_TO = "يك", "یک"

@@ -26,3 +26,13 @@ def subregions(features: DataFrame, levels: Sequence[str], parts: int = 2) -> Da
             "maxy": F.col("miny") + F.col("part") * half_y * Y_REACH,
         }
     )
+
+
+def seeded_series(series: DataFrame, regions: DataFrame, level: str) -> DataFrame:
+    """Rows of a series named by region, with the ``region_id`` of the region of that name and level.
+
+    ``series`` has ``region_name``, ``regions`` has ``region_id``, ``name`` and ``level``. Rows under a name that no
+    region of the level has are dropped.
+    """
+    known = regions.where(F.col("level") == level).select("region_id", F.col("name").alias("region_name"))
+    return series.join(known, "region_name")

@@ -45,15 +45,38 @@ def class_shares(rows: DataFrame, value: str, keys: Sequence[str] = ("dataset_ke
     return counted.withColumn("percent", F.col("features") * 100.0 / total)
 
 
-def page(rows: DataFrame, order: str, limit: int = 2000, offset: int = 0, highest: int = 10000) -> DataFrame:
-    """One page in key order with the limit kept between 1 and the highest allowed."""
-    return rows.orderBy(order).offset(max(0, offset)).limit(max(1, min(limit, highest)))
+def page(rows: DataFrame, order: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows in key order from ``offset`` on, ``limit`` of them; None gives all.
 
-
-def page_after(rows: DataFrame, order: str, last_seen: object | None, limit: int = 2000, highest: int = 10000) -> DataFrame:
+    ``total`` counts the rows of all pages, and ``truncated`` tells whether any follow this one.
+    Deep pages are better asked for by key, see ``page_after``.
+    """
+    _checked(limit)
+    if offset < 0:
+        raise ValueError(f"offset {offset} is negative")
+    total = rows.select(F.count("*")).scalar()
+    shown = rows.orderBy(order)
+    if offset:
+        shown = shown.offset(offset)
+    if limit is not None:
+        shown = shown.limit(limit)
+    more = F.lit(False) if limit is None else total > offset + limit
+    return shown.withColumns({"total": total, "truncated": more})
+
+
+def page_after(rows: DataFrame, order: str, last_seen: object | None, limit: int | None = None) -> DataFrame:
     """The same page by key instead of by position: cost does not grow with depth."""
+    _checked(limit)
     later = rows if last_seen is None else rows.where(F.col(order) > F.lit(last_seen))
-    return later.orderBy(order).limit(max(1, min(limit, highest)))
+    shown, more = later.orderBy(order), F.lit(False)
+    if limit is not None:
+        shown, more = shown.limit(limit), later.select(F.count("*")).scalar() > limit
+    return shown.withColumns({"total": rows.select(F.count("*")).scalar(), "truncated": more})
+
+
+def _checked(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit {limit} is below one")
 
 
 def map_clusters(points: DataFrame, zoom: int, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
@@ -86,8 +109,8 @@ def with_radius(points: DataFrame, keys: Sequence[str] = ("dataset_key", "date")
     return points.join(limits, list(keys), "left").withColumn("radius", radius).drop("_low", "_high")
 
 
-def suggestions(features: DataFrame, query: str, matches: Column, name: str = "name", fid: str = "feature_id", limit: int = 8) -> DataFrame:
-    """Best search hits: names or ids starting with the query first."""
+def suggestions(features: DataFrame, query: str, matches: Column, limit: int, name: str = "name", fid: str = "feature_id") -> DataFrame:
+    """The ``limit`` best search hits: names or ids starting with the query first."""
     q = (query or "").strip().lower()
     starts = F.lower(F.col(name)).startswith(q) | F.lower(F.col(fid)).startswith(q)
     return (

@@ -140,7 +140,7 @@ def summary(series: DataFrame, keys: Keys, value: str = "value") -> DataFrame:
     )
 
 
-def compacted(series: DataFrame, keys: Keys, max_points: int = 600, value: str = "value") -> DataFrame:
+def compacted(series: DataFrame, keys: Keys, max_points: int, value: str = "value") -> DataFrame:
     """Last points of each series beside counts and values of the full series."""
     everything = whole(keys)
     v = F.col(value)

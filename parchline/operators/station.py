@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,27 @@ def run_counters(raw: DataFrame, monthly: DataFrame, modes: DataFrame) -> DataFr
     )
 
 
+# Labels of the reference period.
+LABEL_CONFIGURED = "Configured baseline ({start} to {end})"
+LABEL_AVAILABLE = "Available period"
+LABEL_OWN = "Station-specific available period"
+
+
 def reference_label(mode: Column, start: str | None, end: str | None) -> Column:
-    configured = f"Configured baseline ({start} to {end})" if start and end else "Available period"
-    return F.when(mode == "fallback_available", "Station-specific available period").otherwise(configured)
+    configured = LABEL_CONFIGURED.format(start=start, end=end) if start and end else LABEL_AVAILABLE
+    return F.when(mode == "fallback_available", LABEL_OWN).otherwise(configured)
+
+
+def matches_reference(is_point: Column, mode: Column, shown: Sequence[str], own_period: Column | None = None) -> Column:
+    """Whether a feature passes the filter on its reference period.
+
+    ``shown`` names the modes asked for (``configured``, ``fallback_available``); a feature must match each of them, and none
+    lets all pass. Only points are filtered. ``own_period`` marks stations that use their own period whatever their mode says.
+    """
+    fits = F.lit(True)
+    for name in shown:
+        hit = F.coalesce(mode == name, F.lit(False))
+        if name == "fallback_available" and own_period is not None:
+            hit = hit | F.coalesce(own_period, F.lit(False))
+        fits = fits & hit
+    return ~is_point | fits

@@ -26,6 +26,8 @@ KERNEL_SCHEMA = T.StructType(
 )
 # Fixed value: two-sided 5 % point of the standard normal.
 Z_CRITICAL = 1.959963984540054
+# All pairs of a series are held at once: enough for three hundred years of months.
+LONGEST_SERIES = 4000
 
 
 def average_ranks(values: np.ndarray) -> np.ndarray:
@@ -42,6 +44,8 @@ def pair_statistics(values: np.ndarray) -> tuple[int, float, float, float, float
     n = y.size
     if n < 2:
         return n, 0.0, 0.0, 0.0, 0.0
+    if n > LONGEST_SERIES:
+        raise ValueError(f"a series of {n} values has too many pairs; bring it to months first")
     first, second = np.triu_indices(n, k=1)
     rise = y[second] - y[first]
     score = float(np.sign(rise).sum())

@@ -133,12 +133,13 @@ class Catalog:
         month: str,
         method: str | None = None,
         bbox: str | None = None,
-        limit: int = 2000,
+        limit: int | None = None,
         offset: int = 0,
     ) -> DataFrame:
-        """One page of features with value, severity, trend and forecast override.
+        """Features with value, severity, trend and forecast override: all, or one page of them.
 
-        The page is taken from the features alone, before anything is joined to it.
+        A page is taken from the features alone, before anything is joined to it; ``total`` and ``truncated`` tell
+        what else there is.
         """
         shown = self.features.where(same_key(F.col("dataset_key"), level))
         box = parse_bbox(bbox)
@@ -158,6 +159,8 @@ class Catalog:
             "value",
             F.col("value").isNotNull().alias("has_value"),
             map_severity(F.col("value"), index_name).alias("severity"),
+            "total",
+            "truncated",
         )
         if self.trends is not None:
             trends = self.trends.where(same_key(F.col("dataset_key"), level) & (F.col("index_name") == index_name))
@@ -199,7 +202,7 @@ class Catalog:
             rows = rows.where(F.col("feature_id") == str(feature_id))
         return filled_between(rows, FEATURE)
 
-    def compact_series(self, level: str, index_name: str, feature_id: str | None = None, points: int = 600) -> DataFrame:
+    def compact_series(self, level: str, index_name: str, points: int, feature_id: str | None = None) -> DataFrame:
         return compacted(self.time_series(level, index_name, feature_id), FEATURE, points)
 
     def kpi(self, level: str, index_name: str, month: str | None = None, feature_id: str | None = None) -> DataFrame:

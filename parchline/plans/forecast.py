@@ -39,6 +39,24 @@ class ForecastRun:
     training_rows: int
 
 
+@dataclass
+class TooFewRows:
+    """Why a run made no forecasts."""
+
+    method: str
+    index_name: str
+    training_rows: int
+    least_rows: int
+    layers: DataFrame
+
+    def status(self) -> DataFrame:
+        """One row per layer."""
+        return self.layers.select(
+            "dataset_key", F.lit(self.index_name).alias("index_name"), F.lit(self.method).alias("method_name"),
+            F.lit("insufficient_rows").alias("status"), F.lit(self.training_rows).alias("training_rows"), F.lit(self.least_rows).alias("least_rows"),
+        )
+
+
 def run_forecast(
     frame: DataFrame,
     make: Callable[[], Forecaster],
@@ -47,11 +65,12 @@ def run_forecast(
     horizon: int = HORIZON,
     backtest_months: int = BACKTEST_MONTHS,
     window: int = INPUT_WINDOW,
-) -> ForecastRun | None:
+    least_rows: int = MINIMUM_TRAINING_ROWS,
+) -> ForecastRun | TooFewRows:
     """Evaluate on the last months with a model that has not seen them, then fit on all.
 
-    ``frame`` pools the layers of a source. Fewer training rows than the minimum
-    give no forecast.
+    ``frame`` pools the layers of a source. Fewer training rows than ``least_rows``
+    give no forecast but a status.
     """
     # Training, backtest and forecast all read the frame; it is computed once.
     ensure_checkpoint_dir(frame.sparkSession)
@@ -59,8 +78,8 @@ def run_forecast(
     last = frame.select(F.add_months(F.max("date"), -backtest_months).alias("c")).first()["c"]
     judged = make()
     rows = judged.fit(frame, last, window)
-    if rows < MINIMUM_TRAINING_ROWS:
-        return None
+    if rows < least_rows:
+        return TooFewRows(judged.method, index_name, rows, least_rows, frame.select("dataset_key").distinct())
     past = histories(frame, judged.columns, window)
     tested = recursive_forecast(judged, backtest_origins(past, last, window, horizon), horizon)
     pairs = matched(tested, frame).checkpoint()
@@ -96,12 +115,16 @@ def store_run(
     if store.exists("forecasts") and store.exists("dataset_models"):
         old = store.read("forecasts").where((F.col("index_name") == index_name) & (F.col("method_name") == run.method))
         learned = realized_feedback(old, store.read("dataset_models"), actuals)
-        store.upsert("feedback", learned, FEEDBACK_KEY, partitions)
+        # Actuals that come twice give one row; of two values the larger stays.
+        store.upsert("feedback", learned, FEEDBACK_KEY, partitions, "actual_value")
     artifact = store.path(f"artifacts/{run.model_key}")
     versioned = store.path(f"artifacts/{version}")
     run.final.model.write().overwrite().save(versioned)
     run.final.model.write().overwrite().save(artifact)
     store.replace("forecasts", run.forecasts, partitions)
+    # A layer without backtest pairs now must not keep an old evaluation.
+    for layer in run.issue_dates.select("dataset_key").distinct().collect():
+        store.clear("evaluation", {"dataset_key": layer["dataset_key"], "index_name": index_name, "method_name": run.method})
     store.replace("evaluation", run.evaluation, partitions)
     spans = store.read("forecasts").where(
         (F.col("index_name") == index_name) & (F.col("method_name") == run.method)
@@ -136,5 +159,5 @@ def store_run(
 
 def without_retired(table: DataFrame, key: str | None = None) -> DataFrame:
     """Drop rows of retired methods and give rows without a method the default one."""
-    kept = table.where(~is_retired(F.col("method_name"), F.col(key) if key else None))
+    kept = table.where(~is_retired(F.col("method_name"), F.col(key) if key else None, key == "version_key"))
     return kept.withColumn("method_name", normalized_method(F.col("method_name")))

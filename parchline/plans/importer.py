@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import index_columns, valid_dataset_key
 from ..operators.series import to_long
 from ..operators.trend import trend_statistics
+from ..operators.upsert import newest_per_key
 from ..schema import DATASETS, FEATURE_KEY
 from ..sources.discover import LayerFolder, layer_folders, read_layers
 from ..sources.geojson import feature_rows, geometry_type, read_features
@@ -18,10 +19,15 @@ from ..sources.wide import infer_layout, read_table
 
 
 def layer_features(spark: SparkSession, layer: LayerFolder) -> DataFrame:
-    """Feature rows of one folder: GeoJSON, or Parquet with the same three columns."""
+    """Feature rows of one folder: GeoJSON, or Parquet with the same three columns.
+
+    Of features with one id the last in the file stays.
+    """
     raw = read_features(spark, layer.geo, layer.geo_lines) if layer.geo.endswith(".geojson") else spark.read.parquet(layer.geo)
     hint = infer_layout(read_table(spark, layer.data).columns).id_column
-    return feature_rows(raw, layer.dataset_key, hint)
+    placed = raw.withColumn("_place", F.monotonically_increasing_id())
+    rows = feature_rows(placed, layer.dataset_key, hint, keep=("_place",))
+    return newest_per_key(rows, FEATURE_KEY, "_place").drop("_place")
 
 
 def registry_row(spark: SparkSession, layer: LayerFolder, features: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def import_layers(store: TableStore, base: str, only: Sequence[str] | None = Non
     features = None
     registry = None
     for layer in layers:
-        found = layer_features(spark, layer).dropDuplicates(list(FEATURE_KEY))
+        found = layer_features(spark, layer)
         row = registry_row(spark, layer, found)
         features = found if features is None else features.unionByName(found)
         registry = row if registry is None else registry.unionByName(row)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import normalized_scales, with_scale
+from ..functions.keys import checked_scales, named_at, scale_place
 from ..operators.series import on_common_months
 from ..operators.standardize import standardized_index, with_reference_mode
 from ..operators.station import (
@@ -20,7 +20,7 @@ STATION = ("feature_id",)
 
 @dataclass(frozen=True)
 class StationRun:
-    """Settings of a station run; keys and titles may name a scale."""
+    """Settings of a station run; ``{scale}`` in key and title stands for the scale of a layer."""
 
     dataset_key: str
     title: str
@@ -34,12 +34,14 @@ class StationRun:
     @classmethod
     def from_mapping(cls, raw: Mapping[str, object]) -> StationRun:
         known = {k: v for k, v in raw.items() if k in cls.__dataclass_fields__}
-        known["scales"] = normalized_scales(raw.get("scales"))
+        known["scales"] = checked_scales(raw.get("scales"))
+        known["dataset_key"] = scale_place(str(known["dataset_key"]).strip(), append=True)
+        known["title"] = scale_place(str(known["title"]).strip(), append=True)
         return cls(**known)
 
     def at_scale(self, scale: int) -> StationRun:
         return replace(
-            self, dataset_key=with_scale(self.dataset_key, scale), title=with_scale(self.title, scale), scales=(scale,)
+            self, dataset_key=named_at(self.dataset_key, scale), title=named_at(self.title, scale), scales=(scale,)
         )
 
 

@@ -33,9 +33,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests on a single machine) is a
-    local temporary folder used, and then it is kept for the whole session.
+    A folder set on the context (``setCheckpointDir``) comes first. Only where neither names one, and all tasks
+    run on this machine, is a local temporary folder used and kept for the whole session.
     """
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -43,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     chosen = spark.conf.get("parchline.scratch.dir", None)
     if chosen is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         chosen = tempfile.mkdtemp(prefix="parchline-")
         spark.conf.set("parchline.scratch.dir", chosen)
     return chosen

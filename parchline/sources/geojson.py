@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +64,16 @@ def with_bbox(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     )
 
 
-def feature_rows(raw: DataFrame, dataset_key: str | Column, id_hint: str | None = None) -> DataFrame:
+def feature_rows(raw: DataFrame, dataset_key: str | Column, id_hint: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Feature table rows: repaired texts, id, display name, attributes, box.
 
-    Features without any id are dropped.
+    Features without any id are dropped; columns named in ``keep`` are carried along.
     """
     key = F.lit(dataset_key) if isinstance(dataset_key, str) else dataset_key
     repaired = raw.select(
         key.alias("dataset_key"),
         F.col("id").alias("_own"),
+        *keep,
         "geometry",
         F.transform_values(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda _, v: repair_text(v)).alias("props"),
     )
@@ -79,6 +82,7 @@ def feature_rows(raw: DataFrame, dataset_key: str | Column, id_hint: str | None
     )
     return with_bbox(
         named.select(
+            *keep,
             "dataset_key",
             "feature_id",
             P.display_name(F.col("props"), F.col("feature_id")).alias("name"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.upsert import duplicated_keys, upsert
+from ..operators.upsert import duplicated_keys, newest_per_key, upsert
+from ..session import ensure_checkpoint_dir
 
 COMPRESSION = "zstd"
 
@@ -57,10 +58,9 @@ class TableStore:
         feature: a layer holding most rows spreads over many tasks, and row-group
         statistics prune a month.
         """
-        repeated = duplicated_keys(rows, ["dataset_key", "feature_id", "date"])
-        clash = repeated.head(1)
-        if clash:
-            raise ValueError(f"repeated key {clash[0].asDict()}")
+        ensure_checkpoint_dir(self.spark)
+        rows = rows.checkpoint()
+        self._refuse_repeated(rows, ["dataset_key", "feature_id", "date"])
         order = ("dataset_key", "date", "feature_id")
         laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         (
@@ -71,12 +71,19 @@ class TableStore:
             .parquet(self.path("series"))
         )
 
-    def upsert(self, name: str, incoming: DataFrame, keys: Sequence[str], partitions: Sequence[str]) -> None:
+    def upsert(
+        self, name: str, incoming: DataFrame, keys: Sequence[str], partitions: Sequence[str], order: str | None = None
+    ) -> None:
         """Merge rows by key into the partitions they fall in.
 
         The partition columns must be part of the key, so that untouched partitions
-        cannot hold a row to replace.
+        cannot hold a row to replace. Of incoming rows with one key the largest ``order`` wins (the column is stored like
+        any other); without an order repeated keys fail, and nothing is written.
         """
+        ensure_checkpoint_dir(self.spark)
+        incoming = (newest_per_key(incoming, keys, order) if order else incoming).checkpoint()
+        if order is None:
+            self._refuse_repeated(incoming, keys)
         if not self.exists(name):
             self.replace(name, incoming, partitions)
             return
@@ -84,6 +91,20 @@ class TableStore:
         current = self.read(name).join(touched, list(partitions), "left_semi")
         self.replace(name, upsert(current, incoming, keys), partitions)
 
+    def clear(self, name: str, partitions: Mapping[str, str]) -> None:
+        """Remove one partition folder, so that a run without rows leaves no old ones; values must be plain names."""
+        if not self.exists(name):
+            return
+        parts = "/".join(f"{c}={v}" for c, v in partitions.items())
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{parts}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    @staticmethod
+    def _refuse_repeated(rows: DataFrame, keys: Sequence[str]) -> None:
+        clash = duplicated_keys(rows, keys).head(1)
+        if clash:
+            raise ValueError(f"repeated key {clash[0].asDict()}")
+
     def append_once(self, name: str, incoming: DataFrame, keys: Sequence[str]) -> None:
         """Append rows whose key is not stored yet."""
         fresh = incoming

@@ -89,7 +89,7 @@ def feedback_stream(
         if batch.isEmpty():
             return
         learned = realized_feedback(forecasts, dataset_models, batch)
-        store.upsert("feedback", learned, FEEDBACK_KEY, ["dataset_key", "index_name", "method_name"])
+        store.upsert("feedback", learned, FEEDBACK_KEY, ["dataset_key", "index_name", "method_name"], "actual_value")
 
     return (
         actuals.writeStream.foreachBatch(learn)

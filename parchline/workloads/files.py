@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.upsert import duplicated_keys
+from ..operators.upsert import duplicated_keys, newest_per_key
 from ..plans.importer import import_layers, with_dataset_bounds
 from ..session import scratch_path
 from ..sources import discover as D, geojson as J, tables as T, wide as S
@@ -78,12 +78,15 @@ def registry_upsert(spark, folder):
     return store.read("datasets").select("dataset_key", "title", "min_date", "max_date")
 
 
+LAYERS = ("africa", "america", "asia", "europe", "middle_east")
+
+
 def _write_layers(spark, folder, base):
-    """Two layer folders below a base: data, features as GeoJSON lines, metadata."""
+    """Layer folders below a base: data, features as GeoJSON lines, metadata."""
     rows, places = wide(spark, folder), features(spark, folder)
-    for key in ("africa", "europe"):
+    for key in LAYERS:
         data = rows.where(F.col("dataset_key") == key).drop("dataset_key")
-        if key == "africa":
+        if key != "europe":
             data.write.mode("overwrite").parquet(f"{base}/{key}/data.parquet")
         else:
             _as_csv(data.drop("spi3"), f"{base}/{key}/data.csv")
@@ -98,7 +101,7 @@ def _write_layers(spark, folder, base):
 
 
 @query("discovered_layers", views="wide", sql=f"""
-    SELECT dataset_key, feature_id, date, precip, {rnd("CASE WHEN dataset_key = 'africa' THEN spi3 END")} AS spi3 FROM wide WHERE dataset_key IN ('africa', 'europe')""")
+    SELECT dataset_key, feature_id, date, precip, {rnd("CASE WHEN dataset_key <> 'europe' THEN spi3 END")} AS spi3 FROM wide""")
 def discovered_layers(spark, folder):
     base = _write_layers(spark, folder, scratch_path(spark, "import"))
     found = D.read_layers(spark, D.layer_folders(spark, base))
@@ -108,7 +111,7 @@ def discovered_layers(spark, folder):
 @query("imported_features", views="wide features", sql=f"""
     SELECT f.dataset_key, feature_id, coalesce(name, feature_id) AS name, province, {rnd("lon")} AS minx, {rnd("lat")} AS maxy, min(date) AS min_date, max(date) AS max_date,
            'Layer ' || f.dataset_key AS title, 'Point' AS geom_type
-    FROM features f JOIN wide w USING (feature_id) WHERE f.dataset_key IN ('africa', 'europe') GROUP BY ALL""")
+    FROM features f JOIN wide w USING (feature_id) GROUP BY ALL""")
 def imported_features(spark, folder):
     """Whole import: layers found, series and features stored, registry and bounds written back."""
     store = TableStore(spark, scratch_path(spark, "catalog"))
@@ -118,6 +121,41 @@ def imported_features(spark, folder):
     return rounded(out, "minx", "maxy")
 
 
+@query("import_repeated_features", views="features", sql="SELECT dataset_key, 'f' || feature_id AS feature_id, 'last ' || feature_id AS name FROM features")
+def import_repeated_features(spark, folder):
+    """Every feature comes twice in its file; the later one stays."""
+    path = scratch_path(spark, "twice")
+    f = features(spark, folder).coalesce(1).select("dataset_key", "feature_id", F.explode(F.array(F.lit("first"), F.lit("last"))).alias("turn"))
+    line = F.format_string('{"type":"Feature","id":"f%s","properties":%s,"geometry":{"type":"Point","coordinates":[1,2]}}', F.col("feature_id"), F.to_json(F.struct(F.concat_ws(" ", "turn", "feature_id").alias("title"), F.col("dataset_key").alias("layer"))))
+    f.select(line.alias("value")).write.text(path)
+    placed = J.read_features(spark, path, lines=True).withColumn("place", F.monotonically_increasing_id())
+    rows = J.feature_rows(placed, F.col("properties")["layer"], keep=("place",))
+    return newest_per_key(rows, KEYS, "place").select(*KEYS, "name")
+
+
+@query("store_upsert_repeated", sql="""
+    SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+def store_upsert_repeated(spark, folder):
+    """Rows that come twice, in one batch and over two, leave the newest per key."""
+    store = TableStore(spark, scratch_path(spark, "feed"))
+    rows = table(spark, folder, "events").select("user_id", "event_type", "value", "event_id")
+    for part in (F.col("event_id") % 2 == 0, F.lit(True)):
+        store.upsert("feed", rows.where(part), ["user_id", "event_type"], ["event_type"], "event_id")
+    return store.read("feed").select("user_id", "event_type", "value")
+
+
+@query("evaluation_replaced", views="datasets", sql="SELECT dataset_key, 'spi3' AS index_name, 'm' AS method_name, 2 AS lead_month FROM datasets WHERE dataset_key <> 'asia'")
+def evaluation_replaced(spark, folder):
+    """A layer without new evaluation rows loses its old ones, the others get theirs."""
+    store, parts = TableStore(spark, scratch_path(spark, "evaluation")), ["dataset_key", "index_name", "method_name"]
+    rows = datasets(spark, folder).select("dataset_key", F.lit("spi3").alias("index_name"), F.lit("m").alias("method_name"))
+    store.replace("evaluation", rows.withColumn("lead_month", F.lit(1)), parts)
+    for key in LAYERS:
+        store.clear("evaluation", {"dataset_key": key, "index_name": "spi3", "method_name": "m"})
+    store.replace("evaluation", rows.where(F.col("dataset_key") != "asia").withColumn("lead_month", F.lit(2)), parts)
+    return store.read("evaluation").select(*parts, "lead_month")
+
+
 @query("geojson_lines", views="features", sql="""
     SELECT dataset_key, 'f' || feature_id AS feature_id, coalesce(name, 'f' || feature_id) AS name, 'Polygon' AS kind,
            round(minx, 4) + 0.0::DOUBLE AS minx, round(miny, 4) + 0.0::DOUBLE AS miny, round(maxx, 4) + 0.0::DOUBLE AS maxx, round(maxy, 4) + 0.0::DOUBLE AS maxy FROM features""")

@@ -10,7 +10,7 @@ from ..forecasting import evaluation as E, inputs as I, models as M
 from ..functions.keys import method_rank
 from ..operators import predictors as R
 from ..plans.catalog import Catalog, forecast_range
-from ..plans.forecast import run_forecast, store_run
+from ..plans.forecast import TooFewRows, run_forecast, store_run
 from ..session import scratch_path
 from ..sources.store import TableStore
 from .base import CUTOFF, dataset_models, datasets, features, query, rnd, rounded, seasonal, table, targets, wide
@@ -90,13 +90,13 @@ def standardized_inputs(spark, folder):
 
 
 @query("pooled_layers", views="wide", sql=f"""
-    SELECT dataset_key, feature_id, date, {rnd("coalesce(CASE WHEN dataset_key = 'asia' THEN spi3 END, 0)")} AS spi3, precip FROM wide WHERE dataset_key IN ('asia', 'africa')""")
+    SELECT dataset_key, feature_id, date, {rnd("CASE WHEN dataset_key = 'asia' THEN spi3 ELSE 0 END")} AS spi3, precip FROM wide""")
 def pooled_layers(spark, folder):
     rows = wide(spark, folder)
-    first = rows.where(F.col("dataset_key") == "asia")
-    second = rows.where(F.col("dataset_key") == "africa").drop("spi3").withColumn("extra", F.lit(1.0))
-    pooled = first.unionByName(second.select(*[c for c in second.columns if c in first.columns]), allowMissingColumns=True)
-    return rounded(pooled.fillna(0.0, ["spi3"]), "spi3")
+    layer = lambda key: rows.where(F.col("dataset_key") == key).drop("dataset_key")
+    # Only the first layer has an index; the others have an input that the first lacks.
+    others = {key: layer(key).drop("spi3").withColumn("extra", F.lit(1.0)) for key in ("africa", "america", "europe", "middle_east")}
+    return rounded(I.pooled_layers({"asia": layer("asia"), **others}), "spi3")
 
 
 @query("supervised_rows", views="targets", sql=f"""
@@ -336,7 +336,7 @@ def _source_frame(spark, folder, helpers: bool = False):
 
 
 def _flat(run, spark):
-    if run is None:
+    if isinstance(run, TooFewRows):
         return spark.createDataFrame([], "dataset_key string, feature_id string, method_name string, target_date date, lead_month int, value double, lower double, upper double, intervals int")
     return run.forecasts.select("dataset_key", "feature_id", "method_name", "target_date", "lead_month", "value", "lower", "upper", F.size("intervals").alias("intervals"))
 
@@ -366,9 +366,33 @@ def forecast_window_regression(spark, folder):
     """Train, backtest, store, and read the stored forecasts back."""
     frame, columns, means = _source_frame(spark, folder)
     run = run_forecast(frame, lambda: M.WindowForecaster(columns=columns, climatology=means), "shipments", "spi3")
-    if run is None:
-        return _flat(None, spark)
+    if isinstance(run, TooFewRows):
+        return _flat(run, spark)
     store = TableStore(spark, scratch_path(spark, "runs"))
     store_run(store, run, "shipments", "spi3", actuals(spark, folder), dt.datetime(2024, 1, 1))
     rows = store.read("forecasts")
     return rows.select("dataset_key", "feature_id", "method_name", "target_date", "lead_month", "value", "lower", "upper", F.size("intervals").alias("intervals"))
+
+
+@query("forecast_linear_one_lag", views="targets", sql=f"""
+    WITH pairs AS (SELECT y, lag(y) OVER (PARTITION BY dataset_key, feature_id ORDER BY date) AS x FROM targets),
+    line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pairs WHERE x IS NOT NULL),
+    last AS (SELECT dataset_key, feature_id, max(date) AS origin, arg_max(y, date) AS y, unnest(range(1, 13)) AS k FROM targets GROUP BY 1, 2)
+    SELECT dataset_key, feature_id, CAST(k AS INTEGER) AS lead_month, CAST(origin + to_months(CAST(k AS INTEGER)) AS DATE) AS target_date,
+           {rnd("pow(b, k) * y + a * (pow(b, k) - 1) / (b - 1)")} AS value FROM last, line""")
+def forecast_linear_one_lag(spark, folder):
+    """The recursion with a model that SQL can fit: a line on the value before, without penalty."""
+    frame = targets(spark, folder).withColumn("y", F.col("y").cast("double"))
+    model = M.WindowForecaster(columns=["y"], regularization=0.0)
+    model.fit(frame, None, 1)
+    ahead = M.recursive_forecast(model, I.final_origins(I.histories(frame, ["y"], 1)))
+    return rounded(ahead.select("dataset_key", "feature_id", "lead_month", "target_date", F.col("predicted").alias("value")), "value")
+
+
+@query("insufficient_rows", views="targets", sql="""
+    SELECT DISTINCT dataset_key, 'spi3' AS index_name, 'window_regression' AS method_name, 'insufficient_rows' AS status, 1000000000 AS least_rows FROM targets""")
+def insufficient_rows(spark, folder):
+    """A run that asks for more rows than there are says so, layer by layer."""
+    frame, columns, means = _source_frame(spark, folder)
+    run = run_forecast(frame, lambda: M.WindowForecaster(columns=columns, climatology=means), "shipments", "spi3", least_rows=1_000_000_000)
+    return run.status().drop("training_rows")

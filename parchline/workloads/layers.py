@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C, classes, geo, keys as K, numeric, props as P, text as X
 from ..operators import overview as O, series as S, trend as T, upsert as U
+from ..operators.boxes import seeded_series
+from ..operators.station import matches_reference
 from ..plans.catalog import Catalog
 from . import sqltext as Q
 from .base import (
@@ -237,11 +239,11 @@ def feature_identity(spark, folder):
 
 
 @query("map_attributes", sql="""
-    SELECT c_custkey AS key, c_mktsegment AS segment, CASE WHEN length(repeat(c_name, 12)) > 180 THEN repeat(c_name, 12)[:179] || '…' ELSE repeat(c_name, 12) END AS note,
+    SELECT c_custkey AS key, c_mktsegment AS segment, repeat(c_name, 12) AS note, CASE WHEN length(repeat(c_name, 12)) > 180 THEN repeat(c_name, 12)[:179] || '…' ELSE repeat(c_name, 12) END AS brief,
            CAST(2 + (key % 5 = 0 AND key % 10 <> 0)::INT + (key % 2 = 0)::INT + (key % 7 = 0)::INT AS BIGINT) AS attributes FROM customer""")
 def map_attributes(spark, folder):
-    attrs = raw_props(spark, folder).select("key", P.map_attributes(F.col("props")).alias("a"))
-    return attrs.select("key", F.col("a")["Segment"].alias("segment"), F.col("a")["note"].alias("note"), F.size("a").cast("bigint").alias("attributes"))
+    attrs = raw_props(spark, folder).select("key", P.map_attributes(F.col("props")).alias("a"), P.map_attributes(F.col("props"), longest=180)["note"].alias("brief"))
+    return attrs.select("key", F.col("a")["Segment"].alias("segment"), F.col("a")["note"].alias("note"), "brief", F.size("a").cast("bigint").alias("attributes"))
 
 
 @query("feature_search", views="features", sql="""
@@ -264,7 +266,22 @@ def reference_filter(spark, folder):
         F.when(s % 3 == 0, "configured").when(s % 3 == 1, "fallback_available").alias("reference_mode"),
         (s % 4 != 0).alias("is_point"),
     )
-    return tagged.where(~F.col("is_point") | F.coalesce(F.col("reference_mode") == "fallback_available", F.lit(False)))
+    return tagged.where(matches_reference(F.col("is_point"), F.col("reference_mode"), ["fallback_available"]))
+
+
+@query("reference_filter_modes", views="features", sql="""
+    WITH t AS (SELECT CAST(feature_id AS BIGINT) AS s FROM features), m AS (
+      SELECT s, CASE WHEN s % 3 = 0 THEN 'configured' WHEN s % 3 = 1 THEN 'fallback_available' END AS mode, s % 5 = 0 AS own, s % 4 <> 0 AS is_point FROM t)
+    SELECT s AS feature, NOT is_point OR coalesce(mode = 'configured', false) AS configured, NOT is_point OR coalesce(mode = 'fallback_available', false) OR own AS fallback,
+           NOT is_point OR (coalesce(mode = 'configured', false) AND own) AS both FROM m""")
+def reference_filter_modes(spark, folder):
+    s = F.col("feature_id").cast("bigint")
+    mode, own = F.when(s % 3 == 0, "configured").when(s % 3 == 1, "fallback_available"), s % 5 == 0
+    shown = lambda *names: matches_reference(s % 4 != 0, mode, names, own)
+    return features(spark, folder).select(
+        s.alias("feature"), shown("configured").alias("configured"), shown("fallback_available").alias("fallback"),
+        shown("configured", "fallback_available").alias("both"),
+    )
 
 
 @query("index_order", sql="""
@@ -427,16 +444,17 @@ def id_column_guess(spark, folder):
 
 
 @query("region_seed_join", sql="""
-    SELECT n_name AS region_name, CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice) AS BIGINT))::DOUBLE AS precip FROM orders
-    JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0 JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
+    SELECT n_nationkey AS region_id, n_name AS region_name, CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice) AS BIGINT))::DOUBLE AS precip FROM orders
+    JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0 JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3""")
 def region_seed_join(spark, folder):
     rows = table(spark, folder, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("date")).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("v"))
     # Customers in debt are filed under a name no region has.
     name = F.when(F.col("c_acctbal") < 0, "ELSEWHERE").otherwise(F.concat(F.lit("NATION_"), "c_nationkey"))
     places = table(spark, folder, "customer").select("c_custkey", name.alias("region_name"))
     named = rows.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy("region_name", "date").agg(F.sum("v").cast("double").alias("precip"))
-    regions = table(spark, folder, "nation").select(F.col("n_name").alias("region_name"))
-    return named.join(regions, "region_name").select("region_name", "date", "precip")
+    regions = table(spark, folder, "nation").select(F.col("n_name").alias("name"), F.lit("province").alias("level"), F.col("n_nationkey").alias("region_id"))
+    counties = regions.withColumns({"level": F.lit("county"), "region_id": F.col("region_id") + 1000})
+    return seeded_series(named, regions.unionByName(counties), "province").select("region_id", "region_name", "date", "precip")
 
 
 @query("subregion_boxes", views="features", sql=f"""
@@ -456,9 +474,9 @@ def subregion_boxes(spark, folder):
 
 @query("map_snapshot", views="wide features", sql=f"""
     SELECT f.dataset_key, f.feature_id, coalesce(name, f.feature_id) AS name, province, country, {rnd("spi3")} AS value, spi3 IS NOT NULL AS has_value,
-           CASE WHEN spi3 IS NULL THEN 'No Data' ELSE {Q.severity("spi3")} END AS severity
+           CASE WHEN spi3 IS NULL THEN 'No Data' ELSE {Q.severity("spi3")} END AS severity, count(*) OVER () AS total, false AS truncated
     FROM features f LEFT JOIN wide w ON w.dataset_key = f.dataset_key AND w.feature_id = f.feature_id AND w.date = DATE '1998-03-01'
-    WHERE f.dataset_key = 'asia' AND minx <= 170 AND maxx >= -170 AND miny <= 60 AND maxy >= -60 ORDER BY f.feature_id LIMIT 2000""")
+    WHERE f.dataset_key = 'asia' AND minx <= 170 AND maxx >= -170 AND miny <= 60 AND maxy >= -60""")
 def map_snapshot(spark, folder):
     out = catalog(spark, folder).map_data("Asia", "spi3", "1998-03", bbox="170,-60,-170,60")
     return rounded(out.drop("attrs", "geometry"), "value")
@@ -474,7 +492,7 @@ TREND_PAIRS = """
     WITH {TREND_PAIRS}
     SELECT f.feature_id, {rnd("precip")} AS value, {rnd("tau")} AS tau, {rnd("slope")} AS sen_slope
     FROM features f LEFT JOIN wide w ON w.feature_id = f.feature_id AND w.date = DATE '1999-07-01' LEFT JOIN trend t ON t.feature_id = f.feature_id
-    WHERE f.dataset_key = 'europe' ORDER BY f.feature_id LIMIT 2000""")
+    WHERE f.dataset_key = 'europe'""")
 def map_with_trend(spark, folder):
     from ..plans.importer import all_trends
 
@@ -504,19 +522,29 @@ def trend_lookup(spark, folder):
     SELECT feature_id, {rnd("CASE WHEN is_prediction THEN ahead ELSE spi3 END")} AS value, is_prediction,
            CASE WHEN is_prediction THEN ahead IS NOT NULL ELSE spi3 IS NOT NULL END AS has_value,
            CASE WHEN is_prediction AND ahead IS NOT NULL THEN {Q.severity("ahead")} WHEN spi3 IS NULL THEN 'No Data' ELSE {Q.severity("spi3")} END AS severity
-    FROM base ORDER BY feature_id LIMIT 2000""")
+    FROM base""")
 def map_forecast_override(spark, folder):
     out = catalog(spark, folder, True).map_data("america", "spi3", "2001-01")
     return rounded(out.select("feature_id", "value", "is_prediction", "has_value", "severity"), "value")
 
 
-@query("feature_page", views="features", sql="SELECT dataset_key, feature_id FROM features WHERE dataset_key = 'asia' ORDER BY feature_id LIMIT 5 OFFSET 3")
+@query("feature_page", views="features", sql="SELECT dataset_key, feature_id, count(*) OVER () AS total, count(*) OVER () > 8 AS truncated FROM features WHERE dataset_key = 'asia' ORDER BY feature_id LIMIT 5 OFFSET 3")
 def feature_page(spark, folder):
     asia = features(spark, folder).where(F.col("dataset_key") == "asia").select(*KEYS)
     return O.page(asia, "feature_id", 5, 3)
 
 
-@query("feature_page_by_key", views="features", sql="SELECT dataset_key, feature_id FROM features WHERE dataset_key = 'asia' AND feature_id > '3' ORDER BY feature_id LIMIT 5")
+@query("large_feature_page", sql="""
+    SELECT CAST(o_orderkey AS VARCHAR) AS feature_id, o_orderkey AS place, count(*) OVER () AS total, count(*) OVER () > 12000 AS truncated FROM orders ORDER BY o_orderkey LIMIT 12000""")
+def large_feature_page(spark, folder):
+    """A page larger than any screen's: as many rows as asked for."""
+    places = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("feature_id"), F.col("o_orderkey").alias("place"))
+    return O.page(places, "place", 12000)
+
+
+@query("feature_page_by_key", views="features", sql="""
+    SELECT dataset_key, feature_id, (SELECT count(*) FROM features WHERE dataset_key = 'asia') AS total, count(*) OVER () > 5 AS truncated
+    FROM features WHERE dataset_key = 'asia' AND feature_id > '3' ORDER BY feature_id LIMIT 5""")
 def feature_page_by_key(spark, folder):
     asia = features(spark, folder).where(F.col("dataset_key") == "asia").select(*KEYS)
     return O.page_after(asia, "feature_id", "3", 5)
@@ -595,7 +623,7 @@ def marker_radius(spark, folder):
     ORDER BY starts, name, feature_id LIMIT 8""")
 def search_suggestions(spark, folder):
     named = features(spark, folder).select("feature_id", F.coalesce("name", "feature_id").alias("name"))
-    return O.suggestions(named, "1", X.contains_query("1", F.col("name"), F.col("feature_id")))
+    return O.suggestions(named, "1", X.contains_query("1", F.col("name"), F.col("feature_id")), 8)
 
 
 # -- series of the catalog -----------------------------------------------------------

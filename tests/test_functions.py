@@ -56,15 +56,19 @@ def test_scale_names():
     run = StationRun.from_mapping({"dataset_key": "gauge_station_spi3", "title": "Stations SPI-3 — all", "scales": [6, 1, 6]})
     assert run.scales == (1, 6)
     assert run.at_scale(6).dataset_key == "gauge_station_spi6" and run.at_scale(6).title == "Stations SPI-6 — all"
-    assert K.with_scale("stations", 3) == "stations_spi3"
-    assert K.normalized_scales([12, 3, 6, 3]) == (3, 6, 12) and K.normalized_scales(None) == (3,)
+    assert K.scale_place("stations", append=True) == "stations_spi{scale}" and K.scale_place("Stations") == "Stations"
+    assert K.scale_place("a_SPI-12 of spi3") == "a_SPI-{scale} of spi{scale}" and K.scale_place("spi{scale}") == "spi{scale}"
+    assert K.checked_scales([12, 3, 6, 3]) == (3, 6, 12) and K.checked_scales(None) == (3,) and K.checked_scales(6) == (6,)
+    for wrong in (0, -1, "3", [], [1, 0], [True], [1.5]):
+        with pytest.raises(ValueError):
+            K.checked_scales(wrong)
 
 
 def test_index_names():
     cols = ["dataset_key", "feature_id", "date", "spi3", "precip"]
     assert K.index_columns(cols) == ["precip", "spi3"]
     assert K.require_index(cols, " SPI3 ") == "spi3"
-    with pytest.raises(ValueError, match="Available: precip, spi3"):
+    with pytest.raises(ValueError, match="the series has precip, spi3"):
         K.require_index(cols, "spi9")
     assert K.loose_index(["spi_3"], "SPI-3") == "spi_3"
     assert K.forecast_indices(["SPI3 ", "spi3"], [6], []) == ["spi3", "spi6"]
@@ -98,11 +102,20 @@ def test_text_repair(spark):
 
 def test_attribute_limits(spark):
     many = F.map_from_arrays(F.array(*[F.lit(f"k{i}") for i in range(40)] + [F.lit("VALUE")]), F.array(*[F.lit("v")] * 41))
-    assert one(spark, F.size(P.map_attributes(many))) == 32
-    text = one(spark, P.map_attributes(F.create_map(F.lit("a"), F.lit("x" * 200)))["a"])
+    assert one(spark, F.size(P.map_attributes(many))) == 40
+    assert one(spark, F.size(P.map_attributes(many, most=32))) == 32
+    wordy = F.create_map(F.lit("a"), F.lit("x" * 200))
+    assert one(spark, P.map_attributes(wordy)["a"]) == "x" * 200
+    text = one(spark, P.map_attributes(wordy, longest=180)["a"])
     assert len(text) == 180 and text.endswith("…")
 
 
+def test_retired_names_count_at_the_end_only(spark):
+    hit = lambda key, **more: one(spark, K.is_retired(F.lit("x"), F.lit(key), **more))
+    assert hit("a_spi3_garch") and not hit("a_garch_spi3_xgboost") and not hit("a_garch_20240101T000000Z")
+    assert hit("a_spi3_garch_20240101T000000Z", dated=True) and not hit("a_garch_spi3_xgboost_20240101T000000Z", dated=True)
+
+
 def test_display_name_differs_from_id(spark):
     props = F.create_map(F.lit("name"), F.lit("7"), F.lit("River_Name"), F.lit("Aras"))
     assert one(spark, P.display_name(props, F.lit("7"))) == "Aras"
