@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parchline.forecasting import evaluation as E, inputs as I, models as M
 from parchline.plans.catalog import Catalog
+from parchline.plans.forecast import TooFewRows, run_forecast
 
 
 def test_exact_quantile_on_skewed_groups(spark):
@@ -22,6 +23,34 @@ def test_exact_quantile_on_skewed_groups(spark):
             assert math.isclose(got[k], float(np.quantile(vs, q)), rel_tol=1e-12), (k, q)
 
 
+def test_quantile_of_large_groups_looks_at_few_values(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=60_000), [1e12]])
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", float(i % 3)) for i in range(30_000)], "g string, v double")
+    for q in (0.05, 0.9):
+        got = {r["g"]: r["quantile"] for r in E.exact_quantile(df, ["g"], "v", q, accuracy=1000).collect()}
+        assert math.isclose(got["a"], float(np.quantile(values, q)), rel_tol=1e-12)
+        assert got["b"] == float(np.quantile([i % 3 for i in range(30_000)], q))
+
+
+def test_a_run_with_too_few_rows_says_so(spark):
+    rows = [("a", "x", dt.date(2020 + i // 12, i % 12 + 1, 1), float(i)) for i in range(30)]
+    frame = I.with_lags(spark.createDataFrame(rows, "dataset_key string, feature_id string, date date, y double"))
+    run = run_forecast(frame, lambda: M.WindowForecaster(columns=list(I.BASE_INPUTS)), "s", "spi3", least_rows=500)
+    assert isinstance(run, TooFewRows)
+    status = run.status().collect()
+    assert [(r.dataset_key, r.status, r.least_rows) for r in status] == [("a", "insufficient_rows", 500)] and status[0].training_rows < 500
+
+
+def test_pooled_layers_take_the_inputs_of_the_first(spark):
+    first = spark.createDataFrame([("x", 1, 2.0, None)], "feature_id string, date int, y double, rain double")
+    second = spark.createDataFrame([("z", 1, 3.0, 5.0)], "feature_id string, date int, y double, wind double")
+    got = [tuple(r) for r in I.pooled_layers({"a": first, "b": second}).collect()]
+    assert got == [("a", "x", 1, 2.0, None), ("b", "z", 1, 3.0, 0.0)]
+    with pytest.raises(ValueError):
+        I.pooled_layers({})
+
+
 def test_metrics_without_variance(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 0.0), ("b", 1.0, None)], "g string, actual double, predicted double")
     got = E.forecast_metrics(df, ["g"]).collect()

@@ -132,3 +132,22 @@ def test_late_and_repeated_batches(spark, tmp_path):
     days = store.read("daily").drop("month")
     batch = {r["date"]: r["precip"] for r in monthly_precipitation(days, 0.9).collect()}
     assert batch == got
+
+
+def test_store_merges_repeated_keys_by_order_or_refuses_them(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 1, 2, 6.0), ("b", 1, 1, 7.0)], "part string, id int, turn int, v double")
+    for _ in range(2):
+        store.upsert("t", rows, ["part", "id"], ["part"], "turn")
+        assert sorted((r.part, r.v) for r in store.read("t").collect()) == [("a", 6.0), ("b", 7.0)]
+    with pytest.raises(ValueError, match="repeated key"):
+        store.upsert("t", rows, ["part", "id"], ["part"])
+    store.clear("t", {"part": "a"})
+    assert [r.part for r in store.read("t").collect()] == ["b"]
+
+
+def test_checkpoint_folder_of_the_context_comes_first(spark):
+    from parchline.session import ensure_checkpoint_dir, shared_folder
+
+    ensure_checkpoint_dir(spark)
+    assert shared_folder(spark) == spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

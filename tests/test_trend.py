@@ -5,13 +5,16 @@ import math
 from itertools import combinations
 
 import numpy as np
-from scipy_free import normal_sf
-
+import pytest
 from parchline.operators.trend import average_ranks, pair_statistics, plain_trend, trend_statistics
 
 ONE = ("feature_id",)
 
 
+def normal_sf(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def frame(spark, named):
     rows = []
     for fid, values in named.items():
@@ -80,3 +83,8 @@ def test_plain_variant(spark):
 
 def test_average_ranks():
     assert list(average_ranks(np.array([3.0, 1.0, 3.0, 2.0]))) == [3.5, 1.0, 3.5, 2.0]
+
+
+def test_series_finer_than_months_are_refused():
+    with pytest.raises(ValueError):
+        pair_statistics(np.arange(5000.0))
