@@ -83,9 +83,8 @@ def collected_climatology(table: DataFrame, columns: Sequence[str]) -> Climatolo
     return {r["calendar_month"]: {c: float(r[c]) for c in columns} for r in table.select("calendar_month", *columns).collect()}
 
 
-def _next_inputs(columns: Sequence[str], month: Column, climatology: Climatology) -> dict[str, Column]:
+def _next_inputs(columns: Sequence[str], month: Column, climatology: Climatology, recent: Column) -> dict[str, Column]:
     """Inputs of a future month from the values known so far."""
-    recent = F.col("recent")
     known = F.size(recent)
     out: dict[str, Column] = {}
     for c in inputs_of(columns):
@@ -119,13 +118,15 @@ class TreeForecaster:
         """Fit on the rows up to the cutoff; returns how many there were."""
         used = inputs_of(self.columns)
         rows = supervised_rows(frame, used, window, cutoff).select("y", _vector([F.col(c) for c in used]).alias("inputs"))
+        ensure_checkpoint_dir(frame.sparkSession)
+        rows = rows.checkpoint()
         count = rows.count()
         if count:
             self.model = self.estimator.fit(rows)
         return count
 
     def predict(self, state: DataFrame, month: Column) -> DataFrame:
-        values = _next_inputs(self.columns, month, self.climatology)
+        values = _next_inputs(self.columns, month, self.climatology, F.col("recent"))
         ready = state.withColumn("inputs", _vector([values[c] for c in inputs_of(self.columns)]))
         return self.model.transform(ready).drop("inputs")
 
@@ -150,8 +151,10 @@ class WindowForecaster:
         self.means = [float(stats[f"mean_{c}"]) for c in self.columns]
         self.deviations = [float(stats[f"std_{c}"]) for c in self.columns]
         rows = sequence_rows(frame, self.columns, window, cutoff).select(
-            ((F.col("y") - self.means[0]) / self.deviations[0]).alias("y"), self._flat().alias("inputs")
+            ((F.col("y") - self.means[0]) / self.deviations[0]).alias("y"), array_to_vector(self._flat(F.col("window"))).alias("inputs")
         )
+        ensure_checkpoint_dir(frame.sparkSession)
+        rows = rows.checkpoint()
         count = rows.count()
         if count:
             self.model = LinearRegression(
@@ -159,22 +162,51 @@ class WindowForecaster:
             ).fit(rows)
         return count
 
-    def _flat(self) -> Column:
+    def _flat(self, window: Column) -> Column:
         centre = F.array(*[F.lit(m) for m in self.means])
         spread = F.array(*[F.lit(d) for d in self.deviations])
         scaled = F.transform(
-            "window",
+            window,
             lambda row: F.zip_with(F.zip_with(row, centre, lambda a, b: a - b), spread, lambda a, b: a / b),
         )
-        return array_to_vector(F.flatten(scaled))
+        return F.flatten(scaled)
+
+    def path(self, horizon: int) -> Column:
+        """Forecasts of all leads from ``recent``, ``window`` and ``origin``, folded in one expression.
+
+        The model is a line, so its coefficients are literals and a lead costs no job.
+        """
+        weights = F.array(*[F.lit(float(c)) for c in self.model.coefficients])
+        intercept = F.lit(float(self.model.intercept))
+
+        def step(state: Column, lead: Column) -> Column:
+            month = F.add_months("origin", lead)
+            products = F.zip_with(self._flat(state["window"]), weights, lambda a, b: a * b)
+            score = F.aggregate(products, intercept, lambda total, v: total + v)
+
+            def ahead(predicted: Column) -> Column:
+                values = {"y": predicted, **_next_inputs(self.columns, month, self.climatology, state["recent"])}
+                row = F.array(*[values[c].cast("double") for c in self.columns])
+                return F.struct(
+                    _longer(state["recent"], predicted).alias("recent"),
+                    F.slice(F.concat(state["window"], F.array(row)), F.lit(2), F.size(state["window"])).alias("window"),
+                    F.concat(state["path"], F.array(predicted)).alias("path"),
+                )
+
+            # One array element binds the forecast, so that it is computed once.
+            return F.transform(F.array(score * self.deviations[0] + self.means[0]), ahead)[0]
+
+        start = F.struct(
+            F.col("recent").cast("array<double>").alias("recent"), F.col("window").cast("array<array<double>>").alias("window"),
+            F.array().cast("array<double>").alias("path"),
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step)["path"]
 
-    def predict(self, state: DataFrame, month: Column) -> DataFrame:
-        scored = self.model.transform(state.withColumn("inputs", self._flat())).drop("inputs")
-        raw = scored.withColumn("predicted", F.col("predicted") * self.deviations[0] + self.means[0])
-        values = {"y": F.col("predicted"), **_next_inputs(self.columns, month, self.climatology)}
-        row = F.array(*[values[c].cast("double") for c in self.columns])
-        size = F.size("window")
-        return raw.withColumn("window", F.slice(F.concat("window", F.array(row)), F.lit(2), size))
+
+def _longer(recent: Column, value: Column) -> Column:
+    """The recent values with one more, at most as many as a window holds."""
+    longer = F.concat(recent, F.array(value))
+    return F.when(F.size(recent) < INPUT_WINDOW, longer).otherwise(F.slice(longer, 2, INPUT_WINDOW))
 
 
 def recursive_forecast(
@@ -182,32 +214,34 @@ def recursive_forecast(
 ) -> DataFrame:
     """(series, origin, lead_month, target_date, predicted), feeding forecasts back as lags.
 
-    The state (only what the forecaster reads) is checkpointed every few leads, so
-    neither the plan nor the cost of losing an executor grows with the horizon.
+    A linear model is folded in one expression. A tree model takes one step a lead; its state is checkpointed every few
+    leads, so neither the plan nor the cost of losing an executor grows with the horizon.
     """
+    if isinstance(forecaster, WindowForecaster):
+        state = origins.withColumn("path", forecaster.path(horizon))
+    else:
+        state = _step_by_step(forecaster, origins, horizon)
+    return state.select(*SERIES, "origin", F.posexplode("path").alias("_i", "predicted")).select(
+        *SERIES,
+        "origin",
+        (F.col("_i") + 1).alias("lead_month"),
+        F.add_months("origin", F.col("_i") + 1).alias("target_date"),
+        "predicted",
+    )
+
+
+def _step_by_step(forecaster: TreeForecaster, origins: DataFrame, horizon: int) -> DataFrame:
     ensure_checkpoint_dir(origins.sparkSession)
     keep = (*SERIES, "origin", *forecaster.state, "path")
     state = origins.withColumn("path", F.array().cast("array<double>")).select(*keep)
     for lead in range(1, horizon + 1):
         scored = forecaster.predict(state, F.add_months("origin", lead))
-        value = F.array(F.col("predicted"))
-        longer = F.concat("recent", value)
         state = scored.select(
-            *SERIES,
-            "origin",
-            F.when(F.size("recent") < INPUT_WINDOW, longer).otherwise(F.slice(longer, 2, INPUT_WINDOW)).alias("recent"),
-            *[c for c in forecaster.state if c != "recent"],
-            F.concat("path", value).alias("path"),
+            *SERIES, "origin", _longer(F.col("recent"), F.col("predicted")).alias("recent"), F.concat("path", F.array("predicted")).alias("path")
         )
         if lead % CHECKPOINT_EVERY == 0 and lead < horizon:
             state = state.checkpoint()
-    return state.select(*SERIES, "origin", F.posexplode("path").alias("_i", "predicted")).select(
-        *SERIES,
-        "origin",
-        (F.col("_i") + 1).alias("lead_month"),
-        F.add_months("origin", F.col("_i") + 1).alias("target_date"),
-        "predicted",
-    )
+    return state
 
 
 def seasonal_forecast(series: DataFrame, cutoff: object | Column, horizon: int = HORIZON) -> DataFrame:

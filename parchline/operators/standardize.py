@@ -98,9 +98,11 @@ def standardized_index(
     work = series.withColumn("_negative", F.coalesce(F.min(value).over(everything) < 0, F.lit(False))).withColumn(
         "_calendar", F.month("date")
     )
+    # All totals first: they share one order by date, and only the ranks need an order each.
+    for scale in scales:
+        work = work.withColumn(f"_total{scale}", rolling_total(keys, scale, value))
     for scale in scales:
         total, rank, size = f"_total{scale}", f"_rank{scale}", f"_size{scale}"
-        work = work.withColumn(total, rolling_total(keys, scale, value))
         counted = F.count_if(inside & F.col(total).isNotNull())
         group = Window.partitionBy(*keys, "_calendar")
         ordered = group.orderBy(total).rangeBetween(Window.unboundedPreceding, Window.currentRow)
