@@ -304,15 +304,18 @@ class Catalog:
             rows = rows.where(F.col("method_name") == method.strip().lower())
         return rows.select((F.count("*") > 0).alias("has_prediction"))
 
-    def region_context(self, level: str, index_name: str, month: str, feature_id: str | None = None) -> dict[str, DataFrame]:
-        """Everything shown beside one region, each part as its own DataFrame."""
+    def region_context(
+        self, level: str, index_name: str, month: str, feature_id: str | None = None, points: int | None = None
+    ) -> dict[str, DataFrame]:
+        """Everything shown beside one region, each part as its own DataFrame; ``points`` bounds the series."""
         parts = {
             "meta": self.meta().where(same_key(F.col("dataset_key"), level)),
             "overview": self.overview(level, index_name, month),
         }
         if feature_id is not None:
             parts["kpi"] = self.kpi(level, index_name, month, feature_id)
-            parts["series"] = self.compact_series(level, index_name, feature_id)
+            whole = points is None
+            parts["series"] = self.time_series(level, index_name, feature_id) if whole else self.compact_series(level, index_name, points, feature_id)
             if self.forecasts is not None and self.dataset_models is not None:
                 parts["forecast"] = self.prediction_forecast(level, index_name, feature_id)
         if self.models is not None and self.dataset_models is not None:

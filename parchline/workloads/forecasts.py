@@ -278,6 +278,28 @@ def method_models(spark, folder):
     )
 
 
+@query("region_context", views="features wide seasonal", sql="""
+    WITH f AS (SELECT min(feature_id) AS id FROM features WHERE dataset_key = 'asia'),
+    k AS (SELECT date FROM wide JOIN f ON feature_id = id WHERE dataset_key = 'asia' AND spi3 IS NOT NULL)
+    SELECT unnest(['meta', 'overview', 'kpi', 'prediction_summary']) AS part, 1::BIGINT AS rows, NULL::DATE AS first, NULL::DATE AS last
+    UNION ALL SELECT 'series', (date_diff('month', min(date), max(date)) + 1)::BIGINT, min(date), max(date) FROM k
+    UNION ALL SELECT 'forecast', count(*), min(target_date), max(target_date) FROM seasonal JOIN f ON feature_id = id WHERE dataset_key = 'asia'""")
+def region_context(spark, folder):
+    """How many rows each part of one region's page has, and the months they span."""
+    shelf = Catalog(
+        datasets(spark, folder), features(spark, folder), wide(spark, folder), forecasts=seasonal(spark, folder),
+        dataset_models=dataset_models(spark, folder), models=_models(spark, folder), versions=_versions(spark, folder),
+    )
+    fid = features(spark, folder).where(F.col("dataset_key") == "asia").agg(F.min("feature_id")).first()[0]
+    out = None
+    for part, rows in shelf.region_context("asia", "spi3", "1999-02", fid).items():
+        month = {"series": "date", "forecast": "target_date"}.get(part)
+        span = [F.min(month), F.max(month)] if month else [F.lit(None).cast("date")] * 2
+        one = rows.agg(F.lit(part).alias("part"), F.count("*").alias("rows"), span[0].alias("first"), span[1].alias("last"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("forecast_freshness", views="targets dataset_models", sql="""
     SELECT m.dataset_key, issue_date, max(t.date) AS observed_max, max(t.date) > issue_date AS is_stale FROM dataset_models m JOIN targets t USING (dataset_key) GROUP BY 1, 2""")
 def forecast_freshness(spark, folder):
