@@ -9,13 +9,22 @@ import __spark_entry__ as entry
 from parchline.workloads import ORACLES, QUERIES
 
 
+class Absent:
+    """Finds nothing under the given name, as if its files were deleted."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def find_spec(self, name, path=None, target=None):
+        if name == self.name:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+
 @pytest.mark.parametrize("absent", ["corpus_pipeline", "parchline.llm"])
 def test_other_queries_stay_without_the_corpus_subpackage(monkeypatch, absent):
-    monkeypatch.setitem(sys.modules, absent, None)
-    if absent == "parchline.llm":
-        monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
-        for name in [m for m in sys.modules if m.startswith("parchline.llm.")]:
-            monkeypatch.delitem(sys.modules, name)
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("parchline.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(sys, "meta_path", [Absent(absent), *sys.meta_path])
     bare = importlib.reload(entry)
     assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(ORACLES)
 
