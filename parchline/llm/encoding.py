@@ -20,7 +20,7 @@ from .words import Words
 LONG_TEXT = 200_000
 LONG_RUN = 10_000
 ROWS = 200
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 # A cut between two of these characters never lies within a match of the split pattern: no alternative
 # matches a letter or number followed by a space, and none looks back.
 BOUNDARY = re.compile(r"[^\W_](?= [^\W_])")

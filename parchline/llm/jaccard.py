@@ -18,7 +18,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BLOCK = 512
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 SEED = 20240229
 
 
