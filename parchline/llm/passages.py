@@ -84,7 +84,8 @@ def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels:
         texts.mapInArrow(hashed, schema_of(texts, ("dataset_key", "feature_id", "row"), ("n_chars", LongType()), ("starts", ints), ("ends", ints), ("digests", ArrayType(BinaryType())))),
         "units",
     )
-    twice = table.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # What is joined to a side with hot digests is written first: a join of two fresh shuffles can be split by adaptive execution.
+    twice = written(table.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
     places = table.select("row", F.posexplode("digests").alias("unit", "digest"))
     # Few units repeat, so what is written here is small, and it is read twice.
     repeated = written(places.join(twice, "digest", "left_semi"), "repeated")
@@ -95,7 +96,9 @@ def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels:
     rank = F.struct(
         F.col("feature_id").isNull().alias("no_id"), "feature_id", F.col("dataset_key").isNull().alias("no_layer"), "dataset_key", "row", "start"
     )
-    first = ranked.groupBy("digest").agg(F.min(rank).alias("first")).select("digest", F.col("first.row").alias("kept_row"), F.col("first.start").alias("kept_start"))
+    first = written(
+        ranked.groupBy("digest").agg(F.min(rank).alias("first")).select("digest", F.col("first.row").alias("kept_row"), F.col("first.start").alias("kept_start")), "first"
+    )
     later = ranked.join(first, "digest").where((F.col("row") != F.col("kept_row")) | (F.col("start") != F.col("kept_start")))
     runs = later.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     whole = table.select("dataset_key", "feature_id", "row", "n_chars", F.size("digests").cast("bigint").alias("n_units")).join(runs, "row", "left")

@@ -303,6 +303,8 @@ def repeated_bytes(features: DataFrame, attribute: str = DESCRIPTION, length: in
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     texts = described(features, attribute).withColumn("content", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    # Never null, but said aloud: joins would add this filter on one use of the texts and not on the other.
+    texts = texts.where(F.col("content").isNotNull())
 
     def anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, most=SLICE):
@@ -319,7 +321,8 @@ def repeated_bytes(features: DataFrame, attribute: str = DESCRIPTION, length: in
             )
 
     found = texts.mapInArrow(anchored, "gram bigint, content binary, place int")
-    repeated = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot"))
+    # Written, so that the join shuffles both sides and a hot gram can be split.
+    repeated = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot")), "grams")
     wanted = written(
         found.join(repeated, "gram").groupBy("content").agg(
             F.collect_set(F.when(~F.col("hot"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot_places")
@@ -449,7 +452,7 @@ def repeated_bytes(features: DataFrame, attribute: str = DESCRIPTION, length: in
     schema = schema_of(texts, ("dataset_key", "feature_id"), ("n_bytes", LongType()), ("removed", RUNS), ("kept", BinaryType()))
     single = whole.join(runs, "content", "left").where("copies = 1").mapInArrow(cut, schema)
     # Of a text with copies either all is repeated or, if it is too short, nothing.
-    copied = texts.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    copied = written(texts.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"), "copied")
     size = F.octet_length("text")
     brief = texts.select("dataset_key", "feature_id", "content", size.cast("int").alias("size"), F.when(size < length, F.col("text")).otherwise("").alias("rest"))
     long = F.col("size") >= length
