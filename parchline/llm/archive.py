@@ -38,7 +38,9 @@ def decoded(text: Column) -> Column:
         good = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
         return F.when(good, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(found)
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)))
+    found = F.when(F.contains(text, F.lit("&#")), F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)))).otherwise(
+        F.array().cast("array<string>")
+    )
     # An ampersand made from a number must not start a named reference, so numbers go through a mark.
     out = F.aggregate(found, text, lambda acc, f: F.replace(acc, f, F.when(character(f) == "&", F.lit("&amp;")).otherwise(character(f))))
     for name, value in NAMED:
@@ -50,12 +52,12 @@ def tidy(text: Column) -> Column:
     """Single spaces, no empty lines, none at the ends."""
     text = F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
-    return F.regexp_replace(text, "\\A[ \\n]+|[ \\n]+\\z", "")
+    return F.btrim(text, F.lit(" \n"))
 
 
-def plain_text(html: Column) -> Column:
-    """What a reader sees of a page, one line per block."""
-    text = F.regexp_replace(visible(html), "[\\r\\n]+", " ")
+def plain_text(seen: Column) -> Column:
+    """What a reader sees of visible mark-up, one line per block."""
+    text = F.regexp_replace(seen, "[\\r\\n]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n"), ANY_TAG, "")
     return tidy(decoded(text))
 
@@ -89,9 +91,12 @@ def derived_records(responses: DataFrame, *keep: str) -> DataFrame:
     is the plain text. A null payload is empty; a null identifier, address or date stays null; a map that is null is empty. Repeated rows give the
     same records again; an empty table gives none. Everything is column expressions, without a shuffle.
     """
-    payload = F.coalesce("payload", F.lit(""))
-    title = tidy(decoded(F.regexp_replace(F.regexp_extract(visible(payload), TITLE, 1), ANY_TAG, "")))
-    links = F.regexp_extract_all(visible(payload), F.lit(LINK), F.lit(1))
+    # The visible mark-up is a column of its own, so it is made once for title, links and text.
+    responses = responses.select(*keep, "record_id", "target_uri", "warc_date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
+    responses = responses.withColumn("seen", visible(F.col("payload")))
+    payload, seen = F.col("payload"), F.col("seen")
+    title = tidy(decoded(F.regexp_replace(F.regexp_extract(seen, TITLE, 1), ANY_TAG, "")))
+    links = F.regexp_extract_all(seen, F.lit(LINK), F.lit(1))
     fields = F.concat(
         F.array(F.concat(F.lit("title: "), one_line(title)), F.concat(F.lit("language: "), one_line(F.regexp_extract(payload, LANGUAGE, 1)))),
         F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(F.replace(x, F.lit("&amp;"), F.lit("&"))))),
@@ -99,7 +104,7 @@ def derived_records(responses: DataFrame, *keep: str) -> DataFrame:
     headers = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(F.array_join(fields, BREAK), F.lit(BREAK)).alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(payload).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(seen).alias("block")),
     )
     rows = responses.select(
         *keep, F.col("record_id").alias("refers_to"), one_line(F.col("target_uri")).alias("target_uri"), F.col("warc_date").cast("string").alias("warc_date"),
