@@ -3,7 +3,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-import tiktoken
 from cases import TEXTS, by_id, features
 from parchline.llm import encoding as E
 from parchline.llm import packing as K
