@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from parchline.forecasting import evaluation as E, inputs as I, models as M
 from parchline.plans.catalog import Catalog
