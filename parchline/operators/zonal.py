@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import days_in_month, month_start
 from ..functions.geo import EARTH_RADIUS_M, cell_area_m2
 from ..functions.numeric import finite, to_millimetres
 
+# Shares of a cell below this are rounding errors of sums.
+LEAST_COVERAGE = 1e-12
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -153,52 +152,6 @@ def _weighted(cells: DataFrame, grid: GridSpec, keys: tuple[str, ...]) -> DataFr
     )
 
 
-def _keep_side(ring: np.ndarray, axis: int, limit: float, keep_above: bool) -> np.ndarray:
-    """Part of a ring on one side of an axis-parallel line (Sutherland-Hodgman step)."""
-    if len(ring) == 0:
-        return ring
-    ahead = np.roll(ring, -1, axis=0)
-    here, there = ring[:, axis], ahead[:, axis]
-    inside = here >= limit if keep_above else here <= limit
-    next_inside = np.roll(inside, -1)
-    out: list[np.ndarray] = []
-    for k in range(len(ring)):
-        if inside[k]:
-            out.append(ring[k])
-        if inside[k] != next_inside[k]:
-            share = (limit - here[k]) / (there[k] - here[k])
-            out.append(ring[k] + share * (ahead[k] - ring[k]))
-    return np.array(out) if out else np.empty((0, 2))
-
-
-def ring_area(ring: np.ndarray) -> float:
-    """Planar area of a ring."""
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0], ring[:, 1]
-    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2.0
-
-
-def band_coverage(ring: np.ndarray, grid: GridSpec, row: int) -> list[tuple[int, float]]:
-    """Covered area fraction of each cell of one grid row."""
-    top = grid.north - row * grid.dlat
-    band = _keep_side(_keep_side(ring, 1, top - grid.dlat, True), 1, top, False)
-    if len(band) < 3:
-        return []
-    first = max(0, math.floor((band[:, 0].min() - grid.west) / grid.dlon))
-    last = min(grid.cols - 1, math.ceil((band[:, 0].max() - grid.west) / grid.dlon) - 1)
-    found = []
-    rest = band
-    for col in range(first, last + 1):
-        east = grid.west + (col + 1) * grid.dlon
-        cell = _keep_side(_keep_side(rest, 0, east - grid.dlon, True), 0, east, False)
-        share = ring_area(cell) / (grid.dlat * grid.dlon)
-        if share > 0:
-            found.append((col, share))
-        rest = _keep_side(rest, 0, east, True)
-    return found
-
-
 def polygon_rings(features: DataFrame, keys: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """One row per ring with sign +1 (outer) or -1 (hole).
 
@@ -210,34 +163,85 @@ def polygon_rings(features: DataFrame, keys: tuple[str, ...] = ("feature_id",))
     )
 
 
+def _edges(rings: DataFrame, grid: GridSpec, keys: tuple[str, ...]) -> DataFrame:
+    """Edges of the rings in cell units, from their upper to their lower end, with a sign.
+
+    ``u`` counts columns from the west and ``v`` rows from the north. The sign is that of the ring (outer or hole), of its
+    direction and of the edge's, so that sums over a polygon's edges give covered area.
+    """
+    points = F.transform(
+        "ring",
+        lambda p: F.struct(
+            ((F.get(p, F.lit(0)) - grid.west) / grid.dlon).alias("u"), ((F.lit(grid.north) - F.get(p, F.lit(1))) / grid.dlat).alias("v")
+        ),
+    )
+    ahead = F.concat(F.slice("points", F.lit(2), F.size("points")), F.slice("points", 1, 1))
+    pairs = F.zip_with("points", ahead, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    turn = F.aggregate("pairs", F.lit(0.0), lambda total, e: total + e["p"]["u"] * e["q"]["v"] - e["q"]["u"] * e["p"]["v"])
+    paired = rings.select(*keys, "sign", points.alias("points")).select(*keys, "sign", pairs.alias("pairs"))
+    edges = paired.select(*keys, (F.col("sign") * F.signum(turn)).alias("sign"), F.explode("pairs").alias("e"))
+    p, q = F.col("e.p"), F.col("e.q")
+    down = q["v"] > p["v"]
+    upper, lower = F.when(down, p).otherwise(q), F.when(down, q).otherwise(p)
+    # Level edges cover nothing.
+    return edges.where(p["v"] != q["v"]).select(
+        *keys, (F.col("sign") * F.when(down, 1).otherwise(-1)).alias("sign"),
+        upper["u"].alias("u0"), upper["v"].alias("v0"), lower["u"].alias("u1"), lower["v"].alias("v1"),
+    )
+
+
 def polygon_weights(features: DataFrame, grid: GridSpec, keys: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """Coverage fraction and area weight of every cell a polygon touches.
 
-    Work is split by (ring, grid row): a ring is clipped to one row of cells at a
-    time, so a polygon over the whole grid spreads over many tasks. Holes subtract.
+    A cell is covered as far as the edges to its right, taken with their signs, pass by its height; an edge inside the
+    cell counts up to where it runs. So every edge is split at the rows and columns it crosses, its parts are summed
+    per cell (combined before the shuffle), and a running sum along each row, from the east, fills the cells between.
+    All terms add up, so holes and parts need nothing more, and no ring is copied or gathered.
     """
-    lats = F.transform("ring", lambda p: F.get(p, F.lit(1)))
-    top, bottom = F.lit(grid.north) - F.array_max(lats), F.lit(grid.north) - F.array_min(lats)
-    row_first, row_last = _span(top, bottom, 0.0, grid.dlat, grid.rows)
-    bands = polygon_rings(features, keys).withColumn("lat_idx", _indices(row_first, row_last))
-
-    @F.pandas_udf("array<struct<lon_idx:int,share:double>>")
-    def cover(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for rings, rows in batches:
-            yield pd.Series(
-                [
-                    [{"lon_idx": c, "share": s} for c, s in band_coverage(np.array([p[:2] for p in r]), grid, int(i))]
-                    for r, i in zip(rings, rows)
-                ]
-            )
-
-    shares = bands.repartition(*keys, "lat_idx").select(
-        *keys, "sign", "lat_idx", F.explode(cover("ring", "lat_idx")).alias("_c")
+    edges = _edges(polygon_rings(features, keys), grid, keys)
+    u0, v0, v1 = F.col("u0"), F.col("v0"), F.col("v1")
+    row_first = F.greatest(F.floor(v0), F.lit(0)).cast("int")
+    row_last = F.least(F.ceil(v1) - 1, F.lit(grid.rows - 1)).cast("int")
+    row = F.col("lat_idx")
+    slope = (F.col("u1") - u0) / (v1 - v0)
+    upper, lower = F.greatest(v0, row.cast("double")), F.least(v1, row + 1.0)
+    x0, x1 = u0 + (upper - v0) * slope, u0 + (lower - v0) * slope
+    bands = edges.withColumn("lat_idx", _indices(row_first, row_last)).select(
+        *keys, "sign", "lat_idx", (lower - upper).alias("height"), F.least(x0, x1).alias("low"), F.greatest(x0, x1).alias("high")
+    )
+    low, high = F.col("low"), F.col("high")
+    # Column ``cols`` stands for everything east of the grid; what lies west of it covers no cell.
+    col_first = F.least(F.greatest(F.floor(low), F.lit(0)), F.lit(grid.cols)).cast("int")
+    col_last = F.least(F.greatest(F.ceil(high) - 1, F.floor(low)), F.lit(grid.cols)).cast("int")
+    col = F.col("lon_idx")
+    east = col == grid.cols
+    start, end = F.greatest(low, col.cast("double")), F.when(east, high).otherwise(F.least(high, col + 1.0))
+    height = F.col("sign") * F.col("height") * F.when(high > low, (end - start) / F.nullif(high - low, F.lit(0.0))).otherwise(1.0)
+    parts = bands.withColumn("lon_idx", _indices(col_first, col_last)).select(
+        *keys, "lat_idx", "lon_idx", height.alias("passed"), F.when(east, 0.0).otherwise(height * ((start + end) / 2 - col)).alias("inside")
+    )
+    met = parts.groupBy(*keys, "lat_idx", "lon_idx").agg(F.sum("passed").alias("passed"), F.sum("inside").alias("inside"))
+    along = Window.partitionBy(*keys, "lat_idx").orderBy(F.col("lon_idx").desc())
+    summed = met.select(
+        *keys, "lat_idx", "lon_idx", "inside", "passed", F.sum("passed").over(along).alias("after"),
+        F.coalesce(F.lead("lon_idx").over(along), F.lit(-1)).alias("west"),
+    )
+    own = F.struct(F.col("lon_idx").alias("col"), (F.col("after") - F.col("passed") + F.col("inside")).alias("coverage"))
+    # Cells between this one and the next to the west have no edge of their own.
+    gaps = summed.withColumn(
+        "cells",
+        F.concat(
+            F.array(own),
+            F.when(
+                (F.abs("after") > LEAST_COVERAGE) & (F.col("west") + 1 <= F.col("lon_idx") - 1),
+                F.transform(F.sequence(F.col("west") + 1, F.col("lon_idx") - 1), lambda c: F.struct(c.alias("col"), F.col("after").alias("coverage"))),
+            ).otherwise(F.array().cast("array<struct<col:int,coverage:double>>")),
+        ),
     )
-    cells = shares.groupBy(*keys, "lat_idx", F.col("_c.lon_idx").alias("lon_idx")).agg(
-        F.sum(F.col("sign") * F.col("_c.share")).alias("coverage")
+    cells = gaps.select(*keys, "lat_idx", F.explode("cells").alias("c")).select(
+        *keys, "lat_idx", F.col("c.col").alias("lon_idx"), F.least(F.col("c.coverage"), F.lit(1.0)).alias("coverage")
     )
-    return _weighted(cells, grid, keys)
+    return _weighted(cells.where((F.col("lon_idx") < grid.cols) & (F.col("coverage") > LEAST_COVERAGE)), grid, keys)
 
 
 def spherical_ring_area(ring: Column) -> Column:

@@ -165,15 +165,11 @@ def polygon_cell_weights(spark, folder):
 
 
 @query("polygon_hole_area", views="boxes", sql=f"""
-    SELECT feature_id, round((maxx - minx) * (maxy - miny) / 2 * 75e-2, 6) AS area FROM boxes
-    WHERE minx >= 4975e-2 AND maxx <= 5975e-2 AND miny >= 3525e-2 AND maxy <= 4025e-2""")
+    SELECT feature_id, round((maxx - minx) * (maxy - miny) / 2 * 75e-2, 6) AS area FROM boxes""")
 def polygon_hole_area(spark, folder):
-    """Planar area of diamonds with diamond holes, summed over the cells they cover."""
-    west, south, east, north = SPEC.extent
-    inside = _polygons(spark, folder, True).where(
-        (F.col("minx") >= west) & (F.col("maxx") <= east) & (F.col("miny") >= south) & (F.col("maxy") <= north)
-    )
-    return G.polygon_weights(inside, SPEC).groupBy("feature_id").agg(F.round(F.sum("coverage") * 0.25, 6).alias("area"))
+    """Planar area of diamonds with diamond holes, summed over the cells of a world grid."""
+    world = G.GridSpec(90.0, -180.0, 0.5, 0.5, 360, 720)
+    return G.polygon_weights(_polygons(spark, folder, True), world).groupBy("feature_id").agg(F.round(F.sum("coverage") * 0.25, 6).alias("area"))
 
 
 ZONAL = f"""{BOX_CELLS},
