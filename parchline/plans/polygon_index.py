@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.store import TableStore
 from ..operators.series import on_common_months
 from ..operators.standardize import standardized_index
 from ..operators.zonal import (
@@ -67,3 +68,53 @@ def empty_months(zonal: DataFrame) -> DataFrame:
         .where(F.col("_n") == 0)
         .select("layer_key", "date")
     )
+
+
+def layer_series(indexed: DataFrame, source_key: str, scales: Sequence[int]) -> DataFrame:
+    """Wide series of every layer and scale under the key ``source_layer_spi<scale>``."""
+    out = None
+    for scale in scales:
+        name = f"spi{scale}"
+        key = F.concat(F.lit(f"{source_key}_"), F.col("layer_key"), F.lit(f"_{name}"))
+        rows = indexed.select(
+            key.alias("dataset_key"), "feature_id", "date", F.col(name).cast("double").alias(name), F.col("value").alias("precip")
+        )
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def layer_records(
+    indexed: DataFrame, excluded: DataFrame, incomplete: DataFrame, source_key: str, scales: Sequence[int]
+) -> DataFrame:
+    """Registry facts per layer and scale: period, features kept and left out, months without any value."""
+    spans = indexed.groupBy("layer_key").agg(
+        F.date_format(F.min("date"), "yyyy-MM").alias("min_month"), F.date_format(F.max("date"), "yyyy-MM").alias("max_month"),
+        F.count_distinct("feature_id").alias("feature_count"),
+    )
+    lost = excluded.groupBy("layer_key").agg(F.count("*").alias("excluded_feature_count"))
+    months = incomplete.groupBy("layer_key").agg(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM"))).alias("incomplete_months"))
+    known = spans.join(lost, "layer_key", "left").join(months, "layer_key", "left")
+    return known.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).select(
+        F.concat_ws("_", F.lit(source_key), "layer_key", F.concat(F.lit("spi"), "scale")).alias("dataset_key"),
+        F.lit(source_key).alias("source_key"), F.col("layer_key").alias("boundary_key"), "scale",
+        F.array(F.concat(F.lit("spi"), "scale"), F.lit("precip")).alias("available_indices"), "min_month", "max_month", "feature_count",
+        F.coalesce("excluded_feature_count", F.lit(0).cast("bigint")).alias("excluded_feature_count"),
+        F.coalesce("incomplete_months", F.array().cast("array<string>")).alias("incomplete_months"),
+    )
+
+
+def write_layers(
+    store: TableStore, indexed: DataFrame, polygons: DataFrame, excluded: DataFrame, incomplete: DataFrame, source_key: str, scales: Sequence[int]
+) -> None:
+    """Series, features and registry records of all layers and scales of one source.
+
+    ``polygons`` holds the feature columns beside ``layer_key``; only features with an index are stored. One job per table serves any
+    number of layers.
+    """
+    store.write_series(layer_series(indexed, source_key, scales))
+    store.replace("layer_records", layer_records(indexed, excluded, incomplete, source_key, scales), ["dataset_key"])
+    kept = store.read("series").select("dataset_key", "feature_id").distinct()
+    named = polygons.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn(
+        "dataset_key", F.concat_ws("_", F.lit(source_key), "layer_key", F.concat(F.lit("spi"), "scale"))
+    )
+    store.replace("features", named.drop("layer_key", "scale").join(kept, ["dataset_key", "feature_id"], "left_semi"), ["dataset_key"])

@@ -9,6 +9,7 @@ from ..operators import predictors as R, station as D, zonal as G
 from ..plans import polygon_index as L
 from ..plans.station_index import StationRun, layer_metadata, station_counters, station_features, station_index, write_layer
 from ..session import scratch_path
+from ..sources.store import TableStore
 from . import sqltext as Q
 from .base import FIRST_MONTH, boxes, daily, gauges, grid, query, rnd, rounded, table
 
@@ -226,6 +227,29 @@ def polygon_index(spark, folder):
     return rounded(rounded(out.withColumn("spi3", F.col("spi3").cast("double")), "spi3", digits=5), "value")
 
 
+@query("polygon_layers_written", views="boxes grid", sql=f"""
+    WITH {COVERED},
+    monthly AS (SELECT lat_idx * 20 + lon_idx AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, sum(value) AS value FROM grid GROUP BY 1, 2),
+    flow AS (SELECT feature_id, date, sum(weight * value) / sum(weight) FILTER (WHERE value IS NOT NULL) AS value
+             FROM weights JOIN monthly USING (cell_id) WHERE feature_id IN (SELECT feature_id FROM shares WHERE spatial_coverage >= 8e-1) GROUP BY 1, 2),
+    {Q.common_months("flow", "feature_id")},
+    gaps AS (SELECT count(*) AS n FROM (SELECT date FROM complete GROUP BY date HAVING count(value) = 0))
+    SELECT 'rain_boxes_spi' || s AS dataset_key, 'rain' AS source_key, 'boxes' AS boundary_key, CAST(s AS INTEGER) AS scale, strftime(min(date), '%Y-%m') AS min_month,
+           strftime(max(date), '%Y-%m') AS max_month, count(DISTINCT feature_id) AS feature_count, (SELECT count(*) FROM shares WHERE spatial_coverage < 8e-1) AS excluded_feature_count,
+           (SELECT n FROM gaps) AS incomplete, count(*) AS data_rows, count(DISTINCT feature_id) AS features FROM complete, (SELECT unnest([3, 6]) AS s) GROUP BY s""")
+def polygon_layers_written(spark, folder):
+    """Layers of two scales written and read back: records, series rows and features."""
+    places = _polygons(spark, folder).withColumn("layer_key", F.lit("boxes"))
+    weights, _, left_out = L.layer_weights(places, SPEC, 0.8)
+    zonal = L.monthly_zonal(grid(spark, folder), weights, SPEC, daily=False)
+    store = TableStore(spark, scratch_path(spark, "layers"))
+    L.write_layers(store, L.polygon_index(zonal, (3, 6), minimum_years=5), places, left_out, L.empty_months(zonal), "rain", (3, 6))
+    rows = store.read("series").groupBy("dataset_key").agg(F.count("*").alias("data_rows"))
+    stored = store.read("features").groupBy("dataset_key").agg(F.count("*").alias("features"))
+    records = store.read("layer_records").withColumn("incomplete", F.size("incomplete_months").cast("bigint")).drop("incomplete_months", "available_indices")
+    return records.join(rows, "dataset_key").join(stored, "dataset_key")
+
+
 # -- predictors -------------------------------------------------------------------------
 
 AREA_BOX = (51.0, 36.0, 57.5, 39.0)
