@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 LONGEST_WORD = 64
 SPACED = re.compile(r"\s (?:\s|\Z)")
 
