@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .records import DESCRIPTION, described, in_parts, schema_of, written
-from .words import Words
+from .words import KNOWN_WORDS, Words
 
 WINDOW = 2048
 END = 1
@@ -23,7 +23,7 @@ SHARD_ROWS = 100_000
 
 
 @lru_cache(maxsize=2)
-def words_of(tokenizer_file: str) -> Words:
+def words_of(tokenizer_file: str, known_words: int) -> Words:
     """The words of a tokenizer file, built once per Python worker."""
     from tokenizers import Tokenizer
 
@@ -35,7 +35,7 @@ def words_of(tokenizer_file: str) -> Words:
     def tokenize(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Words(tokenize)
+    return Words(tokenize, known_words)
 
 
 class OpenWindows:
@@ -94,7 +94,8 @@ def best_fit(lengths: Iterable[int], window: int) -> Iterator[tuple[int, int]]:
 
 
 def pack_descriptions(
-    features: DataFrame, tokenizer_file: str, attribute: str = DESCRIPTION, window: int = WINDOW, end: int = END, shard_rows: int = SHARD_ROWS
+    features: DataFrame, tokenizer_file: str, attribute: str = DESCRIPTION, window: int = WINDOW, end: int = END, shard_rows: int = SHARD_ROWS,
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """Descriptions as token pieces placed in windows of at most ``window`` tokens.
 
@@ -102,7 +103,7 @@ def pack_descriptions(
     than a window are first cut into full windows and a rest; rests and shorter documents
     are packed best-fit decreasing. Packing runs in shards of about ``shard_rows`` pieces, dealt in
     turn, each sorted by length in Spark before it streams through the segment tree, so
-    padding is lost once per shard.
+    padding is lost once per shard. A worker keeps at most ``known_words`` words, which trades memory for time.
 
     Returns one row per piece: ``dataset_key, feature_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset``; pieces of a sequence lie without gaps from 0. Null and
@@ -112,7 +113,7 @@ def pack_descriptions(
     texts = described(features, attribute)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = words_of(tokenizer_file), np.array([end], "<u4").tobytes()
+        words, last = words_of(tokenizer_file, known_words), np.array([end], "<u4").tobytes()
         for batch in in_parts(batches):
             rows: list[int] = []
             found: list[tuple[int, int, int, int]] = []
