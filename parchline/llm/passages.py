@@ -19,7 +19,8 @@ UNITS = {
     "line": re.compile(r"[^\n]+\n*|\n+"),
     "sentence": re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+"),
 }
-LEAST_WORDS = 5
+# Every repeated unit goes, whatever its length.
+LEAST_WORDS = 1
 SPACES = re.compile(r"[ \t-\r]+")
 ARROW_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -54,7 +55,8 @@ def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels:
     """Parts of descriptions that repeat an earlier ranked unit.
 
     Parameters: ``levels``, the units compared (``paragraph``, ``line``, ``sentence``), each level for itself;
-    ``least_words``, below which a unit is too short to be a passage and always stays.
+    ``least_words``, below which a unit always stays; none is spared by default. Words are counted by spaces, so a floor spares
+    whole lines of scripts that write none.
 
     A unit is normalized (case, white space) and hashed. Of units with one digest the earliest stays, in order of ``feature_id``
     (null last), ``dataset_key`` (null last), row, start; all others are removed. Digests are counted with partial aggregates, and only units

@@ -42,3 +42,12 @@ def test_repeated_rows_keep_one(spark):
 def test_empty_table_and_cutting(spark):
     assert repeated_passages(features(spark, [])).count() == 0
     assert without_runs("abcdef", [(1, 2), (4, 6)]) == "acd"
+
+
+def test_short_units_go_too(spark):
+    texts = ["All rights reserved.\nOne basin of many", "Two basins of many\nALL  rights reserved.", "日本の雨量計\n三", "日本の雨量計\n四", "One basin of many"]
+    found = by_id(repeated_passages(features(spark, texts)))
+    left = [without_runs(t, [(r.start, r.end) for r in found[i].removed]) for i, t in enumerate(texts)]
+    assert left == [texts[0], "Two basins of many\n", texts[2], "四", ""]
+    spared = by_id(repeated_passages(features(spark, texts), least_words=4))
+    assert [len(spared[i].removed) for i in range(5)] == [0, 0, 0, 0, 1]
