@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +18,14 @@ LINE_TAGS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
 ANY_TAG = r"</?[A-Za-z!][^>]*>"
-# Character references by name (fixed values); the ampersand comes last.
-NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
-NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+# The HTML standard's character references by name, some of which need no semicolon; a space that does not break is a plain one here.
+NAMED = {f"&{name}": value.replace("\xa0", " ") for name, value in html5.items()}
+COMMON = ("&amp;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&apos;")
+NUMBERED = r"#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+# Names by their first letter, longest first, so that the longest name that fits is found.
+REFERENCE = f"^&(?:{NUMBERED}|" + "|".join(
+    f"{first}(?:{'|'.join(re.escape(n[1:]) for n in sorted(names, key=len, reverse=True))})" for first, names in groupby(sorted(html5), key=lambda n: n[0])
+) + ")"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANGUAGE = r"(?i)<html\b[^>]*?\blang\s*=\s*\"([^\"]*)\""
 LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
@@ -29,23 +39,26 @@ def visible(html: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Numbered and the common named character references as characters; references to no character stay."""
+    """Numbered and named character references as characters, each once; references to no character stay."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
-    def character(found: Column) -> Column:
+    def numbered(found: Column) -> Column:
         digits = F.regexp_replace(found, "[&#;xX]", "")
         point = F.conv(digits, 10, 10).cast("bigint")
         point = F.when(F.lower(found).startswith("&#x"), F.conv(digits, 16, 10).cast("bigint")).otherwise(point)
         good = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
         return F.when(good, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(found)
 
-    found = F.when(F.contains(text, F.lit("&#")), F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    # An ampersand made from a number must not start a named reference, so numbers go through a mark.
-    out = F.aggregate(found, text, lambda acc, f: F.replace(acc, f, F.when(character(f) == "&", F.lit("&amp;")).otherwise(character(f))))
-    for name, value in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    def character(found: Column) -> Column:
+        value = F.when(found == "", found)
+        # The map is searched from its start, so the common names come before it.
+        for name in COMMON:
+            value = value.when(found == name, F.lit(NAMED[name]))
+        return value.when(found.startswith("&#"), numbered(found)).otherwise(F.element_at(names, found))
+
+    # Cut before each ampersand, a piece has at most one reference, at its start, and what it gives is not read again.
+    pieces = F.transform(F.split(text, "(?=&)"), lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, REFERENCE, 0).alias("found")))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(character(p["found"]), F.substr(p["piece"], F.length(p["found"]) + 1))), "")
 
 
 def tidy(text: Column) -> Column:

@@ -27,6 +27,13 @@ def test_records_of_a_page(spark):
     assert len({r.record_id for r in made.values()}) == 2
 
 
+def test_all_named_references(spark):
+    page = "<title>&copy; A&middot;B</title><p>caf&eacute; &mdash;&hellip;&rsquo; &copy 2024 &notit; &notin; &NotEqualTilde; &AMP;copy; &amp;copy; &#38;copy; AT&T &nosuch; a&b &"
+    made = {r.record_type: r.block for r in derived(spark, [("a", "u", None, {}, page, None)]).collect()}
+    assert made["conversion"] == "© A·B\ncafé —…’ © 2024 ¬it; ∉ ≂̸ &copy; &copy; &copy; AT&T &nosuch; a&b &"
+    assert made["metadata"].startswith("title: © A·B\r\n")
+
+
 def test_nulls_long_pages_repeats_and_empty_table(spark):
     rows = [(None, None, None, None, None, None), ("a", "u", None, {}, "", None), ("b", "u", None, {"k": None}, "<p>x" * 50_000, None), ("b", "u", None, {"k": None}, "<p>x" * 50_000, None)]
     found = derived(spark, rows).collect()
