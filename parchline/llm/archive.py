@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
-# Content that is not text, and tags that end a line of it.
-HIDDEN = (r"(?s)<!--.*?(?:-->|\z)", r"(?is)<script\b.*?(?:</script\s*>|\z)", r"(?is)<style\b.*?(?:</style\s*>|\z)", r"(?is)<noscript\b.*?(?:</noscript\s*>|\z)")
+# Content that is not text, whichever opens first, and tags that end a line of it.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\z)"
 LINE_TAGS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
@@ -27,15 +27,20 @@ REFERENCE = f"^&(?:{NUMBERED}|" + "|".join(
     f"{first}(?:{'|'.join(re.escape(n[1:]) for n in sorted(names, key=len, reverse=True))})" for first, names in groupby(sorted(html5), key=lambda n: n[0])
 ) + ")"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LANGUAGE = r"(?i)<html\b[^>]*?\blang\s*=\s*\"([^\"]*)\""
-LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
+# Attributes before the wanted one are passed as wholes, so that none is found in another's value.
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+"
+TAG_VALUE = r"(?i)<{tag}(?=[\s/])(?:[\s/]*+(?!{name}\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{value}))?+)*+[\s/]*+{name}\s*+=\s*+({value})"
+LANGUAGE = TAG_VALUE.format(tag="html", name="(?:xml:)?lang", value=VALUE)
+LINK = TAG_VALUE.format(tag="a", name="href", value=VALUE)
 
 
 def visible(html: Column) -> Column:
     """The mark-up without comments, scripts and styles; one without an end goes to the end of the text."""
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, "")
-    return html
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def unquoted(value: Column) -> Column:
+    return F.when(value.startswith('"') | value.startswith("'"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def decoded(text: Column) -> Column:
@@ -111,8 +116,8 @@ def derived_records(responses: DataFrame, *keep: str) -> DataFrame:
     title = tidy(decoded(F.regexp_replace(F.regexp_extract(seen, TITLE, 1), ANY_TAG, "")))
     links = F.regexp_extract_all(seen, F.lit(LINK), F.lit(1))
     fields = F.concat(
-        F.array(F.concat(F.lit("title: "), one_line(title)), F.concat(F.lit("language: "), one_line(F.regexp_extract(payload, LANGUAGE, 1)))),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(F.replace(x, F.lit("&amp;"), F.lit("&"))))),
+        F.array(F.concat(F.lit("title: "), one_line(title)), F.concat(F.lit("language: "), one_line(unquoted(F.regexp_extract(payload, LANGUAGE, 1))))),
+        F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(F.replace(unquoted(x), F.lit("&amp;"), F.lit("&"))))),
     )
     headers = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
     kinds = F.array(

@@ -34,6 +34,18 @@ def test_all_named_references(spark):
     assert made["metadata"].startswith("title: © A·B\r\n")
 
 
+def test_attributes_in_all_forms_and_what_opens_first(spark):
+    page = (
+        "<html class=x lang='de'><script>var c = '<!--';</script><p>one<style>/* <script> */</style><!-- <script> -->two<a title=\"see href=no\" data-href='no' HREF = '/q?a=\"1\"&amp;b'>x</a>"
+        "<a href=/plain/>y</a><a class='k'href=\"/it's\">z</a><a name=here>w</a><abbr href=/no>v</abbr><a href=''>u</a>"
+    )
+    made = {r.record_type: r.block for r in derived(spark, [("a", "u", None, {}, page, None)]).collect()}
+    assert made["conversion"] == "one" + "twoxyzwvu"
+    assert made["metadata"] == "title: \r\nlanguage: de\r\noutlink: /q?a=\"1\"&b\r\noutlink: /plain/\r\noutlink: /it's\r\noutlink: \r\n"
+    plain = {r.record_type: r.block for r in derived(spark, [("a", "u", None, {}, "<html lang=fr><a " + "b=c " * 50_000 + "href=d>", None)]).collect()}
+    assert plain["metadata"] == "title: \r\nlanguage: fr\r\noutlink: d\r\n"
+
+
 def test_nulls_long_pages_repeats_and_empty_table(spark):
     rows = [(None, None, None, None, None, None), ("a", "u", None, {}, "", None), ("b", "u", None, {"k": None}, "<p>x" * 50_000, None), ("b", "u", None, {"k": None}, "<p>x" * 50_000, None)]
     found = derived(spark, rows).collect()
