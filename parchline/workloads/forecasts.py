@@ -368,7 +368,7 @@ def forecast_random_forest(spark, folder):
     frame, columns, means = _source_frame(spark, folder, helpers=True)
 
     def make():
-        return M.TreeForecaster("random_forest", M.random_forest(M.ForestSettings(trees=50, depth=6)), columns, means)
+        return M.TreeForecaster("random_forest", M.random_forest(M.ForestSettings()), columns, means)
 
     return _flat(run_forecast(frame, make, "shipments", "spi3"), spark)
 
@@ -378,7 +378,7 @@ def forecast_boosted_trees(spark, folder):
     frame, columns, means = _source_frame(spark, folder)
 
     def make():
-        return M.TreeForecaster("boosted_trees", M.boosted_trees(M.BoostSettings(trees=50, depth=3)), columns, means)
+        return M.TreeForecaster("boosted_trees", M.boosted_trees(M.BoostSettings()), columns, means)
 
     return _flat(run_forecast(frame, make, "shipments", "spi3"), spark)
 

@@ -145,3 +145,20 @@ def test_origins_need_history_and_room(spark):
     assert got[0]["recent"] == [float(v) for v in range(18)]
     assert I.supervised_rows(frame, ["y"], cutoff="2002-12-01").count() == 18
     assert I.sequence_rows(frame, ["y"]).count() == 30
+
+
+@pytest.mark.parametrize(("name", "trees", "settings"), [("forecast_random_forest", "numTrees", "ForestSettings"), ("forecast_boosted_trees", "maxIter", "BoostSettings")])
+def test_registered_tree_queries_train_the_defaults(spark, monkeypatch, name, trees, settings):
+    from parchline.workloads import forecasts as W
+
+    class Made(Exception):
+        pass
+
+    def caught(frame, make, *rest):
+        raise Made(make())
+
+    monkeypatch.setattr(W, "run_forecast", caught)
+    with pytest.raises(Made) as made:
+        getattr(W, name)(spark, "/root/testdata/sf0.001")
+    regressor, default = made.value.args[0].estimator, getattr(M, settings)()
+    assert (regressor.getOrDefault(trees), regressor.getMaxDepth()) == (default.trees, default.depth)
