@@ -123,12 +123,12 @@ def imported_features(spark, folder):
 
 @query("import_repeated_features", views="features", sql="SELECT dataset_key, 'f' || feature_id AS feature_id, 'last ' || feature_id AS name FROM features")
 def import_repeated_features(spark, folder):
-    """Every feature comes twice in its file; the later one stays."""
+    """Every feature comes twice, with its place in the properties; the later one stays, in however many files they are."""
     path = scratch_path(spark, "twice")
-    f = features(spark, folder).coalesce(1).select("dataset_key", "feature_id", F.explode(F.array(F.lit("first"), F.lit("last"))).alias("turn"))
-    line = F.format_string('{"type":"Feature","id":"f%s","properties":%s,"geometry":{"type":"Point","coordinates":[1,2]}}', F.col("feature_id"), F.to_json(F.struct(F.concat_ws(" ", "turn", "feature_id").alias("title"), F.col("dataset_key").alias("layer"))))
+    f = features(spark, folder).select("dataset_key", "feature_id", F.explode(F.array(F.lit("first"), F.lit("last"))).alias("turn"))
+    line = F.format_string('{"type":"Feature","id":"f%s","properties":%s,"geometry":{"type":"Point","coordinates":[1,2]}}', F.col("feature_id"), F.to_json(F.struct(F.concat_ws(" ", "turn", "feature_id").alias("title"), F.col("dataset_key").alias("layer"), F.concat_ws(" ", "feature_id", F.when(F.col("turn") == "first", "1").otherwise("2")).alias("place"))))
     f.select(line.alias("value")).write.text(path)
-    placed = J.read_features(spark, path, lines=True).withColumn("place", F.monotonically_increasing_id())
+    placed = J.read_features(spark, path, lines=True).withColumn("place", F.col("properties")["place"])
     rows = J.feature_rows(placed, F.col("properties")["layer"], keep=("place",))
     return newest_per_key(rows, KEYS, "place").select(*KEYS, "name")
 

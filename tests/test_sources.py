@@ -151,3 +151,14 @@ def test_checkpoint_folder_of_the_context_comes_first(spark):
 
     ensure_checkpoint_dir(spark)
     assert shared_folder(spark) == spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def test_repeated_features_are_written_in_many_files(spark, tmp_path, monkeypatch):
+    from parchline.workloads import files as W
+
+    every = W.features(spark, "/root/testdata/sf0.001").repartition(4)
+    monkeypatch.setattr(W, "features", lambda *_: every)
+    monkeypatch.setattr(W, "scratch_path", lambda *_: str(tmp_path / "twice"))
+    names = [r["name"] for r in W.import_repeated_features(spark, "").collect()]
+    assert len(names) == every.count() and all(n.startswith("last ") for n in names)
+    assert len([p for p in (tmp_path / "twice").glob("part-*") if p.stat().st_size]) > 1
