@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive import derived_records, urn
+from .credentials import BASE_KINDS, find_secrets, learn_secrets
 from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
 from .jaccard import jaccard_links
 from .language import learn_languages, predict_languages
+from .manifest import feature_manifest
 from .nearest import nearest_features
 from .packing import pack_descriptions
 from .passages import repeated_passages
@@ -22,6 +25,7 @@ from .personal import find_personal, learn_personal
 from .records import DESCRIPTION, LANGUAGE
 from .suffixes import repeated_bytes
 from .tagger import KINDS
+from .whitening import whitened_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +53,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return as_features(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def listed(spans: F.Column) -> F.Column:
+    """Spans as ``kind:start:end``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def remainder() -> F.Column:
     return F.crc32(F.col("feature_id").cast("string")) % 4
 
@@ -225,3 +234,84 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token sequences of at most 2048 ids."""
     found = pack_descriptions(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
     return found.withColumnRenamed("feature_id", "doc_id").drop("dataset_key")
+
+
+@query("op11_secrets")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document; the counts and the digest are of the fixed patterns, ``spans`` has all."""
+    features = documents(spark, folder)
+    found = find_secrets(features, learn_secrets(features))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        F.col("feature_id").alias("doc_id"),
+        *[F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query(
+    "op12_manifest",
+    """
+    WITH RECURSIVE steps AS (
+      SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc),
+    d AS (
+      SELECT doc_id, source, lang, n_chars, text, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+        lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295) % 5 = 0 AS changed FROM documents, steps),
+    f AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d),
+    h AS (
+      SELECT doc_id, source, k.*, changed FROM f, LATERAL (
+        SELECT coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+          || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head) AS z,
+        LATERAL (SELECT sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+          sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS other) AS k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM h),
+    up AS (
+      SELECT source, 0 AS level, place AS node, leaf AS hash, size FROM r
+      UNION ALL
+      SELECT source, level + 1, node // 16, sha256(string_agg(hash, '' ORDER BY node)), (any_value(size) + 15) // 16 FROM up WHERE size > 1 GROUP BY source, level, node // 16),
+    subroots AS (
+      SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS number, count(*) OVER () AS size, level AS height FROM up WHERE size = 1),
+    over AS (
+      SELECT 0 AS level, number AS node, subroot AS hash, size FROM subroots
+      UNION ALL
+      SELECT level + 1, node // 16, sha256(string_agg(hash, '' ORDER BY node)), (any_value(size) + 15) // 16 FROM over WHERE size > 1 GROUP BY level, node // 16),
+    runs AS (SELECT source, level, node // 16 AS run, list(hash ORDER BY node) AS hashes FROM up WHERE size > 1 GROUP BY ALL),
+    tops AS (SELECT level, node // 16 AS run, list(hash ORDER BY node) AS hashes FROM over WHERE size > 1 GROUP BY ALL),
+    p AS (SELECT r.*, subroot, number, height, (SELECT hash FROM over WHERE size = 1) AS root FROM r JOIN subroots s ON r.source IS NOT DISTINCT FROM s.source),
+    ways AS (
+      SELECT p.source, p.place, g.level AS step, p.place // (16 ** g.level)::BIGINT % 16 AS digit, g.hashes FROM p JOIN runs g
+        ON g.source IS NOT DISTINCT FROM p.source AND g.run = p.place // (16 ** (g.level + 1))::BIGINT
+      UNION ALL
+      SELECT p.source, p.place, p.height + t.level, p.number // (16 ** t.level)::BIGINT % 16, t.hashes FROM p JOIN tops t ON t.run = p.number // (16 ** (t.level + 1))::BIGINT),
+    sides AS (
+      SELECT source, place, step, array_to_string(hashes[:digit::BIGINT], '') AS l, array_to_string(hashes[digit::BIGINT + 2:], '') AS r FROM ways),
+    proofs AS (SELECT source, place, sha256(string_agg(l || r, '' ORDER BY step)) AS proof, list({'l': l, 'r': r} ORDER BY step) AS path FROM sides GROUP BY ALL),
+    folds AS (
+      SELECT p.source, p.place, 1 AS step, CASE WHEN changed THEN other ELSE leaf END AS node, coalesce(path, []) AS path FROM p
+        LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.place = q.place
+      UNION ALL
+      SELECT source, place, step + 1, sha256(path[step].l || node || path[step].r), path FROM folds WHERE step <= len(path))
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, node AS folded_root, node = root AS verified
+    FROM p JOIN folds f ON p.source IS NOT DISTINCT FROM f.source AND p.place = f.place AND f.step = len(f.path) + 1
+      LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.place = q.place
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, layer root, root and proof of every document, and whether a copy with some texts lower-cased still verifies."""
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    entries = lambda text: F.create_map(F.lit(LANGUAGE), "lang", F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit(DESCRIPTION), text)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    features = rows.select(
+        F.col("source").alias("dataset_key"), F.col("doc_id").alias("feature_id"), entries(F.col("text")).alias("props"),
+        F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, entries(lowered)).alias("received"),
+    )
+    found = feature_manifest(features, F.col("received"), (LANGUAGE, "n_chars"))
+    return found.select(F.col("feature_id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector along the first 32 principal components, whitened."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("values"))
+    found = whitened_features(vectors)
+    return found.withColumnRenamed("feature_id", "vec_id").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
