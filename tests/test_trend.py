@@ -6,7 +6,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from parchline.operators.trend import average_ranks, pair_statistics, plain_trend, trend_statistics
+from parchline.operators import trend
+from parchline.operators.trend import Slopes, average_ranks, inversions, kendall_score, lagged, pair_statistics, plain_trend, trend_statistics
+from pyspark.sql import functions as F
 
 ONE = ("feature_id",)
 
@@ -85,6 +87,49 @@ def test_average_ranks():
     assert list(average_ranks(np.array([3.0, 1.0, 3.0, 2.0]))) == [3.5, 1.0, 3.5, 2.0]
 
 
-def test_series_finer_than_months_are_refused():
-    with pytest.raises(ValueError):
-        pair_statistics(np.arange(5000.0))
+KINDS = {
+    "noise": lambda rng, n: rng.normal(size=n), "ties": lambda rng, n: rng.integers(0, 3, n).astype(float), "steps": lambda rng, n: np.arange(n) * 0.1 + rng.integers(0, 2, n),
+    "walk": lambda rng, n: np.cumsum(rng.normal(size=n)), "flat": lambda rng, n: np.full(n, 2.5), "line": lambda rng, n: np.arange(n) / 3.0, "falling": lambda rng, n: -np.sort(rng.random(n)) ** 3,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+@pytest.mark.parametrize("n", [2, 3, 5, 61, 300, 900])
+def test_selected_slope_and_counted_pairs_match_all_pairs(monkeypatch, kind, n):
+    """With few pairs listed at once, the slope is found by counting."""
+    y = KINDS[kind](np.random.default_rng(n), n)
+    first, second = np.triu_indices(n, k=1)
+    rise = y[second] - y[first]
+    monkeypatch.setattr(trend, "LISTED_PAIRS", 50)
+    assert kendall_score(y, np.unique(y, return_counts=True)[1]) == np.sign(rise).sum()
+    np.testing.assert_allclose(Slopes(y).median(), np.median(rise / (second - first)), rtol=1e-12, atol=1e-12)
+
+
+def test_inversions_are_counted_and_listed():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 64, 100):
+        places = rng.permutation(n)
+        wanted = sorted((int(a), int(b)) for a, b in combinations(places, 2) if a > b)
+        count, larger, smaller = inversions(places, listed=True)
+        assert count == len(wanted) == inversions(places)[0]
+        assert sorted(zip(larger.tolist(), smaller.tolist(), strict=True)) == wanted
+
+
+def test_lagged_products_by_transform(monkeypatch):
+    centred = np.random.default_rng(3).normal(size=500)
+    direct = lagged(centred)
+    monkeypatch.setattr(trend, "DIRECT_LAGS", 10)
+    np.testing.assert_allclose(lagged(centred), direct, atol=1e-10)
+
+
+def test_a_series_of_200_000_values(spark):
+    """Two millennia of days: far more pairs than could be listed."""
+    n = 200_000
+    rows = spark.range(n, numPartitions=8).select(
+        F.lit("long").alias("feature_id"), F.date_add(F.lit("1500-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (F.col("id") * 0.001 + F.pmod(F.col("id") * 7919, F.lit(1000)) / 10.0).alias("value"),
+    )
+    found = trend_statistics(rows, ONE).collect()[0]
+    assert abs(found["sen_slope"] - 0.001) < 1e-6 and found["trend"] == "increasing"
+    plain = plain_trend(rows, ONE).collect()[0]
+    assert plain["tau"] == found["tau"] and plain["sen_slope"] == found["sen_slope"]
