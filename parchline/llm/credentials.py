@@ -48,7 +48,7 @@ MODELS = len(FORMS) + 2
 ALPHABETS = [frozenset(alphabet) for alphabet in FORMS.values()]
 
 LEAST_LENGTH = 20
-LEAST_SCORE = 20.0
+LEAST_SCORE = 16.0
 LEAST_MEAN = 0.5
 # A character's chance: after two others, after one, alone, and any. Fixed shares, so that no number of rows makes an unseen word look random.
 SHARES = (0.5, 0.2, 0.25, 0.05)
@@ -187,7 +187,7 @@ class SecretModels:
                     start -= 1
                 while end < high and text[end] in ALPHABETS[form]:
                     end += 1
-                if good and end - start >= least_length:
+                if good and end - start >= least_length and not text[start:end].isdigit():
                     parts.append((start, end, score))
         out: list[tuple[int, int, float]] = []
         for start, end, score in sorted(parts, key=lambda p: (p[0], -p[2], p[1])):
@@ -289,7 +289,7 @@ def find_secrets(
     ``spans`` lists kind, start, end (code points, end exclusive), whether a fixed pattern found it, and the log-likelihood ratio of a random
     string to an ordinary identifier, by start and then kind (assign, access, hex, random). Base spans always stay, whatever their score.
     Of other runs of letters, digits and ``+/_.=-``, the parts of at least ``least_length`` characters are added whose ratio is at least ``least_score`` in
-    all and ``least_mean`` per character. A run that is one hyphenated identifier of 32 hex digits is ordinary.
+    all and ``least_mean`` per character. A run that is one hyphenated identifier of 32 hex digits is ordinary, and so is a part of digits alone.
     Null and empty descriptions have no spans; repeated rows are answered each; an empty table gives no rows; other columns, whatever their
     names, are ignored. Work and memory grow with the length of a text, not with its square.
     """
