@@ -7,24 +7,31 @@ narrow steps serve any number of series.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
+import numpy as np
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .inputs import BASE_INPUTS, HORIZON, INPUT_WINDOW, SERIES, scaling, sequence_rows, supervised_rows
+from .stages import Climatology, MonthInputs, Unscaled, WindowInputs, climatology_text, inputs_of, lag_of, month_value, read_pipeline
 
 SEED = 42
 # Expressions of one lead are nested in those of the next, so plans grow fast.
 CHECKPOINT_EVERY = 2
-# calendar month -> column -> mean; at most twelve entries per helper.
-Climatology = Mapping[int, Mapping[str, float]]
+
+
+def _refuse(settings: object, **bounds: tuple[float, float]) -> None:
+    """Settings are used as they are given or not at all."""
+    for name, (least, most) in bounds.items():
+        value = getattr(settings, name)
+        if not least <= value <= most:
+            raise ValueError(f"{name} of {type(settings).__name__} must lie between {least} and {most}, not {value}")
 
 
 @dataclass(frozen=True)
@@ -33,6 +40,9 @@ class ForestSettings:
     depth: int = 10
     leaf: int = 2
 
+    def __post_init__(self) -> None:
+        _refuse(self, trees=(1, 1_000_000), depth=(0, 30), leaf=(1, 1_000_000))
+
 
 @dataclass(frozen=True)
 class BoostSettings:
@@ -42,38 +52,27 @@ class BoostSettings:
     row_share: float = 0.9
     column_share: float = 0.9
 
+    def __post_init__(self) -> None:
+        _refuse(self, trees=(1, 1_000_000), depth=(0, 30), rate=(1e-6, 1.0), row_share=(1e-6, 1.0), column_share=(1e-6, 1.0))
+
+
+# Columns of training rows and of what a model answers.
+COLUMNS = {"labelCol": "y", "featuresCol": "inputs", "predictionCol": "predicted", "seed": SEED}
+
 
 def random_forest(settings: ForestSettings) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        numTrees=max(50, settings.trees),
-        maxDepth=settings.depth,
-        minInstancesPerNode=max(1, settings.leaf),
-        featureSubsetStrategy="all",
-        seed=SEED,
-        labelCol="y",
-        featuresCol="inputs",
-        predictionCol="predicted",
-    )
+    """A forest whose trees see all columns at every split."""
+    return RandomForestRegressor(numTrees=settings.trees, maxDepth=settings.depth, minInstancesPerNode=settings.leaf, featureSubsetStrategy="all", **COLUMNS)
 
 
 def boosted_trees(settings: BoostSettings) -> GBTRegressor:
+    """Boosted trees on a share of the rows and of the columns; a whole share is all of them."""
+    columns = "all" if settings.column_share == 1 else repr(float(settings.column_share))
     return GBTRegressor(
-        maxIter=max(50, settings.trees),
-        maxDepth=max(2, settings.depth),
-        stepSize=max(0.01, settings.rate),
-        subsamplingRate=min(max(settings.row_share, 0.4), 1.0),
-        featureSubsetStrategy=str(min(max(settings.column_share, 0.4), 0.99)),
-        seed=SEED,
-        labelCol="y",
-        featuresCol="inputs",
-        predictionCol="predicted",
+        maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.rate, subsamplingRate=settings.row_share, featureSubsetStrategy=columns, **COLUMNS
     )
 
 
-def inputs_of(columns: Sequence[str]) -> list[str]:
-    return [c for c in columns if c != "y"]
-
-
 def _vector(values: Sequence[Column]) -> Column:
     return array_to_vector(F.array(*[v.cast("double") for v in values]))
 
@@ -83,26 +82,6 @@ def collected_climatology(table: DataFrame, columns: Sequence[str]) -> Climatolo
     return {r["calendar_month"]: {c: float(r[c]) for c in columns} for r in table.select("calendar_month", *columns).collect()}
 
 
-def _next_inputs(columns: Sequence[str], month: Column, climatology: Climatology, recent: Column) -> dict[str, Column]:
-    """Inputs of a future month from the values known so far."""
-    known = F.size(recent)
-    out: dict[str, Column] = {}
-    for c in inputs_of(columns):
-        if c == "month_sin":
-            out[c] = F.sin(F.month(month) * (2.0 * math.pi) / 12.0)
-        elif c == "month_cos":
-            out[c] = F.cos(F.month(month) * (2.0 * math.pi) / 12.0)
-        elif c.startswith("y_lag_"):
-            lag = int(c.rsplit("_", 1)[1])
-            out[c] = F.get(recent, F.when(known >= lag, known - lag).otherwise(known - 1))
-        else:
-            value = F.lit(0.0)
-            for m, means in climatology.items():
-                value = F.when(F.month(month) == m, F.lit(float(means.get(c, 0.0)))).otherwise(value)
-            out[c] = value
-    return out
-
-
 @dataclass
 class TreeForecaster:
     """A tree model on the inputs of the month to forecast."""
@@ -125,10 +104,21 @@ class TreeForecaster:
             self.model = self.estimator.fit(rows)
         return count
 
+    def inputs(self) -> MonthInputs:
+        return MonthInputs(columns=inputs_of(self.columns), climatology=climatology_text(self.climatology))
+
+    def pipeline(self) -> PipelineModel:
+        """What is stored: inputs of a month, and the trees."""
+        return PipelineModel([self.inputs(), self.model])
+
+    @staticmethod
+    def of(pipeline: PipelineModel) -> TreeForecaster:
+        first, model = pipeline.stages
+        method = "random_forest" if isinstance(model, RandomForestRegressionModel) else "boosted_trees"
+        return TreeForecaster(method, None, ["y", *first.getOrDefault("columns")], first.known(), model)
+
     def predict(self, state: DataFrame, month: Column) -> DataFrame:
-        values = _next_inputs(self.columns, month, self.climatology, F.col("recent"))
-        ready = state.withColumn("inputs", _vector([values[c] for c in inputs_of(self.columns)]))
-        return self.model.transform(ready).drop("inputs")
+        return self.model.transform(self.inputs().transform(state.withColumn("month", month))).drop("inputs", "month")
 
 
 @dataclass
@@ -145,13 +135,15 @@ class WindowForecaster:
     deviations: list[float] = field(default_factory=list)
 
     def fit(self, frame: DataFrame, cutoff: object | None = None, window: int = INPUT_WINDOW) -> int:
+        if list(self.columns[:1]) != ["y"]:
+            raise ValueError("the first column of a window is y")
         # Scaling uses the training rows only, so a backtest stays clean.
         past = frame if cutoff is None else frame.where(F.col("date") <= F.lit(cutoff).cast("date"))
         stats = scaling(past, self.columns, []).first()
         self.means = [float(stats[f"mean_{c}"]) for c in self.columns]
         self.deviations = [float(stats[f"std_{c}"]) for c in self.columns]
         rows = sequence_rows(frame, self.columns, window, cutoff).select(
-            ((F.col("y") - self.means[0]) / self.deviations[0]).alias("y"), array_to_vector(self._flat(F.col("window"))).alias("inputs")
+            ((F.col("y") - self.means[0]) / self.deviations[0]).alias("y"), array_to_vector(self.inputs().flat()).alias("inputs")
         )
         ensure_checkpoint_dir(frame.sparkSession)
         rows = rows.checkpoint()
@@ -162,45 +154,74 @@ class WindowForecaster:
             ).fit(rows)
         return count
 
-    def _flat(self, window: Column) -> Column:
-        centre = F.array(*[F.lit(m) for m in self.means])
-        spread = F.array(*[F.lit(d) for d in self.deviations])
-        scaled = F.transform(
-            window,
-            lambda row: F.zip_with(F.zip_with(row, centre, lambda a, b: a - b), spread, lambda a, b: a / b),
-        )
-        return F.flatten(scaled)
+    def inputs(self) -> WindowInputs:
+        return WindowInputs(columns=list(self.columns), climatology=climatology_text(self.climatology), means=self.means, deviations=self.deviations)
 
-    def path(self, horizon: int) -> Column:
-        """Forecasts of all leads from ``recent``, ``window`` and ``origin``, folded in one expression.
+    def pipeline(self) -> PipelineModel:
+        """What is stored: standardized window, line, and the way back to the index's scale."""
+        return PipelineModel([self.inputs(), self.model, Unscaled(mean=self.means[0], deviation=self.deviations[0])])
 
-        The model is a line, so its coefficients are literals and a lead costs no job.
+    @staticmethod
+    def of(pipeline: PipelineModel) -> WindowForecaster:
+        first, model, _ = pipeline.stages
+        means, deviations = (list(first.getOrDefault(p)) for p in ("means", "deviations"))
+        return WindowForecaster(columns=list(first.getOrDefault("columns")), climatology=first.known(), model=model, means=means, deviations=deviations)
+
+    def leads(self, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (lead, entry of the flat window) and constants (lead, calendar month of the origin) of all leads.
+
+        The model is a line and every input of a later month is a number, an entry of the window or an earlier forecast. So each
+        lead is again a line over the window at the origin: the one-step line, composed with itself once per lead.
         """
-        weights = F.array(*[F.lit(float(c)) for c in self.model.coefficients])
-        intercept = F.lit(float(self.model.intercept))
-
-        def step(state: Column, lead: Column) -> Column:
-            month = F.add_months("origin", lead)
-            products = F.zip_with(self._flat(state["window"]), weights, lambda a, b: a * b)
-            score = F.aggregate(products, intercept, lambda total, v: total + v)
-
-            def ahead(predicted: Column) -> Column:
-                values = {"y": predicted, **_next_inputs(self.columns, month, self.climatology, state["recent"])}
-                row = F.array(*[values[c].cast("double") for c in self.columns])
-                return F.struct(
-                    _longer(state["recent"], predicted).alias("recent"),
-                    F.slice(F.concat(state["window"], F.array(row)), F.lit(2), F.size(state["window"])).alias("window"),
-                    F.concat(state["path"], F.array(predicted)).alias("path"),
-                )
-
-            # One array element binds the forecast, so that it is computed once.
-            return F.transform(F.array(score * self.deviations[0] + self.means[0]), ahead)[0]
-
-        start = F.struct(
-            F.col("recent").cast("array<double>").alias("recent"), F.col("window").cast("array<array<double>>").alias("window"),
-            F.array().cast("array<double>").alias("path"),
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step)["path"]
+        width = len(self.columns)
+        steps = len(self.model.coefficients) // width
+        spread, centre = np.array(self.deviations), np.array(self.means)
+        line = np.array(self.model.coefficients).reshape(steps, width)
+        constant = centre[0] + spread[0] * (float(self.model.intercept) - float((line * (centre / spread)).sum()))
+        line = line * (spread[0] / spread)
+        size = steps * width
+        # Each entry of a row as a line over the window, with a constant for each calendar month of the origin.
+        rows = np.zeros((steps + horizon, width, size + 12))
+        rows[:steps].reshape(size, size + 12)[:, :size] = np.eye(size)
+        out = np.zeros((horizon, size + 12))
+        for lead in range(1, horizon + 1):
+            known = steps + lead - 1
+            out[lead - 1] = np.tensordot(line, rows[lead - 1 : known], axes=2)
+            out[lead - 1, size:] += constant
+            for place, column in enumerate(self.columns):
+                lag = lag_of(column)
+                if column == "y":
+                    rows[known, place] = out[lead - 1]
+                elif lag is not None:
+                    # A lag from before the first row is the row before, as it is for a single step.
+                    rows[known, place] = rows[known - lag if known >= lag else known - 1, 0]
+                else:
+                    rows[known, place, size:] = [month_value(column, (month + lead - 1) % 12 + 1, self.climatology) for month in range(1, 13)]
+        return out[:, :size], out[:, size:]
+
+    def path(self, horizon: int) -> Column:
+        """Forecasts of all leads from ``window`` and ``origin``, one dot product a lead; null where the window is not full."""
+        weights, constants = self.leads(horizon)
+        lines = F.array(*[
+            F.struct(F.array(*[F.lit(v) for v in row]).alias("weights"), F.array(*[F.lit(v) for v in months]).alias("constants"))
+            for row, months in zip(weights.tolist(), constants.tolist(), strict=True)
+        ])
+        month = F.month("origin") - 1
+
+        def ahead(flat: Column) -> Column:
+            return F.transform(
+                lines, lambda line: F.aggregate(F.zip_with(flat, line["weights"], lambda a, b: a * b), F.get(line["constants"], month), lambda total, v: total + v)
+            )
+
+        # One array element binds the flat window, so that it is made once.
+        flat = F.flatten(F.col("window").cast("array<array<double>>"))
+        full = F.size("window") == weights.shape[1] // len(self.columns)
+        return F.when(full, F.transform(F.array(flat), ahead)[0]).otherwise(F.array_repeat(F.lit(None).cast("double"), horizon))
+
+
+def load_forecaster(path: str) -> TreeForecaster | WindowForecaster:
+    """A forecaster from a stored version, with its scaling, columns and climatology."""
+    return read_pipeline(path, {MonthInputs: TreeForecaster.of, WindowInputs: WindowForecaster.of})
 
 
 def _longer(recent: Column, value: Column) -> Column:
@@ -214,7 +235,7 @@ def recursive_forecast(
 ) -> DataFrame:
     """(series, origin, lead_month, target_date, predicted), feeding forecasts back as lags.
 
-    A linear model is folded in one expression. A tree model takes one step a lead; its state is checkpointed every few
+    A linear model has a line per lead. A tree model takes one step a lead; its state is checkpointed every few
     leads, so neither the plan nor the cost of losing an executor grows with the horizon.
     """
     if isinstance(forecaster, WindowForecaster):

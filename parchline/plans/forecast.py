@@ -37,6 +37,7 @@ class ForecastRun:
     forecasts: DataFrame
     issue_dates: DataFrame
     training_rows: int
+    final_rows: int
 
 
 @dataclass
@@ -85,7 +86,7 @@ def run_forecast(
     pairs = matched(tested, frame).checkpoint()
 
     final = make()
-    final.fit(frame, None, window)
+    final_rows = final.fit(frame, None, window)
     issue = frame.groupBy("dataset_key").agg(F.max("date").alias("issue_date"))
     ahead = recursive_forecast(final, final_origins(past), horizon).withColumnRenamed("predicted", "value")
     method_columns = [F.lit(index_name).alias("index_name"), F.lit(final.method).alias("method_name")]
@@ -99,7 +100,7 @@ def run_forecast(
     )
     key = model_key(source_key, index_name, final.method)
     return ForecastRun(
-        final.method, key, final, pairs, evaluation, forecast_metrics(pairs, []), forecasts, issue, rows
+        final.method, key, final, pairs, evaluation, forecast_metrics(pairs, []), forecasts, issue, rows, final_rows
     )
 
 
@@ -119,13 +120,14 @@ def store_run(
         store.upsert("feedback", learned, FEEDBACK_KEY, partitions, "actual_value")
     artifact = store.path(f"artifacts/{run.model_key}")
     versioned = store.path(f"artifacts/{version}")
-    run.final.model.write().overwrite().save(versioned)
-    run.final.model.write().overwrite().save(artifact)
+    stored = run.final.pipeline()
+    stored.write().overwrite().save(versioned)
+    stored.write().overwrite().save(artifact)
     store.replace("forecasts", run.forecasts, partitions)
-    # A layer without backtest pairs now must not keep an old evaluation.
-    for layer in run.issue_dates.select("dataset_key").distinct().collect():
-        store.clear("evaluation", {"dataset_key": layer["dataset_key"], "index_name": index_name, "method_name": run.method})
     store.replace("evaluation", run.evaluation, partitions)
+    # A layer without backtest pairs now must not keep an old evaluation. What the run did write stays in place all along.
+    for layer in run.issue_dates.select("dataset_key").distinct().join(run.evaluation.select("dataset_key"), "dataset_key", "left_anti").collect():
+        store.clear("evaluation", {"dataset_key": layer["dataset_key"], "index_name": index_name, "method_name": run.method})
     spans = store.read("forecasts").where(
         (F.col("index_name") == index_name) & (F.col("method_name") == run.method)
     ).groupBy(*partitions).agg(

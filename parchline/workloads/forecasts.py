@@ -345,7 +345,7 @@ def forecast_store(spark, folder):
     return rounded(out, "value")
 
 
-# -- trained models (rows only; MLlib's trees have no SQL form) -------------------------
+# -- trained models: SQL states the rows and what must hold of their numbers ------------
 
 
 def _source_frame(spark, folder, helpers: bool = False):
@@ -357,43 +357,95 @@ def _source_frame(spark, folder, helpers: bool = False):
     return I.with_helpers(frame, predictors, ["orders"]), [*I.BASE_INPUTS, "orders"], means
 
 
-def _flat(run, spark):
+def _window_model(columns, means):
+    return lambda: M.WindowForecaster(columns=columns, climatology=means)
+
+
+def _judged(run, frame):
+    """Forecast rows and whether their numbers are sound, or the status of a run that had too few rows."""
     if isinstance(run, TooFewRows):
-        return spark.createDataFrame([], "dataset_key string, feature_id string, method_name string, target_date date, lead_month int, value double, lower double, upper double, intervals int")
-    return run.forecasts.select("dataset_key", "feature_id", "method_name", "target_date", "lead_month", "value", "lower", "upper", F.size("intervals").alias("intervals"))
+        nothing = {c: F.lit(None).cast(t) for c, t in (("feature_id", "string"), ("target_date", "date"), ("lead_month", "int"), ("intervals", "int"), ("ordered", "boolean"), ("within", "boolean"))}
+        return run.status().select("dataset_key", "method_name", "status", *[v.alias(c) for c, v in nothing.items()])
+    seen = frame.agg(F.min("y").alias("least"), F.max("y").alias("most"))
+    nested = F.forall(F.map_values("intervals"), lambda i: (i["lower"] <= F.col("value")) & (F.col("value") <= i["upper"]))
+    return run.forecasts.join(F.broadcast(seen)).select(
+        "dataset_key", "method_name", F.lit("ready").alias("status"), "feature_id", "target_date", "lead_month", F.size("intervals").alias("intervals"),
+        (nested & (F.col("lower") <= F.col("value")) & (F.col("value") <= F.col("upper"))).alias("ordered"),
+        F.when(F.col("method_name") == "random_forest", F.col("value").between(F.col("least"), F.col("most"))).otherwise(F.col("value").isNotNull()).alias("within"),
+    )
 
 
-@query("forecast_random_forest")
+def _forecast_sql(method: str) -> str:
+    return f"""
+    WITH last AS (SELECT dataset_key, feature_id, max(date) AS origin, unnest(range(1, 13)) AS k FROM targets GROUP BY 1, 2)
+    SELECT dataset_key, '{method}' AS method_name, 'ready' AS status, feature_id, CAST(origin + to_months(CAST(k AS INTEGER)) AS DATE) AS target_date, CAST(k AS INTEGER) AS lead_month,
+           3 AS intervals, true AS ordered, true AS within FROM last"""
+
+
+@query("forecast_random_forest", views="targets", sql=_forecast_sql("random_forest"))
 def forecast_random_forest(spark, folder):
+    """Every series twelve months ahead; a forest's answers lie among the values it has seen."""
     frame, columns, means = _source_frame(spark, folder, helpers=True)
 
     def make():
         return M.TreeForecaster("random_forest", M.random_forest(M.ForestSettings()), columns, means)
 
-    return _flat(run_forecast(frame, make, "shipments", "spi3"), spark)
+    return _judged(run_forecast(frame, make, "shipments", "spi3"), frame)
 
 
-@query("forecast_boosted_trees")
+@query("forecast_boosted_trees", views="targets", sql=_forecast_sql("boosted_trees"))
 def forecast_boosted_trees(spark, folder):
     frame, columns, means = _source_frame(spark, folder)
 
     def make():
         return M.TreeForecaster("boosted_trees", M.boosted_trees(M.BoostSettings()), columns, means)
 
-    return _flat(run_forecast(frame, make, "shipments", "spi3"), spark)
+    return _judged(run_forecast(frame, make, "shipments", "spi3"), frame)
 
 
-@query("forecast_window_regression")
+@query("forecast_window_regression", views="targets", sql=_forecast_sql("window_regression"))
 def forecast_window_regression(spark, folder):
-    """Train, backtest, store, and read the stored forecasts back."""
+    """Train, backtest and forecast."""
     frame, columns, means = _source_frame(spark, folder)
-    run = run_forecast(frame, lambda: M.WindowForecaster(columns=columns, climatology=means), "shipments", "spi3")
-    if isinstance(run, TooFewRows):
-        return _flat(run, spark)
+    return _judged(run_forecast(frame, _window_model(columns, means), "shipments", "spi3"), frame)
+
+
+@query("forecast_backtest", views="targets", sql="""
+    WITH r AS (SELECT *, row_number() OVER w AS place, max(date) OVER (PARTITION BY dataset_key, feature_id) AS last, max(date) OVER () AS newest FROM targets
+               WINDOW w AS (PARTITION BY dataset_key, feature_id ORDER BY date)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY dataset_key, feature_id ORDER BY date) - 1 AS n FROM r
+          WHERE date >= newest - INTERVAL 36 MONTH AND date <= last - INTERVAL 12 MONTH),
+    p AS (SELECT o.dataset_key, k::INTEGER AS lead_month FROM (SELECT *, unnest(range(1, 13)) AS k FROM o WHERE n % 3 = 0 AND place >= 18) o
+          JOIN targets t ON t.dataset_key = o.dataset_key AND t.feature_id = o.feature_id AND t.date = o.date + to_months(k::INTEGER)),
+    c AS (SELECT count(*) FILTER (WHERE date <= newest - INTERVAL 36 MONTH) AS training_rows, count(*) AS final_rows FROM r WHERE place > 18)
+    SELECT dataset_key, lead_month, count(*) AS sample_count, true AS sound, training_rows, final_rows FROM p, c GROUP BY ALL""")
+def forecast_backtest(spark, folder):
+    """Pairs behind each layer's errors at each lead, and rows of the judged and of the final fit."""
+    frame, columns, means = _source_frame(spark, folder)
+    run = run_forecast(frame, _window_model(columns, means), "shipments", "spi3")
+    mae, rmse, bias = F.col("mae"), F.col("rmse"), F.col("bias")
+    sound = (mae >= 0) & (rmse >= mae - 1e-12) & (F.abs(bias) <= mae + 1e-12) & F.col("drought_class_accuracy").between(0.0, 1.0)
+    return run.evaluation.select(
+        "dataset_key", "lead_month", F.col("sample_count").cast("bigint").alias("sample_count"), sound.alias("sound"), F.lit(run.training_rows).cast("bigint").alias("training_rows"),
+        F.lit(run.final_rows).cast("bigint").alias("final_rows"),
+    )
+
+
+@query("stored_model_forecasts", views="targets", sql="""
+    WITH last AS (SELECT dataset_key, feature_id, max(date) AS origin, unnest(range(1, 13)) AS k FROM targets GROUP BY 1, 2)
+    SELECT dataset_key, feature_id, CAST(origin + to_months(CAST(k AS INTEGER)) AS DATE) AS target_date, CAST(k AS INTEGER) AS lead_month, true AS same FROM last""")
+def stored_model_forecasts(spark, folder):
+    """A run is stored, its version read back without the job that trained it, and forecast with: the rows are those that were stored."""
+    frame, columns, means = _source_frame(spark, folder, helpers=True)
+    run = run_forecast(frame, _window_model(columns, means), "shipments", "spi3")
     store = TableStore(spark, scratch_path(spark, "runs"))
-    store_run(store, run, "shipments", "spi3", actuals(spark, folder), dt.datetime(2024, 1, 1))
-    rows = store.read("forecasts")
-    return rows.select("dataset_key", "feature_id", "method_name", "target_date", "lead_month", "value", "lower", "upper", F.size("intervals").alias("intervals"))
+    version = store_run(store, run, "shipments", "spi3", actuals(spark, folder), dt.datetime(2024, 1, 1))
+    path = store.read("model_versions").where(F.col("version_key") == version).first()["artifact_path"]
+    model = M.load_forecaster(path)
+    again = M.recursive_forecast(model, I.final_origins(I.histories(frame, model.columns))).select(*KEYS, "target_date", "lead_month", "predicted")
+    stored = store.read("forecasts").select(*KEYS, "target_date", "lead_month", "value")
+    both = stored.join(again, [*KEYS, "target_date", "lead_month"], "full")
+    return both.select(*KEYS, "target_date", "lead_month", F.coalesce(F.abs(F.col("value") - F.col("predicted")) <= 1e-9, F.lit(False)).alias("same"))
 
 
 @query("forecast_linear_one_lag", views="targets", sql=f"""

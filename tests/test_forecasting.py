@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parchline.forecasting import evaluation as E, inputs as I, models as M
 from parchline.plans.catalog import Catalog
@@ -162,3 +163,62 @@ def test_registered_tree_queries_train_the_defaults(spark, monkeypatch, name, tr
         getattr(W, name)(spark, "/root/testdata/sf0.001")
     regressor, default = made.value.args[0].estimator, getattr(M, settings)()
     assert (regressor.getOrDefault(trees), regressor.getMaxDepth()) == (default.trees, default.depth)
+
+
+def test_settings_are_used_or_refused():
+    assert M.random_forest(M.ForestSettings(trees=20, leaf=1)).getNumTrees() == 20
+    boosted = M.boosted_trees(M.BoostSettings(trees=5, depth=1, rate=0.001, column_share=1.0))
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize(), boosted.getFeatureSubsetStrategy()) == (5, 1, 0.001, "all")
+    for make in (lambda: M.ForestSettings(trees=0), lambda: M.BoostSettings(row_share=0.0), lambda: M.BoostSettings(column_share=1.5), lambda: M.BoostSettings(rate=-1.0)):
+        with pytest.raises(ValueError):
+            make()
+
+
+def monthly(spark, series, months=60):
+    rows = [("d", s, dt.date(2000 + i // 12, i % 12 + 1, 1), float(v)) for s in series for i, v in enumerate(np.random.default_rng(ord(s)).normal(size=months) + np.sin(np.arange(months)))]
+    return I.with_lags(spark.createDataFrame(rows, "dataset_key string, feature_id string, date date, y double"))
+
+
+HELPED = [*I.BASE_INPUTS, "rain"]
+RAIN = {m: {"rain": m / 10} for m in range(1, 12)}
+
+
+def test_lines_of_all_leads_match_single_steps(spark):
+    """The stored pipeline forecasts one month at a time; a loop over it gives what the composed lines give at once."""
+    frame = monthly(spark, "ab").withColumn("rain", F.month("date") / 10)
+    model = M.WindowForecaster(columns=HELPED, climatology=RAIN)
+    model.fit(frame, None, 4)
+    origins = I.final_origins(I.histories(frame, HELPED, 4))
+    found = {(r.feature_id, r.lead_month): r.predicted for r in M.recursive_forecast(model, origins, 9).collect()}
+    for row in origins.collect():
+        window, recent = [list(w) for w in row.window], list(row.recent)
+        for lead in range(1, 10):
+            one = spark.createDataFrame([(window,)], "window array<array<double>>")
+            value = model.pipeline().transform(one).first()["predicted"]
+            assert math.isclose(found[row.feature_id, lead], value, rel_tol=1e-9, abs_tol=1e-9)
+            month = (row.origin.month + lead - 1) % 12 + 1
+            lags = [recent[-k] if len(recent) >= k else recent[-1] for k in I.LAGS]
+            window = [*window[1:], [value, *lags, math.sin(2 * math.pi * month / 12), math.cos(2 * math.pi * month / 12), RAIN.get(month, {}).get("rain", 0.0)]]
+            recent.append(value)
+    short = origins.withColumn("window", F.slice("window", 1, 3))
+    assert all(r.predicted is None for r in M.recursive_forecast(model, short, 3).collect())
+
+
+def test_stored_models_forecast_alike(spark, tmp_path):
+    frame = monthly(spark, "ab").withColumn("rain", F.month("date") / 10)
+    origins = I.final_origins(I.histories(frame, HELPED))
+    casters = [
+        M.TreeForecaster("random_forest", M.random_forest(M.ForestSettings(trees=3, depth=3)), HELPED, RAIN),
+        M.TreeForecaster("boosted_trees", M.boosted_trees(M.BoostSettings(trees=3, depth=2, column_share=1.0)), HELPED, RAIN),
+        M.WindowForecaster(columns=HELPED, climatology=RAIN),
+    ]
+    for caster in casters:
+        caster.fit(frame)
+        path = str(tmp_path / caster.method)
+        caster.pipeline().write().save(path)
+        again = M.load_forecaster(path)
+        assert (again.method, list(again.columns), again.climatology) == (caster.method, HELPED, RAIN)
+        rows = [sorted(tuple(r) for r in M.recursive_forecast(c, origins, 4).collect()) for c in (caster, again)]
+        assert rows[0] == rows[1] and len(rows[0]) == 8
+    with pytest.raises(ValueError):
+        M.WindowForecaster(columns=["month_sin"]).fit(frame)
