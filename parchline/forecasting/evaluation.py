@@ -181,6 +181,12 @@ def chosen_bounds(rows: DataFrame, interval: str | None = None) -> DataFrame:
     return out.withColumn("band_width", F.greatest(F.lit(0.0), F.col("bound_upper") - F.col("bound_lower")))
 
 
+def errors() -> list[Column]:
+    """Error, its size and its square, of ``predicted_value`` against ``actual_value``."""
+    error = F.col("predicted_value") - F.col("actual_value")
+    return [error.alias("error"), F.abs(error).alias("absolute_error"), (error * error).alias("squared_error")]
+
+
 def realized_feedback(forecasts: DataFrame, dataset_models: DataFrame, actuals: DataFrame) -> DataFrame:
     """Errors of forecasts whose month has been observed since.
 
@@ -191,7 +197,6 @@ def realized_feedback(forecasts: DataFrame, dataset_models: DataFrame, actuals:
         "dataset_key", "index_name", "feature_id", F.col("date").alias("target_date"), F.col("value").alias("actual_value")
     )
     due = forecasts.where(F.col("value").isNotNull()).withColumnRenamed("value", "predicted_value")
-    error = F.col("predicted_value") - F.col("actual_value")
     return (
         due.join(seen, ["dataset_key", "index_name", "feature_id", "target_date"])
         .join(dataset_models.select(*method, "model_key"), list(method), "left")
@@ -204,9 +209,7 @@ def realized_feedback(forecasts: DataFrame, dataset_models: DataFrame, actuals:
             "lead_month",
             "predicted_value",
             "actual_value",
-            error.alias("error"),
-            F.abs(error).alias("absolute_error"),
-            (error * error).alias("squared_error"),
+            *errors(),
         )
     )
 

@@ -68,13 +68,35 @@ def loose_index(columns: Iterable[str], index_name: str) -> str | None:
     return {bare(n): n for n in names}.get(bare(index_name or ""))
 
 
-def forecast_indices(explicit: Iterable[str] | None, scales: Iterable[int] | None, available: Iterable[str]) -> list[str]:
-    """Indices to forecast: the requested ones, else all of a drought family."""
-    wanted = [i.strip().lower() for i in explicit or [] if i and i.strip()]
-    wanted += [f"spi{max(1, int(s))}" for s in scales or []]
-    if wanted:
-        return list(dict.fromkeys(wanted))
-    return [i for i in available if i.startswith(FORECAST_FAMILIES)]
+def loose_name(column: Column) -> Column:
+    """A name as ``loose_index`` compares it."""
+    return F.translate(F.lower(F.trim(column)), "-_", "")
+
+
+def resolved_index(column: Column, known: Iterable[str]) -> Column:
+    """The known index each requested name means, exact matches first, else null."""
+    names = list(known)
+    exact = F.lower(F.trim(column))
+    loose = F
+    for name in reversed(names):
+        loose = loose.when(loose_name(column) == name.strip().lower().replace("-", "").replace("_", ""), F.lit(name))
+    return F.when(exact.isin(*names), exact).otherwise(loose)
+
+
+def requested_indices(catalog: Iterable[str], names: Iterable[str] = (), scales: object = None) -> list[str]:
+    """The index columns that a forecast run takes.
+
+    ``names`` and the indices of ``scales`` (whole months from one on) are taken in the order asked for, once each; a run that asks for neither
+    takes every column of ``catalog`` that belongs to a drought family.
+    """
+    asked = dict.fromkeys(name.strip().lower() for name in names if name.strip())
+    if scales is not None:
+        asked.update(dict.fromkeys(named_at("spi" + SCALE_PLACE, months) for months in checked_scales(scales)))
+    return list(asked) or [column for column in catalog if drought_family(column)]
+
+
+def drought_family(column: str) -> bool:
+    return any(column.startswith(family) for family in FORECAST_FAMILIES)
 
 
 def index_family(name: Column) -> Column:

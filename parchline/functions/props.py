@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import finite
 from .text import repair_text
 
 # Attribute names in order of preference, and names that the map payload uses itself.
@@ -19,6 +20,10 @@ RESERVED_KEYS = (
 )
 
 
+QUOTED_OR_BARE = r'"(?:[^"\\]|\\.)*+"|[^"]+|"'
+NOT_A_NUMBER = r"-?\b(?:NaN|Infinity)\b"
+
+
 def attribute(props: Column, key: str) -> Column:
     """One attribute, with empty text read as absent."""
     return F.nullif(F.try_element_at(props, F.lit(key)), F.lit(""))
@@ -70,3 +75,20 @@ def province(props: Column) -> Column:
 
 def country(props: Column) -> Column:
     return F.coalesce(attribute(props, "Country"), attribute(props, "country"))
+
+
+def typed_attributes(text: Column) -> Column:
+    """Nested attributes as a variant; numbers that JSON does not have (NaN, infinities) become null, wherever they stand.
+
+    Texts in quotes are left as they are. What is no JSON is null.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(QUOTED_OR_BARE), F.lit(0))
+    bare = lambda piece: F.regexp_replace(piece, NOT_A_NUMBER, "null")
+    cleaned = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith('"'), p).otherwise(bare(p))), "")
+    return F.try_parse_json(F.when(text.rlike("NaN|Infinity"), cleaned).otherwise(text))
+
+
+def typed_attribute(attributes: Column, path: str, kind: str) -> Column:
+    """One value of a variant by its path (``$.a.b[0]``) as a type; null if it is absent or of another kind."""
+    value = F.try_variant_get(attributes, path, kind)
+    return finite(value) if kind in ("double", "float") else value

@@ -279,28 +279,30 @@ def monthly_anomaly(spark, folder):
 
 
 def _variables(spark, folder):
-    """Three monthly variables, each lacking some months: quantity, discount and tax ranges."""
-    rows = table(spark, folder, "lineitem").withColumn("date", F.trunc(F.to_date("l_shipdate"), "MM"))
+    """Three monthly variables of quantity, discount and tax, each without a value in some months of the whole range."""
+    monthly = table(spark, folder, "lineitem").groupBy(F.trunc(F.to_date("l_shipdate"), "MM").alias("date"))
+    place = F.year("date") * 12 + F.month("date")
 
-    def variable(column, low, high):
-        return rows.where(F.col("date").between(F.lit(low).cast("date"), F.lit(high).cast("date"))).groupBy("date").agg((F.sum(column) / F.count("*")).alias("value"))
+    def variable(column, every, gap):
+        mean = monthly.agg((F.sum(column) / F.count("*")).alias("value"))
+        return mean.withColumn("value", F.when(place % every != gap, F.col("value")))
 
     return {
-        "precip": variable(F.col("l_quantity"), FIRST_MONTH, "2000-06-01"),
-        "tmin": variable(F.round(F.col("l_discount") * 100).cast("bigint"), "1996-01-01", "2001-11-01"),
-        "tmax": variable(F.round(F.col("l_tax") * 100).cast("bigint") + 10, "1995-06-01", "2001-03-01"),
+        "precip": variable(F.col("l_quantity"), 5, 0),
+        "tmin": variable(F.round(F.col("l_discount") * 100).cast("bigint"), 7, 2),
+        "tmax": variable(F.round(F.col("l_tax") * 100).cast("bigint") + 10, 4, 1),
     }
 
 
 VARIABLES = """
     m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_quantity) / count(*) AS precip,
                  sum(round(l_discount * 100)) / count(*) AS tmin, sum(round(l_tax * 100) + 10) / count(*) AS tmax FROM lineitem GROUP BY 1),
-    v AS (SELECT date, CASE WHEN date <= DATE '2000-06-01' THEN precip END AS precip, CASE WHEN date >= DATE '1996-01-01' THEN tmin END AS tmin,
-                 CASE WHEN date BETWEEN DATE '1995-06-01' AND DATE '2001-03-01' THEN tmax END AS tmax FROM m)"""
+    v AS (SELECT date, CASE WHEN place % 5 <> 0 THEN precip END AS precip, CASE WHEN place % 7 <> 2 THEN tmin END AS tmin, CASE WHEN place % 4 <> 1 THEN tmax END AS tmax
+          FROM (SELECT *, year(date) * 12 + month(date) AS place FROM m))"""
 
 
 @query("predictor_outer_merge", sql=f"""
-    WITH {VARIABLES} SELECT date, {rnd("precip")} AS precip, {rnd("tmin")} AS tmin, {rnd("tmax")} AS tmax FROM v WHERE coalesce(precip, tmin, tmax) IS NOT NULL""")
+    WITH {VARIABLES} SELECT date, {rnd("precip")} AS precip, {rnd("tmin")} AS tmin, {rnd("tmax")} AS tmax FROM v""")
 def predictor_outer_merge(spark, folder):
     return rounded(R.side_by_side(_variables(spark, folder)), "precip", "tmin", "tmax")
 

@@ -656,3 +656,32 @@ def time_series(spark, folder):
 @query("has_prediction", views="dataset_models", sql="SELECT count(*) > 0 AS has_prediction FROM dataset_models WHERE dataset_key = 'asia' AND index_name = 'spi3'")
 def has_prediction(spark, folder):
     return catalog(spark, folder, True).has_prediction("Asia", "SPI3")
+
+
+@query("typed_attributes", sql="""
+    SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, value AS depth, event_type AS tag, event_id % 2 = 0 AS checked, CAST(NULL AS DOUBLE) AS level,
+           'NaN ' || event_type AS note, CAST(NULL AS INTEGER) AS wrong FROM events""")
+def typed_attributes(spark, folder):
+    """Attributes with a list and an object in them: a nested number, a list entry, a truth value, and numbers that are none."""
+    text = F.concat(
+        F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "gauge": {"depth": '), F.col("value").cast("string"), F.lit(', "tags": [NaN, "'), F.col("event_type"),
+        F.lit('"]}, "checked": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit(', "level": -Infinity, "note": "NaN '), F.col("event_type"), F.lit('"}'),
+    )
+    rows = table(spark, folder, "events").select("event_id", P.typed_attributes(text).alias("attrs"))
+    a = F.col("attrs")
+    return rows.select(
+        "event_id", P.typed_attribute(a, "$.k", "int").alias("k"), P.typed_attribute(a, "$.gauge.depth", "double").alias("depth"), P.typed_attribute(a, "$.gauge.tags[1]", "string").alias("tag"),
+        P.typed_attribute(a, "$.checked", "boolean").alias("checked"), P.typed_attribute(a, "$.level", "double").alias("level"), P.typed_attribute(a, "$.note", "string").alias("note"),
+        P.typed_attribute(a, "$.gauge", "int").alias("wrong"),
+    )
+
+
+@query("resolved_indices", sql="""
+    WITH asked AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SPI-3' WHEN 1 THEN ' spi_6 ' WHEN 2 THEN 'spi3' WHEN 3 THEN 'S-P-E-I_1' ELSE event_type END AS name FROM events)
+    SELECT event_id, name, CASE event_id % 5 WHEN 0 THEN 'spi3' WHEN 1 THEN 'SPI6' WHEN 2 THEN 'spi3' WHEN 3 THEN 'spei_1' END AS index_name FROM asked""")
+def resolved_indices(spark, folder):
+    """Requested names, written in several ways, and the index column each means."""
+    turn = F.col("event_id") % 5
+    name = F.when(turn == 0, "SPI-3").when(turn == 1, " spi_6 ").when(turn == 2, "spi3").when(turn == 3, "S-P-E-I_1").otherwise(F.col("event_type"))
+    rows = table(spark, folder, "events").select("event_id", name.alias("name"))
+    return rows.withColumn("index_name", K.resolved_index(F.col("name"), ["spi3", "SPI6", "spei_1"]))

@@ -224,11 +224,12 @@ def observed_and_forecast_months(spark, folder):
 
 
 @query("panel_range", views="targets seasonal", sql="""
-    WITH o AS (SELECT dataset_key, feature_id, min(date) AS lo, max(date) AS hi FROM targets WHERE date <= DATE '2000-12-01' GROUP BY 1, 2),
+    WITH o AS (SELECT dataset_key, feature_id, min(date) AS lo, max(date) AS hi FROM targets WHERE (month(date) + length(feature_id)) % 4 <> 0 GROUP BY 1, 2),
     f AS (SELECT dataset_key, feature_id, max(target_date) AS hi FROM seasonal GROUP BY 1, 2)
     SELECT dataset_key, feature_id, o.lo AS min_date, greatest(o.hi, coalesce(f.hi, o.hi)) AS max_date FROM o LEFT JOIN f USING (dataset_key, feature_id)""")
 def panel_range(spark, folder):
-    seen = targets(spark, folder).where(F.col("date") <= F.lit("2000-12-01").cast("date"))
+    """Months without a value in every series, every fourth by its name's length."""
+    seen = targets(spark, folder).withColumn("y", F.when((F.month("date") + F.length("feature_id")) % 4 != 0, F.col("y")))
     return S.panel_range(seen, seasonal(spark, folder), KEYS, "y")
 
 
@@ -301,15 +302,15 @@ def _requests(spark, folder):
 ASKED = """
     asked AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS feature_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS requested
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    dry AS (SELECT feature_id, date, value FROM flow WHERE value < 100 AND date BETWEEN DATE '1995-06-01' AND DATE '2001-02-01'),
+    dry AS (SELECT feature_id, date, value FROM flow WHERE value < 100 AND (month(date) + length(feature_id)) % 3 <> 1),
     around AS (SELECT a.feature_id, requested, max(date) FILTER (WHERE date <= requested) AS b, min(date) FILTER (WHERE date >= requested) AS n
                FROM asked a LEFT JOIN dry USING (feature_id) GROUP BY 1, 2)"""
 
 
 def _dry(spark, folder):
-    return flow(spark, folder).where(
-        (F.col("value") < 100) & F.col("date").between(F.lit("1995-06-01").cast("date"), F.lit("2001-02-01").cast("date"))
-    )
+    """All months; those of much water and a third of the others have no value."""
+    good = (F.col("value") < 100) & ((F.month("date") + F.length("feature_id")) % 3 != 1)
+    return flow(spark, folder).withColumn("value", F.when(good, F.col("value")))
 
 
 @query("effective_month", views="flow", sql=f"""

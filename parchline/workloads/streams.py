@@ -32,7 +32,7 @@ def monthly_stream(spark, folder):
     store = TableStore(spark, scratch_path(spark, "tables"))
     days = stream_table(spark, rows, "days", maxFilesPerTrigger=1)
     jobs.monthly_stream(days, store, scratch_path(spark, "progress"), 0.6).awaitTermination()
-    out = store.read("monthly").select("station_id", "date", "valid_days", "observed_days", "precip")
+    out = jobs.monthly_totals(store).select("station_id", "date", "valid_days", "observed_days", "precip")
     return rounded(out, "precip")
 
 
@@ -52,13 +52,11 @@ def daily_stream(spark, folder):
 
 @query("feedback_stream", views="seasonal dataset_models wide", sql=f"WITH {FEEDBACK} {FEEDBACK_OUT}")
 def feedback_stream(spark, folder):
-    """Observations arriving in two files, compared with stored forecasts."""
-    store = TableStore(spark, scratch_path(spark, "tables"))
+    """Forecasts and observations arriving in several files each, joined as they come; every file may hold any month, so none is late."""
     parts = ["dataset_key", "index_name", "method_name"]
-    store.replace("forecasts", seasonal(spark, folder), parts)
-    store.replace("dataset_models", dataset_models(spark, folder), parts)
+    forecasts = stream_table(spark, seasonal(spark, folder).repartition(3, "target_date"), "forecasts", maxFilesPerTrigger=1)
     arriving = stream_table(spark, actuals(spark, folder).repartition(2, "feature_id"), "actuals", maxFilesPerTrigger=1)
-    jobs.feedback_stream(
-        arriving, store, store.read("forecasts"), store.read("dataset_models"), scratch_path(spark, "progress")
-    ).awaitTermination()
-    return rounded(store.read("feedback").select(*parts, "model_key", "feature_id", "issue_date", "target_date", "lead_month", *FEEDBACK_NUMBERS), *FEEDBACK_NUMBERS)
+    out = scratch_path(spark, "feedback")
+    jobs.feedback_stream(arriving, forecasts, dataset_models(spark, folder), out, scratch_path(spark, "progress"), "36500 days").awaitTermination()
+    rows = spark.read.parquet(out)
+    return rounded(rows.select(*parts, "model_key", "feature_id", "issue_date", "target_date", "lead_month", *FEEDBACK_NUMBERS), *FEEDBACK_NUMBERS)

@@ -71,8 +71,11 @@ def test_index_names():
     with pytest.raises(ValueError, match="the series has precip, spi3"):
         K.require_index(cols, "spi9")
     assert K.loose_index(["spi_3"], "SPI-3") == "spi_3"
-    assert K.forecast_indices(["SPI3 ", "spi3"], [6], []) == ["spi3", "spi6"]
-    assert K.forecast_indices(None, None, ["spi3", "precip", "ssi1"]) == ["spi3", "ssi1"]
+    assert K.requested_indices([], ["SPI3 ", "spi3", " "], [12, 6]) == ["spi3", "spi6", "spi12"]
+    assert K.requested_indices(["spi3", "precip", "ssi1"]) == ["spi3", "ssi1"]
+    for scale in (0, -3, True, []):
+        with pytest.raises(ValueError):
+            K.requested_indices([], scales=scale)
     assert K.model_key("Alpha-1", "spi3", "xgboost") == "alpha_1_spi3_xgboost"
     with pytest.raises(ValueError):
         K.valid_dataset_key("a;b")
@@ -121,3 +124,15 @@ def test_display_name_differs_from_id(spark):
     assert one(spark, P.display_name(props, F.lit("7"))) == "Aras"
     assert one(spark, P.display_name(F.create_map(F.lit("name"), F.lit("7")), F.lit("7"))) == "7"
     assert one(spark, P.feature_id(props, "hint", F.lit("own"))) == "7"
+
+
+def test_typed_attributes(spark):
+    from parchline.functions import props as P
+    from pyspark.sql import functions as F
+
+    texts = ['{"a": {"b": [1, NaN, "NaN", -Infinity, true, 2.5]}, "NaN": "x\\"Infinity"}', '{"a": "unfinished NaN', None, "[1, 2]", '{"a": {"b": null}}', ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").withColumn("v", P.typed_attributes(F.col("t"))).orderBy("n")
+    got = rows.select(*[P.typed_attribute(F.col("v"), path, kind) for path, kind in (
+        ("$.a.b[0]", "int"), ("$.a.b[1]", "double"), ("$.a.b[2]", "string"), ("$.a.b[3]", "double"), ("$.a.b[4]", "boolean"), ("$.a.b[5]", "double"), ("$['NaN']", "string"), ("$.a", "int"), ("$[1]", "int"))]).collect()
+    assert tuple(got[0]) == (1, None, "NaN", None, True, 2.5, 'x"Infinity', None, None)
+    assert got[3][8] == 2 and all(v is None for i in (1, 2, 4, 5) for v in got[i])

@@ -11,7 +11,6 @@ from parchline.operators.upsert import numbered_duplicates, upsert
 from parchline.plans.importer import import_layers
 from parchline.sources import discover as D, geojson as J, tables as T
 from parchline.sources.store import TableStore
-from parchline.streaming.jobs import merge_days
 
 MULTI = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 7], [5, 5]]]]}
 
@@ -119,21 +118,6 @@ def test_duplicate_numbers_follow_the_order(spark):
     assert len(got) == 200 and got[0] == "u0" and got[1] == "x_1" and got[199] == "x_100"
 
 
-def test_late_and_repeated_batches(spark, tmp_path):
-    schema = "station_id string, date date, precip_mm double, seq bigint"
-    d = dt.date
-    first = [("a", d(2000, 2, i), 1.0, i) for i in range(1, 29)] + [("a", d(2000, 3, 1), 9.0, 100)]
-    late = [("a", d(2000, 2, 29), 4.0, 200), ("a", d(2000, 2, 1), 3.0, 201), ("a", d(2000, 2, 2), 50.0, 0)]
-    store = TableStore(spark, str(tmp_path))
-    for rows in (first, late, first, late):
-        merge_days(store, spark.createDataFrame(rows, schema), 0.9)
-    got = {r["date"]: r["precip"] for r in store.read("monthly").collect()}
-    assert got == {d(2000, 2, 1): 34.0, d(2000, 3, 1): None}
-    days = store.read("daily").drop("month")
-    batch = {r["date"]: r["precip"] for r in monthly_precipitation(days, 0.9).collect()}
-    assert batch == got
-
-
 def test_store_merges_repeated_keys_by_order_or_refuses_them(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     rows = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 1, 2, 6.0), ("b", 1, 1, 7.0)], "part string, id int, turn int, v double")
