@@ -115,19 +115,18 @@ def pack_descriptions(
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = words_of(tokenizer_file, known_words), np.array([end], "<u4").tobytes()
         for batch in in_parts(batches):
+            # Equal texts of a batch are tokenized once.
+            texts = batch.column("text").dictionary_encode()
+            pieces = []
+            for ids in words.ids_of(texts.dictionary):
+                content = memoryview(ids.tobytes() + last)
+                total = len(content) // 4
+                pieces.append([(at, min(window, total - at), zlib.crc32(content[4 * at : 4 * (at + window)]), total) for at in range(0, total, window)])
             rows: list[int] = []
             found: list[tuple[int, int, int, int]] = []
-            seen: dict[str, list] = {}
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                pieces = seen.get(text)
-                if pieces is None:
-                    ids = memoryview(words.ids(text) + last)
-                    total = len(ids) // 4
-                    pieces = seen[text] = [
-                        (at, min(window, total - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), total) for at in range(0, total, window)
-                    ]
-                rows += [row] * len(pieces)
-                found += pieces
+            for row, text in enumerate(texts.indices.to_pylist()):
+                rows += [row] * len(pieces[text])
+                found += pieces[text]
             take = pa.array(rows, pa.int64())
             columns = list(zip(*found, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
