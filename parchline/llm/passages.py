@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .records import DESCRIPTION, described, schema_of, written
+from .records import DESCRIPTION, described, in_parts, schema_of, written
 
 # Each pattern tiles a text: a unit takes the marks that end it along.
 UNITS = {
@@ -19,8 +21,10 @@ UNITS = {
     "line": re.compile(r"[^\n]+\n*|\n+"),
     "sentence": re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+"),
 }
-# Every repeated unit goes, whatever its length.
-LEAST_WORDS = 1
+# Repeated lines and paragraphs go whatever their length. Sentences, a level beside the lines for passages within them, go from this many code points on:
+# shorter ones are names, abbreviations and set phrases.
+LEAST_SENTENCE = 40
+BATCH_BYTES = 1 << 20
 SPACES = re.compile(r"[ \t-\r]+")
 ARROW_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -31,12 +35,13 @@ def normalized(unit: str) -> str:
     return SPACES.sub(" ", unit).strip(" ").lower()
 
 
-def units_of(text: str, levels: tuple[str, ...], least_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of every unit of at least ``least_words`` words; levels do not mix."""
+def units_of(text: str, levels: tuple[str, ...], least_sentence: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of every unit that counts; levels do not mix."""
     for level in levels:
+        least = least_sentence if level == "sentence" else 1
         for found in UNITS[level].finditer(text):
             plain = normalized(found[0])
-            if plain.count(" ") + 1 >= least_words and plain:
+            if len(plain) >= least:
                 yield found.start(), found.end(), hashlib.blake2b(plain.encode(), digest_size=16, person=level.encode()).digest()
 
 
@@ -51,12 +56,11 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels: tuple[str, ...] = ("line", "sentence"), least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels: tuple[str, ...] = ("line", "sentence"), least_sentence: int = LEAST_SENTENCE) -> DataFrame:
     """Parts of descriptions that repeat an earlier ranked unit.
 
     Parameters: ``levels``, the units compared (``paragraph``, ``line``, ``sentence``), each level for itself;
-    ``least_words``, below which a unit always stays; none is spared by default. Words are counted by spaces, so a floor spares
-    whole lines of scripts that write none.
+    ``least_sentence``, the code points (normalized) below which a sentence always stays; lines and paragraphs of any length go.
 
     A unit is normalized (case, white space) and hashed. Of units with one digest the earliest stays, in order of ``feature_id``
     (null last), ``dataset_key`` (null last), row, start; all others are removed. Digests are counted with partial aggregates, and only units
@@ -70,14 +74,22 @@ def repeated_passages(features: DataFrame, attribute: str = DESCRIPTION, levels:
     texts = described(features, attribute).withColumn("row", F.monotonically_increasing_id())
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("text").to_pylist()
-            found = [list(units_of(t, levels, least_words)) for t in values]
+        # Flat buffers: a number per unit, not an object.
+        for batch in in_parts(batches, most=BATCH_BYTES):
+            starts, ends, counts, sizes, digests = array("i"), array("i"), [0], [], bytearray()
+            for text in batch.column("text").to_pylist():
+                sizes.append(len(text))
+                for start, end, digest in units_of(text, levels, least_sentence):
+                    starts.append(start)
+                    ends.append(end)
+                    digests += digest
+                counts.append(len(starts))
+            offsets = pa.array(counts, pa.int32())
+            cuts = pa.py_buffer(np.arange(len(starts) + 1, dtype=np.int32) * 16)
+            units = pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts, pa.py_buffer(bytes(digests))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("dataset_key"), batch.column("feature_id"), batch.column("row"), pa.array([len(t) for t in values], pa.int64()),
-                 pa.array([[u[0] for u in own] for own in found], pa.list_(pa.int32())),
-                 pa.array([[u[1] for u in own] for own in found], pa.list_(pa.int32())),
-                 pa.array([[u[2] for u in own] for own in found], pa.list_(pa.binary()))],
+                [batch.column("dataset_key"), batch.column("feature_id"), batch.column("row"), pa.array(sizes, pa.int64()),
+                 *[pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(v, np.int32))) for v in (starts, ends)], pa.ListArray.from_arrays(offsets, units)],
                 ["dataset_key", "feature_id", "row", "n_chars", "starts", "ends", "digests"],
             )
 

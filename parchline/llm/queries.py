@@ -100,7 +100,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     p AS (
       SELECT *, lower(trim(regexp_replace(unit, '[ \t-\r]+', ' ', 'g'), ' ')) AS plain,
         sum(length(unit)) OVER (PARTITION BY doc_id, level ORDER BY place) AS "end" FROM u),
-    w AS (SELECT *, "end" - length(unit) AS start FROM p WHERE plain <> '' AND length(plain) - length(replace(plain, ' ', '')) + 1 >= 5),
+    w AS (SELECT *, "end" - length(unit) AS start FROM p WHERE plain <> '' AND (level = 'line' OR length(plain) >= 40)),
     r AS (SELECT *, row_number() OVER (PARTITION BY level, plain ORDER BY doc_id, start) AS rank FROM w),
     x AS (SELECT doc_id, start, "end", max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
           FROM r WHERE rank > 1),

@@ -2,7 +2,7 @@ import re
 
 import pytest
 from cases import TEXTS, by_id, features
-from parchline.llm.passages import LEAST_WORDS, merged, repeated_passages, without_runs
+from parchline.llm.passages import LEAST_SENTENCE, merged, repeated_passages, without_runs
 
 PASSAGE = "Rain fell on the upper basin for most of the month, and the gauges rose. The lower basin stayed dry until its end."
 PATTERNS = {"paragraph": r"(?:[^\n]|\n(?!\n))+\n*|\n+", "line": r"[^\n]+\n*|\n+", "sentence": r"[^.!?\n]+[.!?\n]*|[.!?\n]+"}
@@ -15,7 +15,7 @@ def brute(texts, levels):
         for level in levels:
             for m in re.finditer(PATTERNS[level], text or ""):
                 words = re.split(r"[ \t-\r]+", m[0].strip(" \t\n\r\x0b\x0c"))
-                if len([w for w in words if w]) < LEAST_WORDS:
+                if len(" ".join(words)) < (LEAST_SENTENCE if level == "sentence" else 1):
                     continue
                 key = (level, " ".join(words).lower())
                 if key in seen:
@@ -44,10 +44,18 @@ def test_empty_table_and_cutting(spark):
     assert without_runs("abcdef", [(1, 2), (4, 6)]) == "acd"
 
 
-def test_short_units_go_too(spark):
-    texts = ["All rights reserved.\nOne basin of many", "Two basins of many\nALL  rights reserved.", "日本の雨量計\n三", "日本の雨量計\n四", "One basin of many"]
+def test_short_lines_go_and_short_sentences_stay(spark):
+    texts = ["All rights reserved.\nOne basin of many", "Two basins of many\nALL  rights reserved.", "日本の雨量計\n三", "日本の雨量計\n四", "One basin of many", "The. A dry spring. The. A dry spring."]
     found = by_id(repeated_passages(features(spark, texts)))
     left = [without_runs(t, [(r.start, r.end) for r in found[i].removed]) for i, t in enumerate(texts)]
-    assert left == [texts[0], "Two basins of many\n", texts[2], "四", ""]
-    spared = by_id(repeated_passages(features(spark, texts), least_words=4))
-    assert [len(spared[i].removed) for i in range(5)] == [0, 0, 0, 0, 1]
+    assert left == [texts[0], "Two basins of many\n", texts[2], "四", "", texts[5]]
+    bare = by_id(repeated_passages(features(spark, texts), least_sentence=1))
+    assert without_runs(texts[5], [(r.start, r.end) for r in bare[5].removed]) == "The. A dry spring."
+
+
+def test_a_batch_of_long_texts(spark):
+    """Units of a batch are kept in flat buffers, part by part."""
+    text = "".join(f"Reading {i} of the upper basin was written down in the evening.\n" for i in range(3000))
+    rows = by_id(repeated_passages(features(spark, [text + f"End {i}" for i in range(12)])))
+    assert rows[0].removed == [] and all([(r.start, r.end) for r in rows[i].removed] == [(0, len(text))] for i in range(1, 12))
+    assert all(r.n_units == 6001 for r in rows.values())
