@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from html.entities import html5
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +20,11 @@ ANY_TAG = r"</?[A-Za-z!][^>]*>"
 # The HTML standard's character references by name, some of which need no semicolon; a space that does not break is a plain one here.
 NAMED = {f"&{name}": value.replace("\xa0", " ") for name, value in html5.items()}
 COMMON = ("&amp;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&apos;")
-NUMBERED = r"#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-# Names by their first letter, longest first, so that the longest name that fits is found.
-REFERENCE = f"^&(?:{NUMBERED}|" + "|".join(
-    f"{first}(?:{'|'.join(re.escape(n[1:]) for n in sorted(names, key=len, reverse=True))})" for first, names in groupby(sorted(html5), key=lambda n: n[0])
-) + ")"
+# What may be a reference: a number, or a name up to a semicolon or the first character that is none of a name.
+REFERENCE = r"^&(?:#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|[A-Za-z][A-Za-z0-9]*;?)"
+# Some names need no semicolon; then the longest of them that the text begins with counts.
+OPEN_NAMES = {name: value for name, value in NAMED.items() if not name.endswith(";")}
+LONGEST_OPEN = max(map(len, OPEN_NAMES))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 # Attributes before the wanted one are passed as wholes, so that none is found in another's value.
 VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+"
@@ -45,7 +44,19 @@ def unquoted(value: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """Numbered and named character references as characters, each once; references to no character stay."""
-    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    # Maps of maps by the first two letters, since a map is searched from its start.
+    nested: dict[str, dict[str, dict[str, str]]] = {}
+    for name, value in NAMED.items():
+        nested.setdefault(name[1], {}).setdefault(name[2], {})[name] = value
+    names = F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,map<string,string>>>")
+
+    def named(name: Column) -> Column:
+        return F.element_at(F.element_at(F.element_at(names, F.substring(name, 2, 1)), F.substring(name, 3, 1)), name)
+
+    def open_name(found: Column) -> Column:
+        """The longest name without semicolon at the start, and what is left of the piece's name."""
+        sizes = range(LONGEST_OPEN, 2, -1)
+        return F.coalesce(*[F.when(F.length(found) >= n, F.concat(named(F.substring(found, 1, n)), F.substr(found, F.lit(n + 1)))) for n in sizes], found)
 
     def numbered(found: Column) -> Column:
         digits = F.regexp_replace(found, "[&#;xX]", "")
@@ -56,14 +67,14 @@ def decoded(text: Column) -> Column:
 
     def character(found: Column) -> Column:
         value = F.when(found == "", found)
-        # The map is searched from its start, so the common names come before it.
         for name in COMMON:
             value = value.when(found == name, F.lit(NAMED[name]))
-        return value.when(found.startswith("&#"), numbered(found)).otherwise(F.element_at(names, found))
+        return value.when(found.startswith("&#"), numbered(found)).otherwise(F.coalesce(named(found), open_name(found)))
 
     # Cut before each ampersand, a piece has at most one reference, at its start, and what it gives is not read again.
     pieces = F.transform(F.split(text, "(?=&)"), lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, REFERENCE, 0).alias("found")))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(character(p["found"]), F.substr(p["piece"], F.length(p["found"]) + 1))), "")
+    whole = F.array_join(F.transform(pieces, lambda p: F.concat(character(p["found"]), F.substr(p["piece"], F.length(p["found"]) + 1))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def tidy(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .archive import derived_records, urn
+from .archive import NAMED, derived_records, urn
 from .credentials import BASE_KINDS, find_secrets, learn_secrets
 from .encoding import decode_descriptions, each_ids, encode_descriptions
 from .exact import exact_duplicates
@@ -163,14 +163,32 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("feature_id").alias("vec_id"), "score")
 
 
+def named_sql() -> str:
+    """The named references as entries of an SQL map, without their ampersand."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    return ", ".join(f"{quoted(name[1:])}: {quoted(value)}" for name, value in NAMED.items())
+
+
+def decoded_sql(column: str) -> str:
+    """A text with its references decoded once, cut before each ampersand; the map of names is ``named``."""
+    number = "CASE WHEN {0} BETWEEN 1 AND 55295 OR {0} BETWEEN 57344 AND 1114111 THEN chr({0}::INTEGER) || substr(p, instr(p, ';') + 1) ELSE '&' || p END"
+    decimal = number.format("regexp_extract(p, '^#([0-9]+);', 1)::BIGINT")
+    hexadecimal = number.format("('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::BIGINT")
+    word = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;?')"
+    known = [f"map_extract(named, {word})[1] || substr(p, length({word}) + 1)"] + [f"map_extract(named, p[:{n}])[1] || substr(p, {n + 1})" for n in range(6, 1, -1)]
+    piece = (
+        f"CASE WHEN regexp_matches(p, '^#[0-9]{{1,7}};') THEN {decimal} WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{{1,6}};') THEN {hexadecimal} "
+        f"ELSE coalesce({', '.join(known)}, '&' || p) END"
+    )
+    return f"string_split({column}, '&')[1] || array_to_string(list_transform(string_split({column}, '&')[2:], lambda p: {piece}), '')"
+
+
 @query(
     "op8_archive",
     r"""
     WITH p AS (
       SELECT page_id, url, coalesce(html, '') AS html,
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g'),
-          '(?is)<script\b.*?(?:</script\s*>|\z)', '', 'g'), '(?is)<style\b.*?(?:</style\s*>|\z)', '', 'g'),
-          '(?is)<noscript\b.*?(?:</noscript\s*>|\z)', '', 'g') AS seen,
+        regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)', '', 'g') AS seen,
         md5(concat_ws(chr(10), page_id, url)) AS m FROM pages),
     q AS (
       SELECT *, regexp_replace(regexp_replace(regexp_replace(seen, '[\r\n]+', ' ', 'g'),
@@ -178,16 +196,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
           '</?[A-Za-z!][^>]*>', '', 'g') AS stripped,
         regexp_replace(regexp_extract(seen, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '</?[A-Za-z!][^>]*>', '', 'g') AS heading,
         '<urn:uuid:' || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) || '>' AS refers_to FROM p),
-    r AS (
-      SELECT *, replace(replace(replace(replace(replace(replace(stripped, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS body,
-        replace(replace(replace(replace(replace(replace(heading, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS name FROM q),
+    n AS (SELECT MAP {""" + named_sql() + r"""} AS named),
+    r AS (SELECT *, """ + decoded_sql("stripped") + " AS body, " + decoded_sql("heading") + r""" AS name FROM q, n),
     t AS (
       SELECT *, regexp_replace(regexp_replace(regexp_replace(body, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g') AS plain,
         regexp_replace(regexp_replace(regexp_replace(name, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g') AS title,
-        list_transform(regexp_extract_all(seen, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), lambda x: 'outlink: ' || replace(x, '&amp;', '&') || chr(13) || chr(10)) AS links FROM r),
+        list_transform(regexp_extract_all(seen, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 1),
+          lambda x: 'outlink: ' || regexp_replace(replace(regexp_replace(x, '^["'']|["'']$', '', 'g'), '&amp;', '&'), '[\r\n]+', ' ', 'g') || chr(13) || chr(10)) AS links FROM r),
     b AS (
       SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-        'title: ' || regexp_replace(title, '[\r\n]+', ' ', 'g') || chr(13) || chr(10) || 'language: ' || regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"', 1)
+        'title: ' || regexp_replace(title, '[\r\n]+', ' ', 'g') || chr(13) || chr(10) || 'language: ' || regexp_replace(regexp_extract(html, '(?i)<html\s(?:[^>]*?\s)?(?:xml:)?lang\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 1), '^["'']|["'']$', '', 'g')
           || chr(13) || chr(10) || array_to_string(links, '') AS block FROM t
       UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM t),
     c AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest, md5(concat_ws(chr(10), record_type, refers_to, url, 'sha256:' || sha256(html))) AS k FROM b)
