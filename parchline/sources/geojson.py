@@ -9,21 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import props as P
 from ..functions.text import repair_text
+from .collections import read_collection
 
 FEATURE = "struct<id:string,geometry:string,properties:map<string,string>>"
 RING = "array<array<double>>"
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Rows (id, geometry, properties) of a feature collection.
-
-    A collection is one JSON document and is read by one task; large layers should
-    come as one feature per line (``lines=True``), which splits.
-    """
+    """Rows (id, geometry, properties) of feature collections, or (``lines``) of files with one feature per line; both split."""
     if lines:
         return spark.read.schema("id string, geometry string, properties map<string,string>").json(path)
-    collection = spark.read.schema(f"features array<{FEATURE}>").json(path, multiLine=True)
-    return collection.select(F.inline("features"))
+    return read_collection(spark, path).select(F.from_json("value", FEATURE).alias("f")).select("f.*")
 
 
 def geometry_type(geometry: Column) -> Column:

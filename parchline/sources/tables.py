@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start
@@ -83,18 +83,24 @@ def read_series_table(
 
 
 def read_number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A text of numbers as (position, value).
+    """Texts of numbers as (n, value), numbered from 1 over all files, in order of their names.
 
-    Numbers may share lines. Positions follow the bytes of one file; an input of
-    several files has no order and is refused.
+    Numbers may share lines. Files are read in ranges; each is numbered by itself, and starts after as many numbers as all ranges before it
+    hold.
     """
     lines = spark.read.text(path).select("value", *_place())
-    if lines.select("file").distinct().limit(2).count() > 1:
-        raise ValueError(f"{path} holds several files; their order is not defined")
     words = lines.where(F.trim("value") != "").select(
-        "block", "line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "word")
+        "file", "block", "line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "word")
     )
-    return words.select(F.struct("block", "line", "at").alias("position"), F.col("word").cast("double").alias("value"))
+    # One row per range of some megabytes.
+    ranges = words.groupBy("file", "block").agg(F.count("*").alias("numbers"))
+    files = ranges.groupBy("file").agg(F.sum("numbers").alias("numbers"))
+    earlier = lambda order: F.coalesce(F.sum("numbers").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = files.select("file", earlier(Window.orderBy("file")).alias("in_files"))
+    starts = ranges.select("file", "block", earlier(Window.partitionBy("file").orderBy("block")).alias("in_ranges")).join(before, "file")
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("line", "at"))
+    placed = words.withColumn("within", within).join(starts, ["file", "block"])
+    return placed.select((F.col("in_files") + F.col("in_ranges") + F.col("within")).cast("bigint").alias("n"), F.col("word").cast("double").alias("value"))
 
 
 def _place() -> list[Column]:

@@ -174,6 +174,23 @@ def geojson_lines(spark, folder):
     return rounded(out, "minx", "miny", "maxx", "maxy", digits=4)
 
 
+@query("geojson_collections", sql="""
+    SELECT 'orders' AS dataset_key, 'o' || o_orderkey AS feature_id, 'Order } "' || o_orderkey AS name, o_orderpriority AS priority, 'Point' AS kind, (o_orderkey % 360)::DOUBLE - 180 AS minx, (o_orderkey % 180)::DOUBLE - 90 AS maxy FROM orders""")
+def geojson_collections(spark, folder):
+    """Every order as a feature of collections without line breaks, with braces and quotes in their texts, read in ranges."""
+    k = F.col("o_orderkey")
+    feature = F.format_string(
+        '{"type":"Feature","id":"o%s","properties":%s,"geometry":{"type":"Point","coordinates":[%s,%s]}}', k,
+        F.to_json(F.struct(F.concat(F.lit('Order } "'), k).alias("title"), F.col("o_orderpriority").alias("priority"))), k % 360 - 180, k % 180 - 90,
+    )
+    collected = table(spark, folder, "orders").groupBy((k / 20_000).cast("bigint").alias("part")).agg(F.array_join(F.collect_list(feature), ",").alias("features"))
+    path = scratch_path(spark, "collections")
+    head = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"CRS84 {"}},"features":['
+    collected.select("part", F.concat(F.lit(head), "features", F.lit("]}")).alias("value")).write.partitionBy("part").text(path)
+    rows = J.feature_rows(J.read_features(spark, path), "orders")
+    return rows.select(*KEYS, "name", F.col("props")["priority"].alias("priority"), J.geometry_type(F.col("geometry")).alias("kind"), "minx", "maxy")
+
+
 @query("station_csv_scan", views="daily", sql="""
     SELECT nullif(trim(station_id), '') AS station_id, lon, lat, date, precip_mm, seq FROM daily""")
 def station_csv_scan(spark, folder):
@@ -235,12 +252,11 @@ def series_table_read(spark, folder):
 
 @query("number_lines", views="flow", sql="SELECT row_number() OVER (ORDER BY date) AS n, sum(value) AS value FROM flow GROUP BY date")
 def number_lines(spark, folder):
-    """The monthly totals of all shipments as one text file of numbers, in order."""
+    """The monthly totals of all shipments as text files of numbers, in order over all of them."""
     path = scratch_path(spark, "numbers")
     totals = flow(spark, folder).groupBy("date").agg(F.sum("value").alias("value"))
-    totals.orderBy("date").coalesce(1).select(F.col("value").cast("string")).write.text(path)
-    order = Window.orderBy("position")  # one row per month
-    return T.read_number_lines(spark, path).select(F.row_number().over(order).cast("bigint").alias("n"), "value")
+    totals.repartitionByRange(4, "date").sortWithinPartitions("date").select(F.col("value").cast("string")).write.text(path)
+    return T.read_number_lines(spark, path)
 
 
 def _listing(spark, folder):

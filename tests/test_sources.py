@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from parchline.operators.station import monthly_precipitation
 from parchline.operators.upsert import numbered_duplicates, upsert
 from parchline.plans.importer import import_layers
 from parchline.sources import discover as D, geojson as J, tables as T
+from parchline.sources.collections import read_collection
 from parchline.sources.store import TableStore
 
 MULTI = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 7], [5, 5]]]]}
@@ -63,14 +65,52 @@ def test_polygons(spark):
     assert len(got) == 2 and got[1][0][1] == [6.0, 5.0]
 
 
+def in_small_ranges(spark, size):
+    """Files are cut into ranges of this many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in names:
+        spark.conf.set(name, str(size))
+    return names
+
+
 def test_number_lines_keep_their_order(spark, tmp_path):
-    path = tmp_path / "precip.txt"
-    path.write_text("3.5\n1\n\n 2 9 \n4\n")
-    rows = T.read_number_lines(spark, str(path)).orderBy("position").collect()
-    assert [r["value"] for r in rows] == [3.5, 1.0, 2.0, 9.0, 4.0]
-    (tmp_path / "more.txt").write_text("1\n")
-    with pytest.raises(ValueError, match="several files"):
-        T.read_number_lines(spark, str(tmp_path))
+    numbers = np.random.default_rng(2).normal(size=3000).round(6).tolist()
+    texts, at = {}, 0
+    for name, size in (("a.txt", 1700), ("b.txt", 1), ("c.txt", 0), ("d.txt", 1299)):
+        own, at = numbers[at : at + size], at + size
+        texts[name] = "".join(f" {v}" + ("\n" if i % 3 else "\n\n" if i % 5 == 0 else "\t") for i, v in enumerate(own))
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    names = in_small_ranges(spark, 500)
+    try:
+        rows = T.read_number_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert [(r["n"], r["value"]) for r in rows.orderBy("n").collect()] == [(i + 1, v) for i, v in enumerate(numbers)]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+@pytest.mark.parametrize(("size", "indent"), [(90, None), (400, 1), (1 << 20, None)])
+def test_collections_read_in_ranges(spark, tmp_path, size, indent):
+    """Wherever ranges begin, also within texts that look like features, the features are the same."""
+    trap = '{"type":"Feature","id":"no","properties":{},"geometry":null},"features":[{ \\ " }'
+    features = [
+        {"type": "Feature", "id": f"f{i}", "properties": {"name": trap * (i % 3), "deep": {"a": {"b": [{}, {"c": "}"}]}}, "empty": {}}, "geometry": {"type": "Point", "coordinates": [i, -i]} if i % 4 else None}
+        for i in range(30)
+    ]
+    features[7]["properties"]["long"] = "{" * 2000
+    collections = [{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x}{"}}, "features": features[:20]}, {"features": features[20:], "type": "FeatureCollection", "note": {"a": {}}}, {"type": "FeatureCollection", "features": []}]
+    for i, c in enumerate(collections):
+        (tmp_path / f"{i}.geojson").write_text(json.dumps(c, indent=indent, ensure_ascii=False) + "\n")
+    names = in_small_ranges(spark, size)
+    try:
+        found = [json.loads(r["value"]) for r in read_collection(spark, str(tmp_path)).collect()]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sorted(found, key=lambda f: int(f["id"][1:])) == features
+
 
 
 def test_dated_files_and_stale_inputs(spark, tmp_path):
