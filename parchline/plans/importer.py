@@ -12,36 +12,47 @@ from ..operators.series import to_long
 from ..operators.trend import trend_statistics
 from ..operators.upsert import newest_per_key
 from ..schema import DATASETS, FEATURE_KEY
-from ..sources.discover import LayerFolder, layer_folders, read_layers
-from ..sources.geojson import feature_rows, geometry_type, read_features
+from ..sources.discover import LayerFolder, grouped_layers, layer_folders, layer_key, read_layers
+from ..sources.geojson import feature_rows, file_place, geometry_type, placed_features
 from ..sources.store import TableStore
-from ..sources.wide import infer_layout, read_table
 
 
-def layer_features(spark: SparkSession, layer: LayerFolder) -> DataFrame:
-    """Feature rows of one folder: GeoJSON, or Parquet with the same three columns.
+def layer_features(spark: SparkSession, layers: Sequence[LayerFolder]) -> DataFrame:
+    """Feature rows of folders: GeoJSON, or Parquet with the same three columns, one scan for all of one form and id column.
 
-    Of features with one id the last in the file stays.
+    Of features with one id the last in the file stays. ``geometry`` is kept beside the box.
     """
-    raw = read_features(spark, layer.geo, layer.geo_lines) if layer.geo.endswith(".geojson") else spark.read.parquet(layer.geo)
-    hint = infer_layout(read_table(spark, layer.data).columns).id_column
-    placed = raw.withColumn("_place", F.monotonically_increasing_id())
-    rows = feature_rows(placed, layer.dataset_key, hint, keep=("_place",))
-    return newest_per_key(rows, FEATURE_KEY, "_place").drop("_place")
-
-
-def registry_row(spark: SparkSession, layer: LayerFolder, features: DataFrame) -> DataFrame:
-    """Registry entry of one layer from its metadata file and feature geometries."""
+    forms: dict[tuple[str, bool, str], list[LayerFolder]] = {}
+    for group in grouped_layers(spark, layers):
+        for layer in group.layers:
+            forms.setdefault((layer.geo.rsplit(".", 1)[-1], layer.geo_lines, group.id_column), []).append(layer)
+    found = None
+    for (kind, lines, hint), own in forms.items():
+        paths = [layer.geo for layer in own]
+        if kind == "geojson":
+            placed = placed_features(spark, paths, lines)
+        else:
+            placed = spark.read.parquet(*paths).select("id", "geometry", "properties", file_place().alias("place"))
+        rows = feature_rows(placed.withColumnRenamed("place", "_place"), layer_key(own, F.col("_place.file")), hint, keep=("_place",))
+        found = rows if found is None else found.unionByName(rows)
+    return newest_per_key(found, FEATURE_KEY, "_place").drop("_place")
+
+
+def registry_rows(spark: SparkSession, layers: Sequence[LayerFolder], features: DataFrame) -> DataFrame:
+    """Registry entries of all layers from their metadata files and feature geometries; a layer without features has one too."""
     fields = ("title", "source_key", "source_title", "boundary_key", "boundary_title")
-    kind = F.coalesce(F.first(geometry_type(F.col("geometry")), ignorenulls=True), F.lit("Geometry"))
-    row = features.agg(kind.alias("geom_type")).withColumn("dataset_key", F.lit(layer.dataset_key))
-    text = F.lit(None).cast("string")
-    if layer.metadata:
-        text = spark.read.text(layer.metadata, wholetext=True).select(F.first("value")).scalar()
-    row = row.withColumn("metadata", text)
-    row = row.select("*", *[F.get_json_object("metadata", f"$.{f}").alias(f) for f in fields])
+    named = spark.createDataFrame([(layer.dataset_key,) for layer in layers], "dataset_key string")
+    kinds = features.groupBy("dataset_key").agg(F.first(geometry_type(F.col("geometry")), ignorenulls=True).alias("kind"))
+    rows = named.join(kinds, "dataset_key", "left").select("dataset_key", F.coalesce("kind", F.lit("Geometry")).alias("geom_type"))
+    told = [layer for layer in layers if layer.metadata]
+    if told:
+        texts = spark.read.text([layer.metadata for layer in told], wholetext=True).select(layer_key(told, F.col("_metadata.file_path")).alias("dataset_key"), F.col("value").alias("metadata"))
+        rows = rows.join(texts.groupBy("dataset_key").agg(F.max("metadata").alias("metadata")), "dataset_key", "left")
+    else:
+        rows = rows.withColumn("metadata", F.lit(None).cast("string"))
+    rows = rows.select("*", *[F.get_json_object("metadata", f"$.{f}").alias(f) for f in fields])
     bounds = [F.lit(None).cast("date").alias(c) for c in ("min_date", "max_date")]
-    out = row.withColumn("title", F.coalesce("title", "dataset_key")).select("*", *bounds)
+    out = rows.withColumn("title", F.coalesce("title", "dataset_key")).select("*", *bounds)
     return out.select(*[c.split()[0] for c in DATASETS.split(", ")])
 
 
@@ -73,15 +84,9 @@ def import_layers(store: TableStore, base: str, only: Sequence[str] | None = Non
     keys = [valid_dataset_key(layer.dataset_key) for layer in layers]
     store.write_series(read_layers(spark, layers))
     series = store.read("series").where(F.col("dataset_key").isin(*keys))
-    features = None
-    registry = None
-    for layer in layers:
-        found = layer_features(spark, layer)
-        row = registry_row(spark, layer, found)
-        features = found if features is None else features.unionByName(found)
-        registry = row if registry is None else registry.unionByName(row)
+    features = layer_features(spark, layers)
     store.replace("features", with_feature_bounds(features, series), ["dataset_key"], ["minx", "feature_id"])
-    store.replace("datasets", with_dataset_bounds(registry, series), ["dataset_key"])
+    store.replace("datasets", with_dataset_bounds(registry_rows(spark, layers, features), series), ["dataset_key"])
     if trends:
         store.replace("trend_stats", all_trends(series), ["dataset_key", "index_name"])
     return keys

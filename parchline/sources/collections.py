@@ -86,7 +86,7 @@ def _beginnings(ranges: DataFrame) -> list[tuple[str, int, int, bool, int]]:
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """``(value)``: the text of every feature of the collections at a path, whatever their size and line breaks.
+    """``(file, block, at, value)``: the text and place of every feature of the collections at a path, whatever their size and line breaks.
 
     Members of a collection that are no features are left out, and so is what a damaged file leaves open at its end. Work is
     spread over ranges of ``spark.sql.files.maxPartitionBytes``.
@@ -97,22 +97,26 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole features (no owner), and parts of those that cross ranges, by the range they began in."""
-        at, state, open_parts, owner, own = None, None, [], None, False
+        at, state, open_parts, owner, own, number = None, None, [], None, False, 0
 
         def rows(texts: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*texts, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "owner", "block", "complete", "value"])
+            columns = list(zip(*texts, strict=True)) or [[]] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "owner", "block", "at", "complete", "value"])
+
+        def part(complete: bool) -> tuple:
+            """A feature is numbered where it begins."""
+            return (at[0], at[1] if own else owner, at[1], number if own else -1, complete, "".join(open_parts))
 
         def left() -> list[tuple]:
-            return [(*at[:1], at[1] if own else owner, at[1], False, "".join(open_parts))] if open_parts else []
+            return [part(False)] if open_parts else []
 
         for batch in batches:
             out: list[tuple] = []
             for file, block, piece in zip(*[batch.column(c).to_pylist() for c in ("file", "block", "value")], strict=True):
                 if (file, block) != at:
                     out += left()
-                    at, open_parts, own = (file, block), [], False
+                    at, open_parts, own, number = (file, block), [], False, 0
                     depth, quoted, owner = shared.value[at]
                     state = Nesting(depth, quoted)
                 inside = state.depth > OUTSIDE
@@ -122,22 +126,22 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
                 if not inside and state.depth > OUTSIDE:
                     # Of what stands before a feature nothing is kept. At most one feature begins in a piece, since each ends with a brace.
                     piece = piece[_begin(piece, outside_text, state.depth, closed.end() if closed else 0) :]
-                    own = True
+                    own, number = True, number + 1
                 if inside or state.depth > OUTSIDE:
                     open_parts += [piece, PIECE_END]
                 state.closing()
                 if open_parts and not state.quoted and state.depth <= OUTSIDE:
-                    out.append((file, block if own else owner, block, own, "".join(open_parts)))
+                    out.append(part(own))
                     open_parts = []
             yield rows(out)
         if at is not None:
             yield rows(left())
 
-    found = pieces.mapInArrow(cut, "file string, owner bigint, block bigint, complete boolean, value string")
-    whole = found.where("complete").select("value")
+    found = pieces.mapInArrow(cut, "file string, owner bigint, block bigint, at bigint, complete boolean, value string")
+    whole = found.where("complete").select("file", "block", "at", "value")
     # A feature over several ranges has one part in each.
-    parts = found.where("NOT complete").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("block", "value"))).alias("parts"))
-    joined = parts.select(F.array_join(F.col("parts.value"), "").alias("value"))
+    parts = found.where("NOT complete").groupBy("file", "owner").agg(F.max("at").alias("at"), F.sort_array(F.collect_list(F.struct("block", "value"))).alias("parts"))
+    joined = parts.select("file", F.col("owner").alias("block"), "at", F.array_join(F.col("parts.value"), "").alias("value"))
     return whole.unionByName(joined).where(F.get_json_object("value", "$.type") == "Feature")
 
 

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import valid_dataset_key
 from ..functions.text import slug_text
-from .wide import read_wide
+from .wide import clean_header, infer_layout, normalized, read_table
 
 # File names of a layer folder, preferred first.
 DATA_FILES = ("data.parquet", "data.csv")
 GEO_FILES = ("geoinfo.parquet", "geoinfo.geojson")
 METADATA_FILE = "metadata.json"
 SINGLE_LAYER = "station"
+KEY_COLUMN = "__layer"
 BOUNDARY_SUFFIXES = (".shp", ".gpkg", ".geojson", ".json")
 
 
@@ -71,11 +72,67 @@ def layer_folders(
     return [f for f in found if f.metadata or not need_metadata]
 
 
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names and types of a layer's data, from the head of one file and without a job; text files have no types."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    file = folder
+    if fs.getFileStatus(folder).isDirectory():
+        parts = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+        if not parts:
+            raise ValueError(f"no data in {path}")
+        file = jvm.org.apache.hadoop.fs.Path(parts[0])
+    if path.lower().endswith(".csv"):
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(file), "UTF-8"))
+        try:
+            return (reader.readLine() or "",)
+        finally:
+            reader.close()
+    footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+    try:
+        return tuple(str(f) for f in footer.getFooter().getFileMetaData().getSchema().getFields())
+    finally:
+        footer.close()
+
+
+@dataclass(frozen=True)
+class LayerGroup:
+    """Layers whose data have one format and header, so that one scan reads them all."""
+
+    layers: tuple[LayerFolder, ...]
+    columns: tuple[str, ...]
+
+    @property
+    def id_column(self) -> str:
+        return infer_layout(self.columns).id_column
+
+
+def grouped_layers(spark: SparkSession, layers: Iterable[LayerFolder]) -> list[LayerGroup]:
+    """Layers by format and header; only heads of files are read."""
+    groups: dict[tuple, list[LayerFolder]] = {}
+    for layer in layers:
+        groups.setdefault((layer.data.rsplit(".", 1)[-1], header_of(spark, layer.data)), []).append(layer)
+    return [LayerGroup(tuple(own), tuple(read_table(spark, own[0].data).columns)) for own in groups.values()]
+
+
+def layer_key(layers: Sequence[LayerFolder], file: Column) -> Column:
+    """The layer a file belongs to: the folder above its data or features."""
+    if len(layers) == 1:
+        return F.lit(layers[0].dataset_key)
+    return F.regexp_extract(file, r"/([A-Za-z0-9_]+)/(?:data|geoinfo|metadata)\.[a-z]+(?:/|$)", 1)
+
+
 def read_layers(spark: SparkSession, layers: Iterable[LayerFolder]) -> DataFrame:
-    """All layers as one table; indices a layer lacks are null."""
-    frames = [
-        read_wide(spark, layer.data).select(F.lit(layer.dataset_key).alias("dataset_key"), "*") for layer in layers
-    ]
+    """All layers as one table; indices a layer lacks are null. One scan reads all layers of one format and header."""
+    frames = []
+    for group in grouped_layers(spark, layers):
+        csv = group.layers[0].data.lower().endswith(".csv")
+        reader = spark.read.option("header", True) if csv else spark.read
+        table = reader.format("csv" if csv else "parquet").load([layer.data for layer in group.layers])
+        named = table.select(layer_key(group.layers, F.col("_metadata.file_path")).alias(KEY_COLUMN), *[F.col(f"`{c}`") for c in table.columns])
+        named = named.toDF(KEY_COLUMN, *clean_header(table.columns))
+        frames.append(normalized(named, layout=infer_layout(clean_header(table.columns)), keep=(KEY_COLUMN,)).withColumnRenamed(KEY_COLUMN, "dataset_key"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -15,11 +15,26 @@ FEATURE = "struct<id:string,geometry:string,properties:map<string,string>>"
 RING = "array<array<double>>"
 
 
-def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+PLACE = "struct<file:string,block:bigint,at:bigint>"
+
+
+def read_features(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
     """Rows (id, geometry, properties) of feature collections, or (``lines``) of files with one feature per line; both split."""
+    return placed_features(spark, path, lines).drop("place")
+
+
+def placed_features(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """The same with ``place``, which orders features as they stand in their files."""
     if lines:
-        return spark.read.schema("id string, geometry string, properties map<string,string>").json(path)
-    return read_collection(spark, path).select(F.from_json("value", FEATURE).alias("f")).select("f.*")
+        rows = spark.read.schema("id string, geometry string, properties map<string,string>").json(path)
+        return rows.select("*", file_place().alias("place"))
+    rows = read_collection(spark, path).select(F.from_json("value", FEATURE).alias("f"), F.struct("file", "block", "at").cast(PLACE).alias("place"))
+    return rows.select("f.*", "place")
+
+
+def file_place() -> Column:
+    """The place of a row of a file source."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).cast(PLACE)
 
 
 def geometry_type(geometry: Column) -> Column:

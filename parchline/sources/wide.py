@@ -67,10 +67,11 @@ def month_of(layout: Layout) -> Column:
     return F.when(month.between(1, 12) & year.between(1, 9999), F.make_date(year, month, F.lit(1)))
 
 
-def normalized(table: DataFrame, indices: Sequence[str] | None = None, layout: Layout | None = None) -> DataFrame:
+def normalized(table: DataFrame, indices: Sequence[str] | None = None, layout: Layout | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Rows keyed by (feature_id, date) with double index columns.
 
-    Rows without id or month are dropped; declared indices the file lacks are null.
+    Rows without id or month are dropped; declared indices the file lacks are null. Columns in
+    ``keep`` are carried along.
     """
     plan = layout or infer_layout(table.columns)
     by_lower = {c.lower(): c for c in reversed(table.columns)}
@@ -80,7 +81,7 @@ def normalized(table: DataFrame, indices: Sequence[str] | None = None, layout: L
         for i in wanted
     ]
     return table.select(
-        F.col(f"`{plan.id_column}`").cast("string").alias("feature_id"), month_of(plan).alias("date"), *columns
+        *keep, F.col(f"`{plan.id_column}`").cast("string").alias("feature_id"), month_of(plan).alias("date"), *columns
     ).where(F.col("feature_id").isNotNull() & F.col("date").isNotNull())
 
 

@@ -186,3 +186,24 @@ def test_repeated_features_are_written_in_many_files(spark, tmp_path, monkeypatc
     names = [r["name"] for r in W.import_repeated_features(spark, "").collect()]
     assert len(names) == every.count() and all(n.startswith("last ") for n in names)
     assert len([p for p in (tmp_path / "twice").glob("part-*") if p.stat().st_size]) > 1
+
+
+def test_many_layers_take_as_many_jobs_as_one(spark, tmp_path):
+    """200 layers of two headers: plan branches and jobs follow the headers, not the layers."""
+    for i in range(200):
+        place = tmp_path / "many" / f"layer_{i}"
+        place.mkdir(parents=True)
+        (place / "data.csv").write_text("station_id,date,SPI3\n" + f"a,2000-01-15,{i}\n" if i % 2 else "code,year,month,level\n" + f"a,2000,1,{i}\n", encoding="utf-8")
+        (place / "geoinfo.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"station_id" if i % 2 else "code": "a"}, "geometry": {"type": "Point", "coordinates": [i / 10, 1]}}]}))
+        if i % 3 == 0:
+            (place / "metadata.json").write_text(json.dumps({"title": f"Layer {i}"}))
+    found = D.layer_folders(spark, str(tmp_path / "many"))
+    table = D.read_layers(spark, found)
+    assert len(found) == 200 and len(D.grouped_layers(spark, found)) == 2
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    got = {r["dataset_key"]: (r["spi3"], r["level"]) for r in table.collect()}
+    assert got == {f"layer_{i}": (float(i), None) if i % 2 else (None, float(i)) for i in range(200)}
+    store = TableStore(spark, str(tmp_path / "catalog"))
+    import_layers(store, str(tmp_path / "many"), trends=False)
+    assert {(r["dataset_key"], r["feature_id"], r["minx"]) for r in store.read("features").collect()} == {(f"layer_{i}", "a", i / 10) for i in range(200)}
+    assert {(r["dataset_key"], r["title"], r["geom_type"]) for r in store.read("datasets").collect()} == {(f"layer_{i}", f"Layer {i}" if i % 3 == 0 else f"layer_{i}", "Point") for i in range(200)}
