@@ -98,6 +98,39 @@ def map_clusters(points: DataFrame, zoom: int, value: str = "value", keys: Seque
     )
 
 
+def cluster_pyramid(points: DataFrame, zooms: Sequence[int], value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """The clusters of ``map_clusters`` at all zooms, from one pass over the points.
+
+    Where zooms share a cell size, a cell holds exactly four of the next zoom. So points are added up once per size, in the cells of its
+    deepest zoom, and the sums of these cells make all coarser ones.
+    """
+    deepest = {}
+    for zoom in zooms:
+        pixels = cluster_pixels(zoom)
+        deepest[pixels] = max(zoom, deepest.get(pixels, zoom))
+    cell = lambda at, zoom, pixels: F.floor(at / pixels).cast("bigint")
+    sizes = F.array(*[
+        F.struct(F.lit(z).alias("deep"), cell(mercator_x(F.col("lon"), z), z, p).alias("x"), cell(mercator_y(F.col("lat"), z), z, p).alias("y")) for p, z in deepest.items()
+    ])
+    placed = points.select(*keys, "lat", "lon", F.col(value).alias("_value"), F.explode(sizes).alias("cell"))
+    sums = {"features": F.count("*"), "_lat": F.sum("lat"), "_lon": F.sum("lon"), "_sum": F.sum("_value"), "_with": F.count("_value")}
+    ends = {"minx": F.min("lon"), "miny": F.min("lat"), "maxx": F.max("lon"), "maxy": F.max("lat")}
+    fine = placed.groupBy(*keys, "cell.deep", "cell.x", "cell.y").agg(*[e.alias(n) for n, e in {**sums, **ends}.items()])
+    shared = {z: F.array(*[F.lit(other) for other in sorted(set(zooms)) if cluster_pixels(other) == p]) for p, z in deepest.items()}
+    levels = F
+    for deep, own in shared.items():
+        levels = levels.when(F.col("deep") == deep, own)
+    spread = fine.withColumn("zoom", F.explode(levels))
+    halved = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("deep") - F.col("zoom"))).cast("bigint")
+    coarse = spread.groupBy(*keys, "zoom", halved("x").alias("cell_x"), halved("y").alias("cell_y")).agg(
+        *[F.sum(n).alias(n) for n in sums], *[f(n).alias(n) for f, n in zip((F.min, F.min, F.max, F.max), ends, strict=True)]
+    )
+    return coarse.select(
+        *keys, "zoom", "cell_x", "cell_y", "features", (F.col("_lat") / F.col("features")).alias("lat"), (F.col("_lon") / F.col("features")).alias("lon"),
+        F.when(F.col("_with") > 0, F.col("_sum") / F.col("_with")).alias("mean_value"), *ends,
+    )
+
+
 def with_radius(points: DataFrame, keys: Sequence[str] = ("dataset_key", "date"), value: str = "value") -> DataFrame:
     """Marker radius between 4 and 14 from the value's place in its group's range."""
     limits = points.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))

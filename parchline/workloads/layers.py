@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C, classes, geo, keys as K, numeric, props as P, text as X
-from ..operators import overview as O, series as S, trend as T, upsert as U
+from ..operators import overview as O, search, series as S, trend as T, upsert as U
 from ..operators.boxes import seeded_series
 from ..operators.station import matches_reference
 from ..plans.catalog import Catalog
+from ..session import scratch_path
+from ..sources.layout import LaidOutFeatures, hilbert_cell
 from . import sqltext as Q
 from .base import (
     daily, dataset_models, datasets, features, flow, obs, query, rnd, rounded, seasonal, table, targets, wide,
@@ -251,9 +253,16 @@ def map_attributes(spark, folder):
     WHERE contains(lower(coalesce(name, '') || '|' || coalesce(country, '') || '|' || coalesce(province, '') || '|' || feature_id || '|' || s_acctbal), '_1')
        OR contains(feature_id, '_1')""")
 def feature_search(spark, folder):
+    """Searched through the places of short strings; the features' texts are read once, to lay these out."""
     p = F.col("props")
-    hit = X.contains_query(" _1 ", F.col("name"), P.country(p), P.province(p), F.col("feature_id"), F.concat_ws(" ", F.map_values(p)))
-    return features(spark, folder).where(hit).select(*KEYS)
+    texts = [F.col("name"), P.country(p), P.province(p), F.col("feature_id"), F.concat_ws(" ", F.map_values(p))]
+    return _searched(spark, features(spark, folder), texts, " _1 ").select(*KEYS)
+
+
+def _searched(spark, rows, texts, wanted):
+    path = scratch_path(spark, "postings")
+    search.write_postings(search.postings(rows, texts), path)
+    return search.found_features(spark.read.parquet(path), wanted)
 
 
 @query("reference_filter", views="features", sql="""
@@ -530,8 +539,19 @@ def map_forecast_override(spark, folder):
 
 @query("feature_page", views="features", sql="SELECT dataset_key, feature_id, count(*) OVER () AS total, count(*) OVER () > 8 AS truncated FROM features WHERE dataset_key = 'asia' ORDER BY feature_id LIMIT 5 OFFSET 3")
 def feature_page(spark, folder):
-    asia = features(spark, folder).where(F.col("dataset_key") == "asia").select(*KEYS)
-    return O.page(asia, "feature_id", 5, 3)
+    """From the files that hold the page, of features laid out by key."""
+    laid = LaidOutFeatures(spark, scratch_path(spark, "by_key"))
+    laid.write(features(spark, folder).select(*KEYS), KEYS, files=12)
+    return laid.page("asia", 5, 3)
+
+
+@query("features_in_box", views="features", sql="SELECT dataset_key, feature_id FROM features WHERE dataset_key = 'asia' AND minx <= 20.5 AND maxx >= -60 AND miny <= 50 AND maxy >= -30")
+def features_in_box(spark, folder):
+    """From the files that meet the box, of features laid out along a Hilbert curve."""
+    laid = LaidOutFeatures(spark, scratch_path(spark, "by_place"))
+    centre = hilbert_cell((F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2)
+    laid.write(features(spark, folder).select(*KEYS, "minx", "miny", "maxx", "maxy"), ["dataset_key", centre, "feature_id"], files=12)
+    return laid.in_box("asia", (-60.0, -30.0, 20.5, 50.0)).select(*KEYS)
 
 
 @query("large_feature_page", sql="""
@@ -609,6 +629,21 @@ def map_clusters(spark, folder):
     return rounded(O.map_clusters(_map_points(spark, folder), 3), "lat", "lon", "mean_value", "minx", "miny", "maxx", "maxy")
 
 
+def _clusters_sql(zoom: int) -> str:
+    grid = f"256 * {2**zoom} / {geo.cluster_pixels(zoom)}"
+    return f"""SELECT {zoom} AS zoom, CAST(floor((lon / 360 + 5e-1) * {grid}) AS BIGINT) AS cell_x, CAST(floor((5e-1 - ln((1 + s) / (1 - s)) / (4 * pi())) * {grid}) AS BIGINT) AS cell_y,
+        count(*) AS features, {rnd("avg(lat)")} AS lat, {rnd("avg(lon)")} AS lon, {rnd("avg(spi3)")} AS mean_value,
+        {rnd("min(lon)")} AS minx, {rnd("min(lat)")} AS miny, {rnd("max(lon)")} AS maxx, {rnd("max(lat)")} AS maxy FROM p GROUP BY 2, 3"""
+
+
+@query("map_cluster_pyramid", views="features wide", sql=f"""
+    WITH p AS (SELECT lon, lat, spi3, sin(radians(lat)) AS s FROM features f LEFT JOIN wide w ON w.feature_id = f.feature_id AND w.date = DATE '1998-03-01')
+    {" UNION ALL ".join(_clusters_sql(zoom) for zoom in range(19))}""")
+def map_cluster_pyramid(spark, folder):
+    """The clusters of every zoom of the map at once."""
+    return rounded(O.cluster_pyramid(_map_points(spark, folder), range(19)), "lat", "lon", "mean_value", "minx", "miny", "maxx", "maxy")
+
+
 @query("marker_radius", views="wide", sql=f"""
     WITH r AS (SELECT *, min(precip) OVER w AS lo, max(precip) OVER w AS hi FROM wide WINDOW w AS (PARTITION BY dataset_key, date))
     SELECT dataset_key, feature_id, date, {rnd("CASE WHEN hi <= lo THEN 8 ELSE 4 + 10 * (precip - lo) / (hi - lo) END")} AS radius FROM r""")
@@ -622,8 +657,10 @@ def marker_radius(spark, folder):
     WHERE contains(lower(coalesce(name, feature_id)), '1') OR contains(feature_id, '1')
     ORDER BY starts, name, feature_id LIMIT 8""")
 def search_suggestions(spark, folder):
-    named = features(spark, folder).select("feature_id", F.coalesce("name", "feature_id").alias("name"))
-    return O.suggestions(named, "1", X.contains_query("1", F.col("name"), F.col("feature_id")), 8)
+    named = features(spark, folder).select(*KEYS, F.coalesce("name", "feature_id").alias("name"))
+    found = _searched(spark, named, [F.col("name"), F.col("feature_id")], "1")
+    hits = named.join(found, list(KEYS)).select("feature_id", "name")
+    return O.suggestions(hits, "1", F.lit(True), 8)
 
 
 # -- series of the catalog -----------------------------------------------------------
