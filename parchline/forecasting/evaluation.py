@@ -79,6 +79,9 @@ def exact_quantile(rows: DataFrame, groups: Sequence[str], value: str, q: float,
     return picked.select(*groups, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))
 
 
+EVERY_LAYER = "all"
+
+
 def _residual_spreads(residual: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Per group: the quantile rule and the RMSE rule (null where there are too few rows)."""
     base = residual.groupBy(*groups).agg(
@@ -108,8 +111,11 @@ def interval_spreads(pairs: DataFrame, history: DataFrame, horizon: int = HORIZO
         .where(F.col("_abs").isNotNull())
         .checkpoint()
     )
-    own = _residual_spreads(residual, ["dataset_key", "lead_month"])
-    pooled = _residual_spreads(residual, ["lead_month"]).select(
+    # Every residual counts for its layer and for all layers together; both are bracketed and ordered in one pass.
+    scopes = residual.withColumn("scope", F.explode(F.array(F.concat(F.lit("layer "), "dataset_key"), F.lit(EVERY_LAYER))))
+    spreads = _residual_spreads(scopes, ["scope", "lead_month"]).checkpoint()
+    own = spreads.where(F.col("scope") != EVERY_LAYER).withColumn("dataset_key", F.expr("substring(scope, 7)")).drop("scope")
+    pooled = spreads.where(F.col("scope") == EVERY_LAYER).select(
         "lead_month", F.col("by_quantile").alias("pooled_quantile"), F.col("by_rmse").alias("pooled_rmse")
     )
     sigma = F.stddev_pop("y")

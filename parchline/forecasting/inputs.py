@@ -68,17 +68,25 @@ def with_helpers(
 ) -> DataFrame:
     """Join helpers by month and fill gaps: calendar-month mean, then median, then 0.
 
-    A helper a layer hardly has is 0 throughout that layer. Means and medians are
-    aggregates joined back (few rows per layer), not windows over whole layers.
+    A helper a layer hardly has is 0 throughout that layer. Means, medians and shares come from the number of rows of each layer and month
+    (few rows per layer), so the joined rows are made once.
     """
-    joined = frame.join(predictors.select(*on, *helpers), list(on), "left").withColumn("_cal", F.month("date"))
-    monthly = joined.groupBy("dataset_key", "_cal").agg(*[F.avg(h).alias(f"_m_{h}") for h in helpers])
-    # A helper has one value per month, so the exact median sees few distinct values.
-    layer = joined.groupBy("dataset_key").agg(
-        *[F.median(h).alias(f"_d_{h}") for h in helpers],
-        *[F.avg(F.col(h).isNotNull().cast("double")).alias(f"_c_{h}") for h in helpers],
+    values = predictors.select(*on, *helpers)
+    # Rows of a layer and month share their helpers, so layers are described by a few counts.
+    counted = frame.groupBy(*dict.fromkeys(["dataset_key", *on, "date"])).agg(F.count("*").alias("_n")).join(values, list(on), "left").withColumn("_cal", F.month("date"))
+    n = F.col("_n")
+
+    def known(h: str) -> Column:
+        return F.sum(F.when(F.col(h).isNotNull(), n))
+
+    monthly = counted.groupBy("dataset_key", "_cal").agg(*[(F.sum(F.col(h) * n) / known(h)).alias(f"_m_{h}") for h in helpers])
+    layer = counted.groupBy("dataset_key").agg(
+        *[F.percentile(F.col(h), F.lit(0.5), F.when(F.col(h).isNotNull(), n).otherwise(F.lit(0))).alias(f"_d_{h}") for h in helpers],
+        *[(F.coalesce(known(h), F.lit(0)) / F.sum(n)).alias(f"_c_{h}") for h in helpers],
     )
-    filled = joined.join(monthly, ["dataset_key", "_cal"]).join(layer, ["dataset_key"])
+    facts = monthly.join(layer, "dataset_key")
+    joined = frame.join(values, list(on), "left").withColumn("_cal", F.month("date"))
+    filled = joined.join(facts, ["dataset_key", "_cal"])
 
     def fill(h: str) -> Column:
         value = F.coalesce(h, f"_m_{h}", f"_d_{h}", F.lit(0.0))

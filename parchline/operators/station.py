@@ -37,10 +37,9 @@ def latest_per_day(rows: DataFrame) -> DataFrame:
     return newest_per_key(rows, ["station_id", "date"], "seq")
 
 
-def dropped_duplicates(rows: DataFrame) -> DataFrame:
-    """How many rows ``latest_per_day`` leaves out (one row)."""
-    per_day = rows.groupBy("station_id", "date").agg(F.count("*").alias("n"))
-    return per_day.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+def dropped_duplicates(days: DataFrame) -> DataFrame:
+    """How many rows were left out of days that count their ``recorded`` rows (one row)."""
+    return days.agg(F.coalesce(F.sum(F.col("recorded") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def station_profiles(days: DataFrame) -> DataFrame:
@@ -78,9 +77,9 @@ def monthly_precipitation(days: DataFrame, minimum_coverage: float = 0.8) -> Dat
     )
 
 
-def run_counters(raw: DataFrame, monthly: DataFrame, modes: DataFrame) -> DataFrame:
+def run_counters(days: DataFrame, monthly: DataFrame, modes: DataFrame) -> DataFrame:
     """One row of counts that describe a run."""
-    dupes = dropped_duplicates(raw).scalar()
+    dupes = dropped_duplicates(days).scalar()
     failures = monthly.select(F.count_if(F.col("precip").isNull())).scalar()
     return modes.agg(
         F.count("*").alias("feature_count"),

@@ -260,9 +260,10 @@ class Catalog:
     def prediction_summary(self, level: str, index_name: str, method: str | None = None) -> DataFrame:
         """One row per method: model, versions, freshness, realized errors, evaluation."""
         index_name = require_index(self.series.columns, index_name)
-        mine = self.dataset_models.where(same_key(F.col("dataset_key"), level) & (F.col("index_name") == index_name))
+        here = same_key(F.col("dataset_key"), level) & (F.col("index_name") == index_name)
         if method:
-            mine = mine.where(F.col("method_name") == method.strip().lower())
+            here = here & (F.col("method_name") == method.strip().lower())
+        mine = self.dataset_models.where(here)
         observed = self._values(level, index_name).where(F.col("value").isNotNull()).groupBy("dataset_key").agg(
             F.max("date").alias("observed_max")
         )
@@ -282,10 +283,10 @@ class Catalog:
             )
             out = out.join(counted, "model_key", "left").fillna({"version_count": 0})
         if self.feedback is not None:
-            out = out.join(feedback_summary(self.feedback), method_key, "left").fillna({"feedback_count": 0})
+            out = out.join(feedback_summary(self.feedback.where(here)), method_key, "left").fillna({"feedback_count": 0})
         if self.evaluation is not None:
             fields = [c for c in self.evaluation.columns if c not in method_key]
-            leads = self.evaluation.groupBy(*method_key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("evaluation"))
+            leads = self.evaluation.where(here).groupBy(*method_key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("evaluation"))
             out = out.join(leads, method_key, "left")
         return out.orderBy(method_rank(F.col("method_name")), "method_name")
 

@@ -12,10 +12,13 @@ from ..functions.keys import checked_scales, named_at, scale_place
 from ..operators.series import on_common_months
 from ..operators.standardize import standardized_index, with_reference_mode
 from ..operators.station import (
-    clean_observations, latest_per_day, monthly_precipitation, reference_label, run_counters, station_profiles,
+    clean_observations, monthly_precipitation, reference_label, run_counters, station_profiles,
 )
 
+from ..session import ensure_checkpoint_dir
+
 STATION = ("feature_id",)
+DAY_COLUMNS = ("station_name", "lon", "lat", "station_elevation", "precip_mm")
 
 
 @dataclass(frozen=True)
@@ -45,13 +48,25 @@ class StationRun:
         )
 
 
-def station_index(raw: DataFrame, run: StationRun) -> DataFrame:
+def station_days(raw: DataFrame, columns: Sequence[str] = DAY_COLUMNS, shared: bool = False) -> DataFrame:
+    """One row per station and day, the one recorded last, with ``recorded``, the number of valid rows of the day.
+
+    ``columns`` are carried along, so an index alone asks for the precipitation only. ``shared`` days are kept in the
+    shared folder: index, features and counters of a run then read the raw rows once.
+    """
+    rows = clean_observations(raw).select("station_id", "date", "seq", *columns)
+    newest = F.max_by(F.struct(*columns), "seq").alias("newest")
+    days = rows.groupBy("station_id", "date").agg(newest, F.max("seq").alias("seq"), F.count("*").alias("recorded"))
+    days = days.select("station_id", "date", "seq", "recorded", *[f"newest.{c}" for c in columns])
+    if shared:
+        ensure_checkpoint_dir(raw.sparkSession)
+        days = days.checkpoint()
+    return days
+
+
+def station_index(days: DataFrame, run: StationRun) -> DataFrame:
     """Monthly precipitation and one index column per scale, on one range of months."""
-    # Only what the months need goes through the de-duplication.
-    rows = clean_observations(raw).select("station_id", "date", "precip_mm", "seq")
-    monthly = monthly_precipitation(latest_per_day(rows), run.minimum_coverage).select(
-        F.col("station_id").alias("feature_id"), "date", "precip"
-    )
+    monthly = monthly_precipitation(days, run.minimum_coverage).select(F.col("station_id").alias("feature_id"), "date", "precip")
     complete = on_common_months(monthly, STATION, ["precip"])
     moded = with_reference_mode(
         complete, STATION, run.reference_start, run.reference_end, run.minimum_years, run.fallback, "precip"
@@ -65,9 +80,8 @@ def station_index(raw: DataFrame, run: StationRun) -> DataFrame:
     )
 
 
-def station_features(raw: DataFrame, indexed: DataFrame, run: StationRun) -> DataFrame:
+def station_features(days: DataFrame, indexed: DataFrame, run: StationRun) -> DataFrame:
     """Feature rows of the stations with their reference mode."""
-    days = latest_per_day(clean_observations(raw))
     modes = indexed.groupBy(*STATION).agg(F.first("reference_mode").alias("reference_mode"))
     profiles = station_profiles(days).withColumnRenamed("station_id", "feature_id")
     mode = F.coalesce("reference_mode", F.lit("configured"))
@@ -80,11 +94,10 @@ def station_features(raw: DataFrame, indexed: DataFrame, run: StationRun) -> Dat
     )
 
 
-def station_counters(raw: DataFrame, indexed: DataFrame, run: StationRun) -> DataFrame:
-    rows = clean_observations(raw).select("station_id", "date", "precip_mm", "seq")
-    monthly = monthly_precipitation(latest_per_day(rows), run.minimum_coverage)
+def station_counters(days: DataFrame, indexed: DataFrame, run: StationRun) -> DataFrame:
+    monthly = monthly_precipitation(days, run.minimum_coverage)
     modes = indexed.groupBy(*STATION).agg(F.first("reference_mode").alias("reference_mode"))
-    return run_counters(rows, monthly, modes)
+    return run_counters(days, monthly, modes)
 
 
 def layer_metadata(data: DataFrame, features: DataFrame, facts: Mapping[str, object]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_area_m2
 from ..operators import predictors as R, station as D, zonal as G
 from ..plans import polygon_index as L
-from ..plans.station_index import StationRun, layer_metadata, station_counters, station_features, station_index, write_layer
+from ..plans.station_index import StationRun, layer_metadata, station_counters, station_days, station_features, station_index, write_layer
 from ..session import scratch_path
 from ..sources.store import TableStore
 from . import sqltext as Q
@@ -63,8 +63,8 @@ GAUGE_RUN = StationRun("gauges_spi3", "Gauges SPI-3", (3,), "1996-01-01", "2000-
     SELECT (SELECT sum(n - 1)::BIGINT FROM per_day) AS duplicate_rows, (SELECT count(*) FROM months WHERE v IS NULL) AS coverage_failures,
            count(*) AS feature_count, count(*) FILTER (WHERE good < 12) AS fallback_count, 0::BIGINT AS insufficient_count FROM ok""")
 def run_counters(spark, folder):
-    raw = gauges(spark, folder)
-    return station_counters(raw, station_index(raw, GAUGE_RUN), GAUGE_RUN)
+    days = station_days(gauges(spark, folder), ("precip_mm",), shared=True)
+    return station_counters(days, station_index(days, GAUGE_RUN), GAUGE_RUN)
 
 
 @query("station_layer_written", views="gauges", sql="""
@@ -73,9 +73,9 @@ def run_counters(spark, folder):
            count(DISTINCT station_id) * (date_diff('month', date_trunc('month', min(date)), date_trunc('month', max(date))) + 1) AS data_rows FROM gauges""")
 def station_layer_written(spark, folder):
     """Write a station layer and read its metadata back, with the number of data rows."""
-    raw = gauges(spark, folder)
-    data = station_index(raw, GAUGE_RUN)
-    places = station_features(raw, data, GAUGE_RUN)
+    days = station_days(gauges(spark, folder), shared=True)
+    data = station_index(days, GAUGE_RUN)
+    places = station_features(days, data, GAUGE_RUN)
     facts = {"dataset_key": GAUGE_RUN.dataset_key, "scale": 3, "available_indices": ["spi3", "precip"]}
     target = scratch_path(spark, "layer")
     write_layer(target, data.drop("reference_mode"), places, layer_metadata(data, places, facts))

@@ -313,3 +313,17 @@ def repeated_series_keys(spark, folder):
     rows = wide(spark, folder)
     again = rows.where(F.col("date") == F.lit("1999-01-01").cast("date"))
     return duplicated_keys(rows.unionByName(again), [*KEYS, "date"])
+
+
+@query("expanded_inputs", sql="""
+    SELECT DISTINCT event_type, CAST(year(ts) AS INTEGER) AS year FROM events""")
+def expanded_inputs(spark, folder):
+    """A folder, a glob and a file list over the events' files, each file listed once however many of them name it."""
+    path = scratch_path(spark, "inputs")
+    kinds = table(spark, folder, "events").select("event_type", F.year("ts").alias("year"), "event_id")
+    kinds.write.partitionBy("event_type", "year").parquet(path)
+    files = D.input_files(spark, [path, f"{path}/event_type=*", f"{path}/event_type=*/year=*"], "*.parquet")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    listed = files.select(part("event_type").alias("event_type"), part("year").cast("int").alias("year"), "path")
+    once = listed.groupBy("event_type", "year").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+    return once.where("n = paths").select("event_type", "year")

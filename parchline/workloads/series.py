@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..operators import asof, series as S, standardize as Z, trend as T
-from ..plans.station_index import StationRun, station_index
+from ..plans.station_index import StationRun, station_days, station_index
 from . import sqltext as Q
 from .base import CUTOFF, flow, gauges, obs, query, rnd, rounded, seasonal, targets, wide
 
@@ -133,7 +133,7 @@ def reference_mode(spark, folder):
 def station_index_query(spark, folder):
     """Daily station rows to an index: dedupe, months, coverage, spine, reference choice, index."""
     run = StationRun("gauges_spi3", "Gauges", (3,), "1996-01-01", "2000-12-31", 5, 0.1)
-    out = station_index(gauges(spark, folder), run)
+    out = station_index(station_days(gauges(spark, folder), ("precip_mm",)), run)
     typed = out.withColumns({"spi3": F.col("spi3").cast("double"), "precip": F.col("precip").cast("double")})
     return rounded(typed, "spi3", digits=5)
 
