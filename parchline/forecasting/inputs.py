@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,31 +70,24 @@ def with_helpers(
     """Join helpers by month and fill gaps: calendar-month mean, then median, then 0.
 
     A helper a layer hardly has is 0 throughout that layer. Means, medians and shares come from the number of rows of each layer and month
-    (few rows per layer), so the joined rows are made once.
+    (few rows per layer), and the rows are joined once.
     """
-    values = predictors.select(*on, *helpers)
-    # Rows of a layer and month share their helpers, so layers are described by a few counts.
-    counted = frame.groupBy(*dict.fromkeys(["dataset_key", *on, "date"])).agg(F.count("*").alias("_n")).join(values, list(on), "left").withColumn("_cal", F.month("date"))
-    n = F.col("_n")
-
-    def known(h: str) -> Column:
-        return F.sum(F.when(F.col(h).isNotNull(), n))
-
-    monthly = counted.groupBy("dataset_key", "_cal").agg(*[(F.sum(F.col(h) * n) / known(h)).alias(f"_m_{h}") for h in helpers])
-    layer = counted.groupBy("dataset_key").agg(
-        *[F.percentile(F.col(h), F.lit(0.5), F.when(F.col(h).isNotNull(), n).otherwise(F.lit(0))).alias(f"_d_{h}") for h in helpers],
-        *[(F.coalesce(known(h), F.lit(0)) / F.sum(n)).alias(f"_c_{h}") for h in helpers],
-    )
-    facts = monthly.join(layer, "dataset_key")
-    joined = frame.join(values, list(on), "left").withColumn("_cal", F.month("date"))
-    filled = joined.join(facts, ["dataset_key", "_cal"])
+    keys = list(dict.fromkeys(["dataset_key", "date", *on]))
+    n, month, layer = F.col("_n"), Window.partitionBy("dataset_key", F.month("date")), Window.partitionBy("dataset_key")
+    # Rows of a layer and month share their helpers, so what fills a gap is found from one row for each of them.
+    counted = frame.groupBy(*keys).agg(F.count("*").alias("_n")).join(predictors.select(*on, *helpers), list(on), "left")
 
     def fill(h: str) -> Column:
-        value = F.coalesce(h, f"_m_{h}", f"_d_{h}", F.lit(0.0))
-        return F.when(F.col(f"_c_{h}") < minimum, F.lit(0.0)).otherwise(value).alias(h)
-
-    others = [c for c in frame.columns if c not in helpers]
-    return filled.select(*others, *[fill(h) for h in helpers])
+        known = F.when(F.col(h).isNotNull(), n).otherwise(F.lit(0))
+        rows = F.sum(known).over(month)
+        mean = F.when(rows > 0, F.sum(F.col(h) * n).over(month) / rows)
+        middle = F.percentile(F.col(h), F.lit(0.5), known).over(layer)
+        share = F.sum(known).over(layer) / F.sum(n).over(layer)
+        return F.when(share < minimum, F.lit(0.0)).otherwise(F.coalesce(h, mean, middle, F.lit(0.0))).alias(h)
+
+    filled = counted.select(*[F.col(k).alias(f"_{k}") for k in keys], *[fill(h) for h in helpers])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return frame.drop(*helpers).join(filled, same).drop(*[f"_{k}" for k in keys])
 
 
 def scaling(frame: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:

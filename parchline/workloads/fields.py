@@ -227,6 +227,19 @@ def polygon_index(spark, folder):
     return rounded(rounded(out.withColumn("spi3", F.col("spi3").cast("double")), "spi3", digits=5), "value")
 
 
+@query("daily_zonal_mean", views="boxes grid", sql=f"""
+    WITH {COVERED},
+    whole AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS date FROM grid GROUP BY 1 HAVING count(DISTINCT CAST(ts AS DATE)) = day(last_day(min(CAST(ts AS DATE))))),
+    monthly AS (SELECT lat_idx * 20 + lon_idx AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, sum(value) AS value FROM grid GROUP BY 1, 2)
+    SELECT 'boxes' AS layer_key, feature_id, date, {rnd("CAST(CAST(sum(weight * value) / sum(weight) FILTER (WHERE value IS NOT NULL) AS FLOAT) AS DOUBLE)")} AS value
+    FROM weights JOIN monthly USING (cell_id) WHERE feature_id IN (SELECT feature_id FROM shares WHERE spatial_coverage >= 8e-1) AND date IN (SELECT date FROM whole) GROUP BY 1, 2, 3""")
+def daily_zonal_mean(spark, folder):
+    """A grid of daily slices through the polygon plan: only months with every day have values."""
+    layer = _polygons(spark, folder).withColumn("layer_key", F.lit("boxes"))
+    weights, _, _ = L.layer_weights(layer, SPEC, 0.8)
+    return rounded(L.monthly_zonal(grid(spark, folder), weights, SPEC, daily=True), "value")
+
+
 @query("polygon_layers_written", views="boxes grid", sql=f"""
     WITH {COVERED},
     monthly AS (SELECT lat_idx * 20 + lon_idx AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, sum(value) AS value FROM grid GROUP BY 1, 2),

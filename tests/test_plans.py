@@ -2,6 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+from parchline.forecasting.inputs import with_helpers
+from parchline.plans.station_index import StationRun, station_counters, station_days, station_features, station_index
+
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +68,42 @@ def test_hot_layer_spreads_over_files(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert store.read("series").select(F.input_file_name()).distinct().count() > 1
     assert store.read("series").count() == 40000
+
+
+def frames_read(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_helpers_join_the_rows_once(spark, tmp_path):
+    """The frame is read for its counts and for its rows; gaps are filled as from the joined rows."""
+    rows = [("a" if i % 3 else "b", f"f{i % 5}", dt.date(2000 + i // 60, i // 5 % 12 + 1, 1), float(i)) for i in range(300)]
+    spark.createDataFrame(rows, "dataset_key string, feature_id string, date date, y double").write.parquet(str(tmp_path / "frame"))
+    helpers = [(dt.date(2000 + i // 12, i % 12 + 1, 1), None if i % 7 == 0 or i % 12 == 3 else float(i), 1.0 if i == 5 else None) for i in range(60)]
+    spark.createDataFrame(helpers, "date date, rain double, rare double").write.parquet(str(tmp_path / "helpers"))
+    frame, predictors = (spark.read.parquet(str(tmp_path / n)) for n in ("frame", "helpers"))
+    found = with_helpers(frame, predictors, ["rain", "rare"], minimum=0.2)
+    assert frames_read(found, "Relation [dataset_key") == 2 and frames_read(found, "Relation [date") == 1
+    known = {d: (a, b) for d, a, b in helpers}
+    joined = [(k, f, d, *known.get(d, (None, None))) for k, f, d, _ in rows]
+    for r in found.collect():
+        own = [j for j in joined if j[0] == r["dataset_key"]]
+        month = [j[3] for j in own if j[2].month == r["date"].month and j[3] is not None]
+        values = [j[3] for j in own if j[3] is not None]
+        wanted = known.get(r["date"], (None, None))[0]
+        wanted = wanted if wanted is not None else float(np.mean(month)) if month else float(np.median(values))
+        assert abs(r["rain"] - wanted) < 1e-9 and r["rare"] == 0.0
+
+
+def test_station_runs_read_the_raw_rows_once(spark, tmp_path):
+    rows = [("s", "S", 1.0, 2.0, None, dt.date(2000, 1, 1 + i // 2), float(i), i) for i in range(40)]
+    spark.createDataFrame(rows, "station_id string, station_name string, lon double, lat double, station_elevation double, date date, precip_mm double, seq bigint").write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    run = StationRun("s_spi1", "S", (1,), minimum_years=1)
+    days = station_days(raw, shared=True)
+    index = station_index(days, run)
+    for made in (index, station_features(days, index, run), station_counters(days, index, run)):
+        assert frames_read(made, "parquet") == 0
+    counters = station_counters(days, index, run).first()
+    assert counters["duplicate_rows"] == 20 and station_features(days, index, run).first()["daily_rows"] == 20
+    alone = station_days(raw, ("precip_mm",))
+    assert "station_name" not in alone._jdf.queryExecution().executedPlan().toString()
