@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .records import DESCRIPTION, described, in_parts, schema_of, written
+from .records import DESCRIPTION, described, in_parts, release_memory, schema_of, written
 from .words import KNOWN_WORDS, Words
 
 WINDOW = 2048
 END = 1
 SHARD_ROWS = 100_000
+# Text tokenized together; the arrays of a part take some thirty times as much.
+BATCH_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +115,9 @@ def pack_descriptions(
     texts = described(features, attribute)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         words, last = words_of(tokenizer_file, known_words), np.array([end], "<u4").tobytes()
-        for batch in in_parts(batches):
+        for batch in in_parts(batches, most=BATCH_BYTES):
             # Equal texts of a batch are tokenized once.
             texts = batch.column("text").dictionary_encode()
             pieces = []

@@ -7,6 +7,7 @@ stored tables; any orderable type works and comes back unchanged.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -48,6 +49,12 @@ def in_parts(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
             yield batch.slice(start)
 
 
+def release_memory() -> None:
+    """Gives what earlier work of this Python worker has freed back to the system; workers serve many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def schema_of(df: DataFrame, keep: tuple[str, ...], *fields: tuple[str, DataType]) -> StructType:
     """Schema with the columns ``keep`` of ``df`` followed by new fields."""
     return StructType([df.schema[c] for c in keep] + [StructField(n, t) for n, t in fields])

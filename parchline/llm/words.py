@@ -71,12 +71,15 @@ class Words:
             known.clear()
         known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_WORD)
         pool = np.frombuffer(b"".join(parts), np.uint32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
+        # A part of some megabytes has fewer ids than 32 bits can count.
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         place = coded.indices.to_numpy()
         own = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = pool[np.repeat(starts[place] - ends[:-1], own) + np.arange(ends[-1])]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(own, dtype=np.int32)])
+        at = np.repeat(starts[place] - ends[:-1], own)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[at]
         bounds = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for row in whole:
