@@ -22,6 +22,7 @@ LEAST_SCORE = 0.3
 SIZE = "n_chars"
 # Workers still hold memory of the earlier stages, so this stage keeps fewer words; the result is the same.
 PACKING_WORDS = 300_000
+PACKING_BYTES = 1 << 20
 
 
 def as_features(docs: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into sequences of at most 2048 tokens."""
-    found = pack_descriptions(as_features(docs), public_tokenizers.path("byte_bpe_50k.json"), known_words=PACKING_WORDS)
+    found = pack_descriptions(as_features(docs), public_tokenizers.path("byte_bpe_50k.json"), known_words=PACKING_WORDS, batch_bytes=PACKING_BYTES)
     return found.withColumnRenamed("feature_id", "doc_id").withColumnRenamed("dataset_key", "source")
 
 

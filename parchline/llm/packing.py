@@ -21,7 +21,7 @@ WINDOW = 2048
 END = 1
 SHARD_ROWS = 100_000
 # Text tokenized together; the arrays of a part take some thirty times as much.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +97,7 @@ def best_fit(lengths: Iterable[int], window: int) -> Iterator[tuple[int, int]]:
 
 def pack_descriptions(
     features: DataFrame, tokenizer_file: str, attribute: str = DESCRIPTION, window: int = WINDOW, end: int = END, shard_rows: int = SHARD_ROWS,
-    known_words: int = KNOWN_WORDS,
+    known_words: int = KNOWN_WORDS, batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Descriptions as token pieces placed in windows of at most ``window`` tokens.
 
@@ -105,7 +105,8 @@ def pack_descriptions(
     than a window are first cut into full windows and a rest; rests and shorter documents
     are packed best-fit decreasing. Packing runs in shards of about ``shard_rows`` pieces, dealt in
     turn, each sorted by length in Spark before it streams through the segment tree, so
-    padding is lost once per shard. A worker keeps at most ``known_words`` words, which trades memory for time.
+    padding is lost once per shard. A worker keeps at most ``known_words`` words and
+    tokenizes ``batch_bytes`` of text together, which trade memory for time.
 
     Returns one row per piece: ``dataset_key, feature_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset``; pieces of a sequence lie without gaps from 0. Null and
@@ -117,7 +118,7 @@ def pack_descriptions(
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         words, last = words_of(tokenizer_file, known_words), np.array([end], "<u4").tobytes()
-        for batch in in_parts(batches, most=BATCH_BYTES):
+        for batch in in_parts(batches, most=batch_bytes):
             # Equal texts of a batch are tokenized once.
             texts = batch.column("text").dictionary_encode()
             pieces = []
